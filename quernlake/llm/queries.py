@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernlake.llm import id_files, mixing, token_counts, url_filter, vector_search
+from quernlake.llm import html_text, id_files, mixing, quality, token_counts, url_filter, vector_search
 from quernlake.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -37,6 +45,6 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filter, op4_source_mix, op7_token_counts, op8_id_files, op10_vector_search)
+    f.__name__: f for f in (op2_url_filter, op4_source_mix, op5_quality, op6_html_text, op7_token_counts, op8_id_files, op10_vector_search)
 }
 ORACLES: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op4_source_mix": mixing.ORACLE, "op10_vector_search": vector_search.ORACLE}
