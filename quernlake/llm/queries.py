@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernlake.llm import html_text, id_files, mixing, quality, token_counts, url_filter, vector_search
+from quernlake.llm import html_text, id_files, mixing, piece_sampling, quality, token_counts, url_filter, vector_search
 from quernlake.llm.common import table
 
 
@@ -40,11 +40,15 @@ def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read_ids(id_files.write_ids(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
 
 
+def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.round_trip(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filter, op4_source_mix, op5_quality, op6_html_text, op7_token_counts, op8_id_files, op10_vector_search)
+    f.__name__: f for f in (op2_url_filter, op4_source_mix, op5_quality, op6_html_text, op7_token_counts, op8_id_files, op9_piece_sampling, op10_vector_search)
 }
 ORACLES: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op4_source_mix": mixing.ORACLE, "op10_vector_search": vector_search.ORACLE}

@@ -42,7 +42,7 @@ class PieceRanks:
         self.bytes = {byte: model.piece_to_id(f"<0x{byte:02X}>") for byte in range(256)}
         if any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in self.pieces):
             raise ValueError("pieces of this vocabulary cross the cuts between pre-tokens")
-        rank = {p: np.int64(-model.get_score(i)) for p, i in self.pieces.items()}
+        rank = self.rank_of = {p: int(-model.get_score(i)) for p, i in self.pieces.items()}
         symbols = dict(self.pieces)
         for piece in self.pieces:
             for char in piece:
