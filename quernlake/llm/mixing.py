@@ -83,8 +83,7 @@ def schedule(goals: DataFrame, slots: int, whole: int) -> DataFrame:
 def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, source, size, digest, bucket): all that the mix needs of a document."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    digest = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(whole)))
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), token_count(F.col(text)).alias("size"), digest.alias("digest"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), token_count(F.col(text)).alias("size"), _digest(F.col(key), whole).alias("digest"))
     return rows.withColumn("bucket", F.substring("digest", 1, PREFIX_DIGITS))
 
 
@@ -95,11 +94,34 @@ def placed(rows: DataFrame) -> DataFrame:
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), before.alias("before"))
     inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("digest", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     joined = rows.withColumn("inside", inside).join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    return joined.select("doc_id", "source", "size", (F.col("before") + F.col("inside")).alias("start"))
+    return joined.select("doc_id", "digest", "source", "size", (F.col("before") + F.col("inside")).alias("start"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for each document.
+    """(doc_id, source, size, source_size, target, taken) for each document."""
+    return placed_mix(docs, key, text, source).drop("digest")
+
+
+def repeat(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix as documents, with all their columns: each as often as the schedule takes from it, whole.
+
+    A document that the mix only begins, or takes a second time only in part, counts as taken whole; one it takes nothing
+    from is left out.  Rows alike in id and text stand as one with their counts added.
+    """
+    taken = placed_mix(docs, key, text, source).filter(F.col("taken") > 0)
+    times = taken.groupBy("digest").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("__times")).withColumnRenamed("digest", "__d")
+    whole = docs.withColumn("__digest", _digest(F.col(key), F.coalesce(F.col(text), F.lit("")))).join(times, F.col("__digest") == F.col("__d"))
+    first = F.row_number().over(Window.partitionBy("__digest").orderBy("__digest"))
+    once = whole.withColumn("__n", first).filter(F.col("__n") == 1)
+    return once.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+
+
+def _digest(key: Column, whole: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), F.md5(whole)))
+
+
+def placed_mix(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """The mix with each document's digest.
 
     Writes two small tables to the shared folder first (sizes; targets), and takes one row of sums to the driver.
     """
@@ -109,7 +131,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     if not whole:
         facts = goals.withColumnRenamed("source", "s")
         none = rows.join(facts, F.col("source").eqNullSafe(F.col("s")))
-        return none.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return none.select("doc_id", "digest", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     slot_size = -(-whole // SLOTS)
     slots = schedule(goals, -(-whole // slot_size), whole).select(F.col("source").alias("slot_source"), F.col("rank").alias("slot_block"))
     facts = goals.withColumnRenamed("source", "s")
@@ -120,9 +142,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     parts = laps.withColumn("block", F.explode(F.sequence(block(F.col("low")), block(F.col("high") - 1))))
     cut = F.least("high", (F.col("block") + 1) * slot_size) - F.greatest("low", F.col("block") * slot_size)
     met = parts.join(slots, F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("block") == F.col("slot_block")), "left")
-    given = met.groupBy("doc_id", "source", "size", "source_size", "target", "start").agg(F.sum(F.when(F.col("slot_block").isNotNull(), cut).otherwise(0)).alias("taken"))
-    empty = known.filter(F.col("size") == 0).select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return given.select("doc_id", "source", "size", "source_size", "target", "taken").unionByName(empty)
+    given = met.groupBy("doc_id", "digest", "source", "size", "source_size", "target", "start").agg(F.sum(F.when(F.col("slot_block").isNotNull(), cut).otherwise(0)).alias("taken"))
+    empty = known.filter(F.col("size") == 0).select("doc_id", "digest", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    return given.select("doc_id", "digest", "source", "size", "source_size", "target", "taken").unionByName(empty)
 
 
 #: DuckDB SQL for mix(documents).

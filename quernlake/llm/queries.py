@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernlake.llm import html_text, id_files, mixing, piece_sampling, quality, token_counts, url_filter, vector_search
+from quernlake.llm import html_text, id_files, mixing, near_dup, piece_sampling, quality, token_counts, url_filter, vector_search
 from quernlake.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -26,22 +30,22 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return id_files.read_ids(id_files.write_ids(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
+    return id_files.read_ids(id_files.write_ids(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
 def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_sampling.round_trip(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return piece_sampling.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +53,6 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filter, op4_source_mix, op5_quality, op6_html_text, op7_token_counts, op8_id_files, op9_piece_sampling, op10_vector_search)
+    f.__name__: f for f in (op2_url_filter, op3_near_duplicates, op4_source_mix, op5_quality, op6_html_text, op7_token_counts, op8_id_files, op9_piece_sampling, op10_vector_search)
 }
 ORACLES: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op4_source_mix": mixing.ORACLE, "op10_vector_search": vector_search.ORACLE}
