@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernlake.llm import html_text, id_files, mixing, near_dup, piece_sampling, quality, token_counts, url_filter, vector_search
+from quernlake.llm import html_text, id_files, media_chunks, mixing, near_dup, piece_sampling, quality, token_counts, url_filter, vector_search
 from quernlake.llm.common import table
 
 
+def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.media(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -53,6 +57,6 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filter, op3_near_duplicates, op4_source_mix, op5_quality, op6_html_text, op7_token_counts, op8_id_files, op9_piece_sampling, op10_vector_search)
+    f.__name__: f for f in (op1_media_chunks, op2_url_filter, op3_near_duplicates, op4_source_mix, op5_quality, op6_html_text, op7_token_counts, op8_id_files, op9_piece_sampling, op10_vector_search)
 }
 ORACLES: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op4_source_mix": mixing.ORACLE, "op10_vector_search": vector_search.ORACLE}
