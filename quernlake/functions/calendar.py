@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: The first day of Jalali year 1 as a proleptic Gregorian ordinal, and the leap years of its 33-year cycle.
-EPOCH = date(622, 3, 22).toordinal()
+EPOCH = date(622, 3, 21).toordinal()
 LEAPS = frozenset((1, 5, 9, 13, 17, 22, 26, 30))
 
 

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Candidates of each leg, fusion constant and weights, results, context budget in characters.
 CANDIDATES, RRF_K, DENSE_WEIGHT, LEXICAL_WEIGHT, TOP_K, CONTEXT_CHARACTERS = 50, 60, 0.7, 0.3, 12, 30_000
@@ -39,7 +40,7 @@ def dense_search(chunks: DataFrame, queries: DataFrame, limit: int = CANDIDATES,
         return chunks.sparkSession.createDataFrame([], schema + ", rank int")
     matrix = np.array([r["embedding"] for r in rows], float)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    key_type = pa.array(ids).type
+    key_type = to_arrow_type(queries.schema["query_id"].dataType)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,7 +16,7 @@ from quernlake.sources.payments import SourceError
 
 def read_pages(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
     """(path, text) of whole files under ``root``; the path is relative and without its suffix."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     base = re.escape(root.removeprefix("file://").rstrip("/"))
     path = F.regexp_replace(F.regexp_replace(F.url_decode(F.input_file_name()), f"^.*{base}/", ""), r"\.[^./]*$", "")
     return rows.select(path.alias("path"), F.col("value").alias("text"))

@@ -1,0 +1,163 @@
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from quernlake.functions.rates import no_attempt_signal, percentile, price, safe_rate
+from quernlake.operators import benchmarks, catalog, drilldown, facts, overview, registry
+from quernlake.plans.scope import Range, Scope, ScopeError, resolve_range
+
+NOW = Range(datetime(2026, 2, 1), datetime(2026, 3, 1))
+
+
+@pytest.fixture(scope="module")
+def scope(spark):
+    at = lambda *a: datetime(2026, *a)
+    rows = [
+        (1, "s1", 7, 1, "goods", 100, 1, "Failed", at(2, 1)),  # exactly at the start; only row 0
+        (2, "s2", 7, 1, "goods", 200, 2, "Verified", at(2, 10)),  # row 0 and a real attempt
+        (3, "s3", 7, 2, "goods", 300, 3, "Paid", at(2, 10)),  # no rows at all
+        (4, "s4", 7, 2, "goods", 400, 4, "Reversed", at(2, 11)),  # retries
+        (5, "s5", 7, 1, "goods", 500, 5, "Failed", at(3, 1)),  # exactly at the end: out
+        (6, "s6", 7, 1, "goods", 600, 6, "Failed", at(1, 20)),  # previous period
+        (7, "s7", 8, 1, "goods", 700, 7, "Failed", at(2, 5)),  # another merchant
+    ]
+    sessions = spark.createDataFrame(rows, "session_id long, session_key string, merchant_id long, terminal_id long, category_id string, amount long, adjusted_fee long, session_status string, created_at timestamp_ntz")
+    tries = spark.createDataFrame(
+        [(1, 0, "NoAttempt", None, None), (2, 0, "NoAttempt", None, None), (2, 1, "Verified", "P1", 10), (4, 1, "Failed", None, None), (4, 2, "Reversed", "P2", 30), (6, 1, "Failed", None, 50), (7, 1, "Failed", "P9", 90)],
+        "session_id long, try_seq int, try_status string, psp_code string, init_time_ms int",
+    )
+    return Scope(sessions, tries.withColumn("settled_at", F.lit(None).cast("timestamp_ntz")), 7)
+
+
+def values(df, key):
+    return {r[key]: r.asDict() for r in df.collect()}
+
+
+def test_safe_rate_and_percentile(spark):
+    df = spark.createDataFrame([(1, 0), (1, 4)], "a int, b int").select(safe_rate(F.col("a"), F.col("b")).alias("r"))
+    assert [r[0] for r in df.collect()] == [None, 0.25]
+    df = spark.createDataFrame([(x,) for x in (0.1, 0.2, 0.3, 0.4)], "v double")
+    assert df.agg(percentile(F.col("v"), 0.5)).first()[0] == pytest.approx(0.25)
+    assert df.filter("v > 1").agg(percentile(F.col("v"), 0.5)).first()[0] is None
+
+
+def test_signal(spark):
+    rows = [(80, 200, 20, 200), (14, 100, 9, 100), (25, 1000, 20, 1000), (5, 10, 0, 0)]
+    df = spark.createDataFrame(rows, "c long, t long, p long, q long").select(no_attempt_signal(*map(F.col, "ctpq")).alias("s")).select("s.*")
+    got = df.collect()
+    assert (got[0].rate, got[0].previous_rate, got[0].excess, got[0].alert) == (0.4, 0.1, 60, True)
+    assert got[0].change_pp == pytest.approx(30)
+    assert [g.alert for g in got[1:]] == [False] * 3
+    assert got[3].excess == 0 and got[3].expected == 5
+
+
+def test_price(spark):
+    df = spark.range(1).select(price(F.lit(100), F.lit(150), F.lit(10), 2.0, 1.0, 5.0).alias("a"), price(F.lit(100), F.lit(40), F.lit(10), 2.0, 1.0, 5.0, F.lit(9.0)).alias("b"))
+    assert df.first().asDict() == {"a": 150.0, "b": 9.0}
+
+
+def test_two_periods(scope):
+    got = values(overview.aggregates(scope, NOW), "period")
+    now = got["current"]
+    assert (now["sessions"], now["amount"], now["failed"], now["success"]) == (4, 1000, 1, 2)
+    # the session with row 0 and a real attempt counts as both
+    assert (now["no_attempt"], now["attempted"], now["retry"]) == (2, 2, 1)
+    assert (now["failed_no_attempt"], now["failed_no_attempt_amount"]) == (1, 100)
+    assert got["previous"]["sessions"] == 1
+    empty = values(overview.aggregates(scope, Range(datetime(2020, 1, 1), datetime(2020, 2, 1))), "period")
+    assert empty["current"]["sessions"] == 0 and empty["previous"]["amount"] == 0
+    metrics = values(overview.overview_metrics(overview.aggregates(scope, NOW)), "metric_id")
+    assert len(metrics) == 7 and metrics["sessions.retry_rate"]["value"] == 0.5
+    assert metrics["sessions.failed_rate"]["change"] == pytest.approx(0.25 - 1.0)
+    none = values(overview.overview_metrics(overview.aggregates(scope, Range(datetime(2020, 1, 1), datetime(2020, 2, 1)))), "metric_id")
+    assert none["sessions.retry_rate"]["value"] is None
+
+
+def test_daily_and_latency(scope):
+    daily = values(overview.daily_status(scope, NOW), "day")
+    assert set(daily) == {date(2026, 2, 1), date(2026, 2, 10), date(2026, 2, 11)}
+    assert daily[date(2026, 2, 10)] == {"day": date(2026, 2, 10), "failed": 0, "paid": 1, "reversed": 0, "verified": 1}
+    found = values(overview.latency(overview.performance(scope, NOW)), "psp_code")
+    assert found[None]["missing"] == 1 and found[None]["previous_p50"] == 50  # NULL pairs with NULL
+    assert found["P1"]["previous_p50"] is None
+
+
+def test_benchmark_suppression(scope):
+    assert benchmarks.benchmarks(scope, NOW, terminal_id=1).reason == "terminal_filter"
+    assert benchmarks.benchmarks(scope, NOW).reason == "insufficient_cohort"
+
+
+def test_benchmark_values(spark):
+    sessions, tries = [], []
+    for m in range(12):
+        for k in range(30):
+            i = m * 100 + k
+            sessions.append((i, str(i), m, 1, "goods", 10, 1, "Failed" if k < m else "Paid", datetime(2026, 2, 2)))
+            tries.append((i, 1, "Paid", "P", 10))
+    s = spark.createDataFrame(sessions, "session_id long, session_key string, merchant_id long, terminal_id long, category_id string, amount long, adjusted_fee long, session_status string, created_at timestamp_ntz")
+    t = spark.createDataFrame(tries, "session_id long, try_seq int, try_status string, psp_code string, init_time_ms int")
+    found = benchmarks.benchmarks(Scope(s, t, 11), NOW)
+    assert not found.suppressed and found.signal == "unfavorable_outside_iqr"
+    rate = values(found.metrics, "metric_id")["sessions.failed_rate"]
+    assert rate["cohort_size"] == 11 and rate["selected_value"] == pytest.approx(11 / 30) and rate["percentile"] == 0.0
+    assert benchmarks.benchmarks(Scope(s, t, 99), NOW).suppressed
+
+
+def test_drilldown(scope):
+    keys = lambda f: [r.session_key for r in drilldown.page(drilldown.matching(scope, NOW, f), f).collect()]
+    F_, D = drilldown.Filters, drilldown.Direction
+    assert keys(F_(direction=D.ASC)) == ["s1", "s2", "s3", "s4"]
+    assert keys(F_(sort=drilldown.Sort.AMOUNT, page_size=2)) == ["s4", "s3"]
+    assert keys(F_(sort=drilldown.Sort.AMOUNT, page=2, page_size=3)) == ["s1"]
+    assert set(keys(F_(no_attempt=True))) == {"s1", "s2"}
+    assert set(keys(F_(no_attempt=False))) == {"s2", "s4"}
+    # different attempts may satisfy the two conditions
+    assert keys(F_(psp="P2", attempt_status="Failed")) == ["s4"]
+    rows = values(drilldown.matching(scope, NOW, F_()), "session_key")
+    assert rows["s4"]["last_psp"] == "P2" and rows["s4"]["attempt_count"] == 2 and rows["s3"]["attempt_count"] == 0
+    assert rows["s2"]["no_attempt"] and not rows["s3"]["no_attempt"]
+    past = F_(page=9)
+    assert drilldown.transactions(scope, NOW, past)[1] == 0
+    assert drilldown.transactions(scope, NOW, past, strict_total=True)[1] == 4
+    with pytest.raises(ScopeError):
+        F_(page_size=101)
+
+
+def test_detail(scope):
+    one = drilldown.transaction(scope, "s2").first()
+    assert [a.try_seq for a in one.attempts] == [0, 1] and one.attempt_count == 1 and not one.no_attempt and one.last_psp == "P1"
+    assert drilldown.transaction(scope, "s3").first().no_attempt
+    with pytest.raises(ScopeError):
+        drilldown.transaction(scope, "s7")  # another merchant's
+
+
+def test_ranges(scope):
+    found = resolve_range(scope.own_sessions, None, None)
+    assert found == Range(datetime(2026, 1, 31), datetime(2026, 3, 2)) and found.previous_start == datetime(2026, 1, 1)
+    with pytest.raises(ScopeError):
+        Range(datetime(2026, 1, 2), datetime(2026, 1, 2))
+    with pytest.raises(ScopeError):
+        Range(datetime(2024, 1, 1), datetime(2026, 1, 2))
+
+
+def test_catalog(spark, scope):
+    merchants = spark.createDataFrame([(7, "M_7"), (8, "M%8"), (9, "m9")], "merchant_id long, merchant_key string")
+    found = values(catalog.merchant_catalog(merchants, scope.sessions, scope.tries), "merchant_key")
+    assert found["M_7"]["session_count"] == 6 and found["M_7"]["attempt_count"] == 4 and found["M_7"]["terminal_count"] == 2 and found["m9"]["session_count"] == 0
+    search = lambda s: {r.merchant_key for r in merchants.filter(catalog.contains("merchant_key", s)).collect()}
+    assert search("_") == {"M_7"} and search("%") == {"M%8"} and search("m") == {"M_7", "M%8", "m9"} and len(search("  ")) == 3
+    rows = catalog.merchant_catalog(merchants, scope.sessions, scope.tries)
+    page = catalog.catalog_page(rows, catalog.CatalogSort.LAST_ACTIVITY, True, 1, 10)
+    assert [r.merchant_key for r in page.collect()] == ["M_7", "M%8", "m9"]  # missing last in both directions
+    page = catalog.catalog_page(rows, catalog.CatalogSort.LAST_ACTIVITY, False, 1, 10)
+    assert [r.merchant_key for r in page.collect()] == ["M%8", "M_7", "m9"]
+    labels = catalog.with_labels(scope.sessions.limit(1), {"goods": "Goods"}).first()
+    assert labels.label == "Goods"
+
+
+def test_stats_and_registry(spark, scope):
+    stats = values(facts.attempt_stats(scope.tries), "session_id")
+    assert stats[2]["no_attempt"] == 1 and stats[2]["max_try_seq"] == 1 and stats[4]["no_attempt"] == 0
+    rows = registry.metric_registry(spark)
+    assert rows.count() == 8 and rows.filter("version <> '1.0.0' OR size(limitations) = 0").count() == 0
