@@ -24,7 +24,6 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +32,12 @@ from quernlake.llm.common import slices
 from quernlake.llm.token_counts import MARK, ranks_of
 
 ALPHA, SEED = 0.5, 7
+#: Characters of text whose lattices stand in memory at a time; a longer text stands alone.
+SLICE = 1_000_000
 #: Stands for a space mark that the text itself holds; no valid text contains it.
 OWN_MARK = "\ud800"
-#: Logarithm of the weight of a character spelled in bytes.
-BYTES_WEIGHT = -7.0
+#: Weight of a character spelled in bytes.
+BYTES_WEIGHT = 1e-3
 
 
 class Lattices:
@@ -45,11 +46,7 @@ class Lattices:
     def __init__(self, path: str):
         ranks = ranks_of(path)
         self.bytes = ranks.bytes
-        self.raw = [b""] * ranks.total
-        for p, i in ranks.pieces.items():
-            self.raw[i] = p.replace(MARK, " ").encode()
-        for byte, i in ranks.bytes.items():
-            self.raw[i] = bytes([byte])
+        self.raw = spelled(path)
         chars = {c: k for k, c in enumerate(sorted({c for p in ranks.pieces for c in p}))}
         self.base = len(chars) + 1
         self.of_char = np.full(0x110000, len(chars), np.int64)
@@ -70,8 +67,9 @@ class Lattices:
         self.piece_of = np.array(piece, np.int64)
         self.is_piece = np.zeros(0x110000, bool)
         self.is_piece[[ord(p) for p in ranks.pieces if len(p) == 1]] = True
-        self.log_weight = np.full(ranks.total, 0.0)
-        self.log_weight[list(ranks.pieces.values())] = [-ALPHA * np.log(min(ranks.rank_of[p], ranks.total) + 2.0) for p in ranks.pieces]
+        self.weight = np.zeros(ranks.total)
+        self.weight[list(ranks.pieces.values())] = [(min(ranks.rank_of[p], ranks.total) + 2.0) ** -ALPHA for p in ranks.pieces]
+        self.longest = max(map(len, ranks.pieces))
 
     def edges(self, chars: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, piece) of all edges between places of ``chars``; ``room``: characters from there to the word's end.
@@ -102,28 +100,27 @@ class Lattices:
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         owner = np.repeat(np.arange(len(words)), lengths)
         inside = np.arange(len(chars)) - first[owner]
-        start, end, piece = self.edges(chars, (lengths[owner] - inside))
-        weight = np.where(piece >= 0, self.log_weight[np.maximum(piece, 0)], BYTES_WEIGHT)
-        order = np.lexsort((end, inside[end - 1]))  # by the end's place in its word
-        start, end, piece, weight = start[order], end[order], piece[order], weight[order]
-        begins = inside[start] == 0
-        level = inside[end - 1]
-        # forward: log of the sum of the weights of all ways to each place, all words in step
-        sums = np.zeros(len(chars))  # at the place before the edge's end
-        bounds = np.r_[0, np.flatnonzero(np.diff(level)) + 1, len(level)]
-        share = np.empty(len(start))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            ways = weight[a:b] + np.where(begins[a:b], 0.0, sums[start[a:b] - 1])
-            here = end[a:b]
-            heads = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
-            sizes = np.diff(np.r_[heads, b - a])
-            top = np.maximum.reduceat(ways, heads)
-            part = np.exp(ways - np.repeat(top, sizes))
-            total = np.add.reduceat(part, heads)
-            sums[here[heads] - 1] = top + np.log(total)
-            share[a:b] = part / np.repeat(total, sizes)
+        start, end, piece = self.edges(chars, lengths[owner] - inside)
         order = np.argsort(end, kind="stable")
-        start, end, piece, share = start[order], end[order], piece[order], share[order]
+        start, end, piece = start[order], end[order], piece[order]
+        weight = np.where(piece >= 0, self.weight[np.maximum(piece, 0)], BYTES_WEIGHT)
+        at_start, level = inside[start] == 0, inside[end - 1]
+        # forward: the sum of the weights of all ways to each place, all words in step by the place in the word
+        sums, share = np.zeros(len(chars)), np.empty(len(start))
+        by_level = np.argsort(level.astype(np.uint16) if len(level) and level.max() < 1 << 16 else level, kind="stable")
+        bounds = np.r_[0, np.cumsum(np.bincount(level))]
+        for depth, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            edge = by_level[a:b]
+            ways = weight[edge] * np.where(at_start[edge], 1.0, sums[start[edge] - 1])
+            here = end[edge]
+            heads = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
+            total = np.add.reduceat(ways, heads)
+            sums[here[heads] - 1] = total
+            share[edge] = ways / np.repeat(total, np.diff(np.r_[heads, b - a]))
+            if depth % 32 == 31:  # only ratios matter: long words are scaled before their sums vanish
+                far = first[lengths > depth + 1] + depth
+                window = far[:, None] - np.arange(min(self.longest, depth + 1))
+                sums[window] /= sums[far][:, None]
         heads = np.flatnonzero(np.r_[True, end[1:] != end[:-1]])
         running = np.cumsum(share)
         running -= np.repeat(running[heads] - share[heads], np.diff(np.r_[heads, len(end)]))
@@ -136,6 +133,19 @@ def lattices_of(path: str) -> Lattices:
     return Lattices(path)
 
 
+@lru_cache(2)
+def spelled(path: str) -> list[bytes]:
+    """What each id spells; ids that spell nothing are empty."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=path)
+    out = []
+    for i in range(model.get_piece_size()):
+        piece = model.id_to_piece(i)
+        out.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) or model.is_unknown(i) else piece.replace(MARK, " ").encode())
+    return out
+
+
 def cut(text: str) -> list[str]:
     """Pre-tokens: runs of space marks with what follows, and single line feeds; one mark stands before the text."""
     if not text:
@@ -186,11 +196,11 @@ def sample(texts: Sequence[str], keys: Sequence[object], lattices: Lattices, see
     stops = np.cumsum(np.bincount(np.repeat(np.arange(len(words)), per_text), counts, len(words)).astype(np.int64))
     odd = out < 0
     if odd.any():  # characters become their bytes
-        spelled = [(MARK if c == ord(OWN_MARK) else chr(c)).encode() for c in (-1 - out[odd]).tolist()]
+        letters = [(MARK if c == ord(OWN_MARK) else chr(c)).encode() for c in (-1 - out[odd]).tolist()]
         widths = np.ones(len(out), np.int64)
-        widths[odd] = list(map(len, spelled))
+        widths[odd] = list(map(len, letters))
         whole = np.repeat(out, widths)
-        whole[np.repeat(odd, widths)] = [lattices.bytes[b] for s in spelled for b in s]
+        whole[np.repeat(odd, widths)] = [lattices.bytes[b] for s in letters for b in s]
         stops, out = np.r_[0, np.cumsum(widths)][stops], whole
     return np.split(out, stops[:-1])
 
@@ -202,7 +212,7 @@ def encode(docs: DataFrame, model: str, keep: Sequence[str] = (), key: str = "do
         lattices = lattices_of(model)
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in slices(texts, 4_000_000):
+            for a, b in slices(texts, SLICE):
                 ids = sample(texts[a:b], keys[a:b], lattices, seed)
                 offsets = pa.array(np.r_[0, np.cumsum(list(map(len, ids)))], pa.int32())
                 column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
@@ -215,30 +225,28 @@ def encode(docs: DataFrame, model: str, keep: Sequence[str] = (), key: str = "do
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """Adds ``decoded``: the text that ``piece_ids`` spell."""
+    """Adds ``decoded``, the text that ``piece_ids`` spell, and ``ids_crc32``, the CRC of the ids as little-endian 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = lattices_of(model).raw
+        raw = spelled(model)
         for batch in batches:
             column = batch.column("piece_ids")
-            flat, offsets = column.flatten().to_pylist(), np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))].tolist()
-            texts = [b"".join(map(raw.__getitem__, flat[a:b]))[1:].decode() for a, b in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            ids = column.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+            offsets = np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))].tolist()
+            texts, digests = [], []
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                texts.append(b"".join([raw[i] for i in ids[a:b].tolist()])[1:].decode())
+                digests.append(zlib.crc32(ids[a:b].tobytes()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(digests, pa.int64())], [*batch.schema.names, "decoded", "ids_crc32"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{schema}, decoded string")
+    return encoded.mapInArrow(run, f"{schema}, decoded string, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_pieces, ids_crc32, decoded_sha256, lossless) of each document, digests taken from the real ids and decoded texts."""
     both = decode(encode(docs, model, (), key, text), model)
-    crc = F.pandas_udf(_crc, "long")
     return both.select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("piece_ids").cast("long").alias("n_pieces"), crc("piece_ids").alias("ids_crc32"),
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("piece_ids").cast("long").alias("n_pieces"), "ids_crc32",
         F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("lossless"),
     )
-
-
-def _crc(ids: pd.Series) -> pd.Series:
-    """CRC of the ids as little-endian 32-bit integers."""
-    return ids.map(lambda x: zlib.crc32(np.asarray(x, "<u4").tobytes()))
