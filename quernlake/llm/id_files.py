@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +33,9 @@ from quernlake.llm.common import slices, written
 END = 0
 BLOCK = 2048
 #: Characters of text in a file row, blocks coded in step, and pre-tokens that a worker remembers.
-ROW_CHARS, LANES, MEMO = 14_000_000, 4096, 600_000
+ROW_CHARS, LANES, MEMO = 14_000_000, 4096, 500_000
+#: Chunks that go to the library as one text.
+JOINED = 100
 #: Prediction tables of a block have so many slots.
 SLOTS = 1 << 9
 #: Symbols: hit of order 2, 1, 0; else the id has up to so many bits, which follow as they are.
@@ -48,8 +51,9 @@ STEP, FULL = np.float32(48), 16384
 HASH = 40503, 30011
 U = np.uint64
 LOW31, RENEW = U((1 << 31) - 1), U(1 << 31)
-#: A single space between characters that are no white space; white space that keeps a text from the quick cut.
-SINGLE_SPACE, ODD_SPACE = re.compile(r"(?<=\S)(?= \S)"), re.compile(r"\s\s|^\s|\s$")
+#: Before a single space between characters that are no white space; white space that keeps a text from the quick cut.
+SINGLE_SPACE, SPACE = re.compile(r"(?<=\S)(?= \S)"), r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+ODD_SPACE = rf"{SPACE}{SPACE}|\A{SPACE}|{SPACE}\z"
 
 
 class Model:
@@ -187,33 +191,60 @@ def _tokenizer(path: str):  # noqa: ANN202
     if tokenizer.get_vocab_size() > 1 << 16:
         raise ValueError("this format holds vocabularies of up to 65,536 ids")
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    return tokenizer, re.compile("|".join(map(re.escape, special)) or "(?!)"), {}  # the last: chunks this worker remembers
-
-
-def chunks(text: str) -> list[str]:
-    """A cut of the text before single spaces between characters that are none; byte-level pre-tokens never cross it."""
-    if ODD_SPACE.search(text):
-        return SINGLE_SPACE.split(text)
-    return text.replace(" ", "\0 ").split("\0")
+    spelled = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())])  # bytes of each id
+    return tokenizer, re.compile("|".join(map(re.escape, special)) or "(?!)"), spelled, {}  # the last: chunks this worker remembers
+
+
+def chunk_ids(chunks: list[str], path: str) -> list[bytes]:
+    """Ids of each chunk.  Chunks that begin with a single space go to the library many in a text, which is told apart by the bytes that ids spell."""
+    tokenizer, _, spelled, _ = _tokenizer(path)
+    joins = np.array([len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() for c in chunks], bool)
+    out: list[bytes] = [b""] * len(chunks)
+    at, alone = np.flatnonzero(joins).tolist(), np.flatnonzero(~joins).tolist()
+    for a in range(0, len(at), JOINED * 500):
+        part = at[a : a + JOINED * 500]
+        words = [chunks[i] for i in part]
+        found = tokenizer.encode_batch_fast(["".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
+        ends, bounds = np.cumsum(spelled[ids]), np.cumsum([len(w.encode()) for w in words])
+        stops = np.searchsorted(ends, bounds)
+        if not np.array_equal(ends[stops], bounds):
+            raise ValueError("ids of this vocabulary do not spell the bytes of a text")
+        raw, begin = ids.tobytes(), 0
+        for i, stop in zip(part, ((stops + 1) * 4).tolist(), strict=True):
+            out[i] = raw[begin:stop]
+            begin = stop
+    for i, e in zip(alone, tokenizer.encode_batch_fast([chunks[i] for i in alone], add_special_tokens=False), strict=True):
+        out[i] = np.array(e.ids, "<u4").tobytes()
+    return out
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids and END as little-endian 32-bit integers, as the library gives them for the whole text.
 
-    Chunks are given to the library once; texts with special strings or null characters go to it whole.
+    Texts are cut before single spaces between characters that are none, which byte-level pre-tokens never cross; each
+    distinct chunk goes to the library once.  Texts with special strings or null characters go to it whole.
     """
-    tokenizer, special, seen = _tokenizer(path)
-    raw = lambda encoded: np.array(encoded.ids, "<u4").tobytes()
-    cut = [None if special.search(t) or "\0" in t else chunks(t) for t in texts]
-    fresh = list(set().union(*filter(None, cut)).difference(seen))
+    tokenizer, special, _, seen = _tokenizer(path)
+    odd = pc.match_substring_regex(pa.array(texts, pa.string()), ODD_SPACE).to_pylist()
+    whole = ["\0" in t or special.search(t) is not None for t in texts]
+    cut = ["" if w else SINGLE_SPACE.sub("\0", t) if o else t.replace(" ", "\0 ") for t, w, o in zip(texts, whole, odd, strict=True)]
+    listed = pc.split_pattern(pa.array(cut, pa.string()), "\0")
+    coded = listed.flatten().dictionary_encode()
+    chunks = coded.dictionary.to_pylist()
+    fresh = [c for c in chunks if c not in seen]
     if len(seen) + len(fresh) > MEMO:
         seen.clear()
-        fresh = list(set().union(*filter(None, cut)))
-    for a in range(0, len(fresh), 50_000):
-        part = fresh[a : a + 50_000]
-        seen.update(zip(part, map(raw, tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        fresh = chunks
+    seen.update(zip(fresh, chunk_ids(fresh, path), strict=True))
+    known = list(map(seen.__getitem__, chunks))
+    sizes, flat = np.fromiter(map(len, known), np.int64, len(known)) // 4, np.frombuffer(b"".join(known), "<u4")
+    at = coded.indices.to_numpy()
+    n = sizes[at]
+    ids = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    stops = np.r_[0, np.cumsum(n)][listed.offsets.to_numpy()].tolist()
     end = np.array([END], "<u4").tobytes()
-    return [(b"".join(map(seen.__getitem__, c)) if c is not None else raw(tokenizer.encode(t, add_special_tokens=False))) + end for t, c in zip(texts, cut, strict=True)]
+    return [(np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4") if w else ids[a:b]).tobytes() + end for t, w, a, b in zip(texts, whole, stops[:-1], stops[1:], strict=True)]
 
 
 ROW = "part int, seq int, doc_ids array<{key}>, n_tokens array<long>, block_sizes array<int>, block_crcs array<long>, blocks array<binary>"
@@ -227,7 +258,7 @@ def write_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts, ROW_CHARS):
-                raw = [x for c, d in slices(texts[a:b], 2_000_000) for x in token_ids(texts[a + c : a + d], path)]
+                raw = [x for c, d in slices(texts[a:b], 5_000_000) for x in token_ids(texts[a + c : a + d], path)]
                 ids = np.frombuffer(b"".join(raw), "<u4")
                 blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
                 coded = [x for i in range(0, len(blocks), LANES) for x in encode(blocks[i : i + LANES])]

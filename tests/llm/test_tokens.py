@@ -81,6 +81,16 @@ def test_blocks_are_independent_and_small():
     assert len(both[0]) < 2.4 * len(noise)
 
 
+SPACED = st.lists(st.text(st.one_of(st.sampled_from("  \n\t'ast.,;7\u00a0\u3000é\0"), st.characters(exclude_categories=["Cs"])), max_size=50) | st.sampled_from(["<|endoftext|> a", "it's  'tis", " x ", "a \n b"]), min_size=1, max_size=8)
+
+
+@settings(max_examples=400, deadline=None)
+@given(SPACED)
+def test_ids_are_those_of_whole_texts(vocabulary, byte_level, texts):
+    got = id_files.token_ids(texts, vocabulary("byte_bpe_50k.json"))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [byte_level.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
 def brute_ids(rows, byte_level):
     """Rows in ascending order of id (nulls first), with the ids before each."""
     start, out = 0, []
