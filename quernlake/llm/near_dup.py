@@ -5,10 +5,12 @@ their occurrence number.  Under each of PERMUTATIONS hash orders the 2, and the
 hashed in the order in which they stand in the text (Marcais et al., "Locality-sensitive hashing for the edit distance",
 2019): texts agree in a sketch if they share these k-mers and their order, which follows edit similarity.
 
-Candidates: all texts of one sketch value meet its smallest text (a star, never all pairs).  A pair is a link if the
-banded alignment of its words needs at most 20 % of the longer text's words as edits.  Of a text's candidates the
-one that most sketches name is aligned first; the others are aligned unless they are in one class by then, which leaves
-classes as they would be.  Classes are the connected components of links, with equal texts as one.
+Candidates: all texts of one sketch value.  A pair is a link if the banded alignment of its words needs at most 20 % of
+the longer text's words as edits.  First they meet the value's smallest text, then its text with most links so far (stars,
+never all pairs).  Of a text's candidates the one that most sketches name is aligned first.  Where a value still holds
+several classes, its blocks of members meet each other: pairs of two classes are aligned unless their lengths or bags of
+words already tell that they are no link.  What is in one class needs no alignment, which leaves classes as they would
+be.  Classes are the connected components of links, with equal texts as one.
 
 Result: one row per document with the smallest document id of its class, the size of the class, and whether the
 document is kept (it has the class's smallest id; where texts share that id, the one of smallest digest).
@@ -40,6 +42,8 @@ PERMUTATIONS, LEVELS = 24, (2, 4)
 SIMILARITY = 0.8
 #: Of a text's k-mers so many are expected below the threshold that spares sorting them all.
 EXPECTED = 24
+#: Members of a sketch value that are compared at once, and counters of a text's bag of words.
+BLOCK, BINS = 256, 256
 SEED = 0x5DEECE66D
 
 
@@ -240,6 +244,71 @@ def _verified(edges: DataFrame, words: DataFrame) -> DataFrame:
     return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a binary, b binary")
 
 
+def _bags(words: DataFrame) -> DataFrame:
+    """(tid, n, bag) of (tid, words): word count, and BINS counters of word hashes, which stop at 255."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(w, "<u4") for w in batch.column(1).to_pylist()]
+            bags = [np.minimum(np.bincount(w % BINS, minlength=BINS), 255).astype(np.uint8).tobytes() for w in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array(bags, pa.binary())], ["tid", "n", "bag"])
+
+    return words.select("tid", "words").mapInArrow(run, "tid binary, n long, bag binary")
+
+
+def near_bags(x: list[dict], y: list[dict], same: bool) -> list[tuple[int, int]]:
+    """Places (i, j) of members of two blocks that are in two classes and that lengths and bags allow to be a link.
+
+    An edit changes the counters by 2 at most, so that half their difference bounds the edits from below.
+    """
+    nx, ny = np.array([m["n"] for m in x]), np.array([m["n"] for m in y])
+    most = ((1 - SIMILARITY) * np.maximum(nx[:, None], ny) + 1e-9).astype(np.int64)
+    may = np.abs(nx[:, None] - ny) <= most
+    may &= np.array([m["root"] for m in x], "S16")[:, None] != np.array([m["root"] for m in y], "S16")
+    if same:
+        may = np.triu(may, 1)
+    if not may.any():
+        return []
+    bags = np.frombuffer(b"".join(m["bag"] for m in y), np.uint8).reshape(len(y), BINS).astype(np.int16)
+    out = []
+    for i in np.flatnonzero(may.any(1)).tolist():
+        at = np.flatnonzero(may[i])
+        far = np.abs(bags[at] - np.frombuffer(x[i]["bag"], np.uint8)).sum(1, dtype=np.int64)
+        out += [(i, j) for j in at[far <= 2 * most[i, at]].tolist()]
+    return out
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The (key, tid, root) of ``members`` (key, tid) whose sketch value holds several classes."""
+    tagged = members.join(roots.withColumnRenamed("node", "tid"), "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root"))
+    tagged = written(tagged, "near-tagged")
+    several = tagged.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter(F.col("low") != F.col("high"))
+    return written(tagged.join(written(several.select("key", "size"), "near-several"), "key"), "near-open")
+
+
+def _met_blocks(members: DataFrame, words: DataFrame) -> DataFrame:
+    """(a, b), a > b, of each pair of ``members`` (key, tid, root, size) of one value that may be a link of two classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[bytes, bytes]] = set()
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                x, y = row["x"], row["y"]
+                for i, j in near_bags(x, y, row["block"] == row["other"]):
+                    a, b = x[i]["tid"], y[j]["tid"]
+                    found.add((max(a, b), min(a, b)))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in range(2)], ["a", "b"])
+
+    bags = written(_bags(words.join(members.select("tid").distinct(), "tid", "left_semi")), "near-bags")
+    block = F.pmod(F.xxhash64("tid"), F.ceil(F.col("size") / BLOCK)).alias("block")
+    rows = members.select("key", "tid", "root", block).join(bags, "tid")
+    packed = written(rows.groupBy("key", "block").agg(F.collect_list(F.struct("tid", "root", "n", "bag")).alias("x")), "near-blocks")
+    two = packed.select(F.col("key").alias("k"), F.col("block").alias("other"), F.col("x").alias("y"))
+    met = packed.join(two, (F.col("key") == F.col("k")) & (F.col("block") <= F.col("other")))
+    return met.select("block", "other", "x", "y").mapInArrow(run, "a binary, b binary").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of ``edges`` (a, b): the smallest node of each connected component.
 
@@ -272,8 +341,9 @@ def text_classes(rows: DataFrame) -> DataFrame:
     """(tid, class_id, kept_tid, class_size) of each distinct text of (doc_id, tid, text); tid is the text's digest."""
     sketched = written(_sketched(rows), "near-sketches")
     keys = sketched.select("tid", F.explode("keys").alias("key"))
-    stars = written(keys.groupBy("key").agg(F.min("tid").alias("rep"), F.max("tid").alias("other")).filter(F.col("rep") != F.col("other")).select("key", "rep"), "near-stars")
-    votes = keys.join(stars, "key").filter(F.col("tid") != F.col("rep")).groupBy("tid", "rep").agg(F.count("*").alias("votes"))
+    stars = written(keys.groupBy("key").agg(F.min("tid").alias("rep"), F.max("tid").alias("other"), F.count("*").alias("size")).filter(F.col("rep") != F.col("other")).select("key", "rep", "size"), "near-stars")
+    members = written(keys.join(stars, "key"), "near-members")
+    votes = members.filter(F.col("tid") != F.col("rep")).groupBy("tid", "rep").agg(F.count("*").alias("votes"))
     edges = written(votes.select(F.col("tid").alias("a"), F.col("rep").alias("b"), "votes"), "near-edges")
     # word hashes of the texts that have a candidate, once each
     needed = edges.select(F.col("a").alias("tid")).unionByName(edges.select(F.col("b").alias("tid"))).distinct()
@@ -287,8 +357,25 @@ def text_classes(rows: DataFrame) -> DataFrame:
     tagged = written(tagged, "near-rest")
     of_a, of_b = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
     open_ = tagged.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    links = first.unionByName(_verified(written(open_, "near-open"), words))
-    roots = components(written(links, "near-links"))
+    links = written(first.unionByName(_verified(written(open_, "near-open"), words)), "near-links")
+    roots = components(links)
+    # values of three members and more that hold several classes: their text of most links, then all that is left
+    aligned = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    left = _open(members.filter(F.col("size") > 2).select("key", "tid").distinct(), roots)
+    degree = links.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("degree"))
+    hubs = left.join(degree, "tid").groupBy("key").agg(F.max_by(F.struct("tid", "root"), F.struct("degree", "tid")).alias("hub"))
+    hubs = written(hubs.select("key", "hub.tid", "hub.root").toDF("key", "hub", "hub_root"), "near-hubs")
+    spokes = left.join(hubs, "key").filter(F.col("root") != F.col("hub_root")).select(F.greatest("tid", "hub").alias("a"), F.least("tid", "hub").alias("b")).distinct()
+    spokes = written(spokes.join(aligned, ["a", "b"], "left_anti"), "near-spokes")
+    more = written(_verified(spokes, words), "near-links")
+    links = links.unionByName(more)
+    if not more.isEmpty():
+        roots = components(links)
+        left = _open(left.select("key", "tid"), roots)
+    pairs = _met_blocks(left, words).join(aligned.unionByName(spokes), ["a", "b"], "left_anti")
+    more = written(_verified(written(pairs, "near-pairs"), words), "near-links")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
     # texts, their smallest ids, and the smallest id of each class
     ids = rows.groupBy("tid", "doc_id").agg(F.count("*").alias("n"))
     texts = written(ids.groupBy("tid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("low"), F.sum("n").alias("n")), "near-texts")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -140,3 +141,40 @@ def test_sketch_sees_order():
     same, order = near_dup.sketches(np.r_[a, a], np.array([199, 199])), near_dup.sketches(np.r_[a, a[100:], a[:100]], np.array([199, 199]))
     assert (same[0] == same[1]).all()
     assert 0 < (order[0] == order[1]).mean() < 0.9
+
+
+def replaced(rng: random.Random, words: list[str], places: list[int]) -> list[str]:
+    out = list(words)
+    for at in places:
+        out[at] = f"n{rng.randrange(10**9)}"
+    return out
+
+
+def test_hub_whose_copies_are_not_links(documents, monkeypatch):
+    """Copies of one text that only that text links, all in one sketch value whose smallest text is any of them."""
+    rng = random.Random(8)
+    base = prose(rng, 150)
+    texts = [base] + [replaced(rng, base, list(range(k * 24, k * 24 + 24))) for k in range(3)] + [prose(rng, 150) for _ in range(20)]
+    rows = [(i, " ".join(t), "a") for i, t in enumerate(texts)]
+    want = brute_classes([r[1] for r in rows])
+    assert sorted(set(want)) == [0, *range(4, 24)]
+    assert min(range(24), key=lambda i: hashlib.md5(rows[i][1].encode()).digest()) != 0
+    made = near_dup._sketched
+    monkeypatch.setattr(near_dup, "_sketched", lambda frame: _one_value(made, frame))
+    assert {r.doc_id: r.class_id for r in near_dup.classes(documents(rows)).collect()} == dict(enumerate(want))
+
+
+def _one_value(made, frame):
+    from pyspark.sql import functions as F
+
+    return made(frame).withColumn("keys", F.array(F.lit(7).cast("long")))
+
+
+def test_bags_bound_edits():
+    rng = random.Random(3)
+    for _ in range(50):
+        a = [rng.randrange(1000) for _ in range(rng.randrange(1, 60))]
+        b = [w for w in a if rng.random() > 0.1] or a
+        x, y = ([{"n": len(w), "root": r, "bag": np.minimum(np.bincount(np.array(w) % near_dup.BINS, minlength=near_dup.BINS), 255).astype(np.uint8).tobytes()}] for w, r in ((a, b"x"), (b, b"y")))
+        if edits(a, b) <= 0.2 * max(len(a), len(b)):
+            assert near_dup.near_bags(x, y, False) == [(0, 0)]
