@@ -1,9 +1,12 @@
 """Operator 3: near-duplicates by Order MinHash, verified by banded alignment.
 
-Sketch: words are hashed, every five consecutive words make a k-mer, and repeats of a k-mer in a text are told apart by
-their occurrence number.  Under each of PERMUTATIONS hash orders the 2, and the 4, smallest k-mers are taken and
-hashed in the order in which they stand in the text (Marcais et al., "Locality-sensitive hashing for the edit distance",
-2019): texts agree in a sketch if they share these k-mers and their order, which follows edit similarity.
+Sketch: words are hashed, every three consecutive words make a k-mer, and repeats of a k-mer in a text are told apart by
+their occurrence number.  Under each of PERMUTATIONS hash orders the 2 smallest k-mers are taken and hashed in the order
+in which they stand in the text (Marcais et al., "Locality-sensitive hashing for the edit distance", 2019): texts agree
+in a sketch if they share these k-mers and their order, which follows edit similarity.
+
+Short texts, of SHORT words at most, also have runs of 2 to 4 words by place: e edits leave one of e + 1 runs of the longer
+text untouched, and move it by e places at most, so that no link between two short texts is missed.
 
 Candidates: all texts of one sketch value.  A pair is a link if the banded alignment of its words needs at most 20 % of
 the longer text's words as edits.  First they meet the value's smallest text, then its text with most links so far (stars,
@@ -15,7 +18,7 @@ be.  Classes are the connected components of links, with equal texts as one.
 Result: one row per document with the smallest document id of its class, the size of the class, and whether the
 document is kept (it has the class's smallest id; where texts share that id, the one of smallest digest).
 
-Defined cases: a null text is an empty one, and empty or blank texts equal in bytes are one class; texts under five words
+Defined cases: a null text is an empty one, and empty or blank texts equal in bytes are one class; texts under three words
 have one k-mer, their whole word sequence; null ids are no class's smallest unless all are null; repeated rows are in one
 class; an empty table gives an empty result; classes() drops columns not named, deduplicate() keeps all (names that begin
 with two underscores excepted); texts of any length are taken whole.
@@ -37,11 +40,13 @@ from pyspark.sql import functions as F
 
 from quernlake.llm.common import slices, written
 
-K = 5
-PERMUTATIONS, LEVELS = 24, (2, 4)
+K = 3
+PERMUTATIONS, LEVEL = 48, 2
+#: Texts of so many words at most get exact candidates among each other.
+SHORT = 25
 SIMILARITY = 0.8
 #: Of a text's k-mers so many are expected below the threshold that spares sorting them all.
-EXPECTED = 24
+EXPECTED = 16
 #: Members of a sketch value that are compared at once, and counters of a text's bag of words.
 BLOCK, BINS = 256, 256
 SEED = 0x5DEECE66D
@@ -65,8 +70,8 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Text by (permutation, level): Order MinHash values; texts without words get zeros."""
-    out = np.zeros((len(counts), PERMUTATIONS * len(LEVELS)), np.uint64)
+    """Text by permutation: Order MinHash values; texts without words get zeros."""
+    out = np.zeros((len(counts), PERMUTATIONS), np.uint64)
     some = np.flatnonzero(counts)
     if not len(some):
         return out
@@ -87,31 +92,59 @@ def sketches(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     labelled = np.empty(len(value), np.uint64)
     labelled[order] = _mix(value[order] + number.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     odd = np.random.default_rng(SEED).integers(1, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
-    most = max(LEVELS)
+    top = np.uint64(2**64 - 1)
+    bound = lambda factor: np.where(sizes > factor, np.minimum(factor / sizes, 0.99) * 2.0**64, 0).astype(np.uint64) + np.where(sizes > factor, np.uint64(0), top)
+    limit = np.repeat(bound(EXPECTED), sizes)
     for p in range(PERMUTATIONS):
         ranked = labelled * odd[p]
-        factor = EXPECTED
-        while True:
-            limit = np.full(len(some), 2**64 - 1, np.uint64)
-            limit[sizes > factor] = (factor / sizes[sizes > factor] * 2.0**64).astype(np.uint64)
-            low = np.flatnonzero(ranked <= np.repeat(limit, sizes))
-            if (np.bincount(text[low], minlength=len(some)) >= np.minimum(sizes, most)).all():
-                break
-            factor *= 4
-        low = low[np.lexsort((ranked[low], text[low]))]
-        heads = np.flatnonzero(np.r_[True, text[low][1:] != text[low][:-1]])
-        chosen = heads[:, None] + np.arange(most)
-        there = np.arange(most) < np.diff(np.r_[heads, len(low)])[:, None]
-        place = np.where(there, low[np.minimum(chosen, len(low) - 1)], len(text))  # absent ones stand last
-        for k, level in enumerate(LEVELS):
-            ordered = np.sort(place[:, :level], axis=1)  # places rise with the text
-            key = np.full(len(some), p * len(LEVELS) + k + 1, np.uint64)
-            for i in range(level):
-                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.where(ordered[:, i] < len(text), labelled[np.minimum(ordered[:, i], len(text) - 1)], np.uint64(0)))
-            out[some, p * len(LEVELS) + k] = key
+        low = np.flatnonzero(ranked <= limit)
+        few = np.flatnonzero(np.bincount(text[low], minlength=len(some)) < np.minimum(sizes, LEVEL))
+        if len(few):  # these take all
+            low = np.union1d(low, np.flatnonzero(np.isin(text, few)))
+        found = np.bincount(text[low], minlength=len(some))
+        heads, value = np.cumsum(found) - found, ranked[low]
+        place = np.full((len(some), LEVEL), len(text))  # absent ones stand last
+        for i in range(LEVEL):
+            there = np.flatnonzero(value == np.repeat(np.minimum.reduceat(value, heads), found))
+            there = there[np.r_[True, text[low[there]][1:] != text[low[there]][:-1]]]
+            own = text[low[there]]
+            there, own = there[found[own] > i], own[found[own] > i]
+            place[own, i] = low[there]
+            value[there] = top
+        place.sort(axis=1)  # places rise with the text
+        key = np.full(len(some), p + 1, np.uint64)
+        for i in range(LEVEL):
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.where(place[:, i] < len(text), labelled[np.minimum(place[:, i], len(text) - 1)], np.uint64(0)))
+        out[some, p] = key
     return out
 
 
+def _most(n: int) -> int:
+    """Edits that a link with a longer text of n words has at most."""
+    return int((1 - SIMILARITY) * n + 1e-9)
+
+
+def short_keys(hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(texts, text by key) of the texts of SHORT words at most, by length: two texts of a link share a key.
+
+    A longer text of n words keeps a run of (n - e) / (e + 1) words; texts that reach each other name its place and the next ones.
+    """
+    begins = np.cumsum(counts) - counts
+    for size in range(1, SHORT + 1):
+        texts = np.flatnonzero(counts == size)
+        longer = [n for n in range(size, SHORT + 1) if n - _most(n) <= size and _most(n)]
+        if not len(texts) or not longer:
+            continue
+        words, keys = hashes[begins[texts][:, None] + np.arange(size)], []
+        for run in {-(-(n - _most(n)) // (_most(n) + 1)) for n in longer}:
+            at = np.arange(size - run + 1)
+            value = np.full((len(texts), len(at)), run, np.uint64)
+            for i in range(run):
+                value = _mix(value * np.uint64(0x9E3779B97F4A7C15) + words[:, i : i + len(at)])
+            keys += [_mix(value + (at + move + 1).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) for move in range(_most(max(longer)) + 1)]
+        yield texts, np.hstack(keys)
+
+
 def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], share: float = 1 - SIMILARITY) -> np.ndarray:
     """Edit distances of pairs of word sequences, or -1 where above ``share`` of the longer one.
 
@@ -214,13 +247,16 @@ def _sketched(docs: DataFrame) -> DataFrame:
             for a, b in slices(texts):
                 hashes, counts = word_hashes(texts[a:b])
                 keys = sketches(hashes, counts)
-                filled = counts > 0
+                filled = np.flatnonzero(counts)
+                parts = [(filled, keys[filled]), *short_keys(hashes, counts)]
+                owner = np.concatenate([np.repeat(own, of.shape[1]) for own, of in parts])
+                values = np.concatenate([of.ravel() for _, of in parts])[np.argsort(owner, kind="stable")]
                 ends = np.cumsum(counts).tolist()
                 raw = hashes.astype("<u4")
                 words = [raw[e - n : e].tobytes() for e, n in zip(ends, counts.tolist(), strict=True)]
-                offsets = np.r_[0, np.cumsum(np.where(filled, keys.shape[1], 0))]
+                offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(counts)))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([tids[i] for i in rows[a:b]], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[filled].ravel().view(np.int64))), pa.array(words, pa.binary())],
+                    [pa.array([tids[i] for i in rows[a:b]], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64))), pa.array(words, pa.binary())],
                     ["tid", "keys", "words"],
                 )
 

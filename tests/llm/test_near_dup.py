@@ -178,3 +178,40 @@ def test_bags_bound_edits():
         x, y = ([{"n": len(w), "root": r, "bag": np.minimum(np.bincount(np.array(w) % near_dup.BINS, minlength=near_dup.BINS), 255).astype(np.uint8).tobytes()}] for w, r in ((a, b"x"), (b, b"y")))
         if edits(a, b) <= 0.2 * max(len(a), len(b)):
             assert near_dup.near_bags(x, y, False) == [(0, 0)]
+
+
+def met(rng: random.Random, n: int, changed: int, pairs: int = 300) -> float:
+    """Share of pairs with a common key; one text has so many of the other's n words replaced."""
+    texts = []
+    for _ in range(pairs):
+        words = prose(rng, n)
+        texts += [" ".join(words), " ".join(replaced(rng, words, rng.sample(range(n), changed)))]
+    hashes, counts = near_dup.word_hashes(texts)
+    keys = near_dup.sketches(hashes, counts)
+    found = (keys[0::2] == keys[1::2]).any(axis=1)
+    for own, values in near_dup.short_keys(hashes, counts):
+        of = dict(zip(own.tolist(), map(set, values.tolist()), strict=True))
+        for i in of:
+            if i % 2 == 0 and i + 1 in of and of[i] & of[i + 1]:
+                found[i // 2] = True
+    return float(found.mean())
+
+
+def test_recall_by_edit_share_and_length():
+    rng = random.Random(4)
+    for n in range(5, near_dup.SHORT + 1):
+        assert met(rng, n, n // 5, 100) == 1.0  # exact
+    for n, changed in ((26, 5), (30, 6), (40, 8), (80, 16), (200, 20), (200, 30), (200, 36), (200, 40), (1000, 200)):
+        assert met(rng, n, changed) >= 0.95
+
+
+def test_short_texts_equal_brute_force(documents):
+    rng = random.Random(12)
+    texts = []
+    for n in range(1, 26):
+        for _ in range(3):
+            words = prose(rng, n)
+            at = rng.randrange(n)
+            texts += [" ".join(words), " ".join(replaced(rng, words, [n // 2])), " ".join(words[:at] + words[at + 1 :]), " ".join([*words[:at], f"i{rng.randrange(10**6)}", *words[at:]])]
+    got = {r.doc_id: r.class_id for r in near_dup.classes(documents([(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert got == dict(enumerate(brute_classes(texts)))
