@@ -36,6 +36,8 @@ ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted recommended related reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 MAIN_TAGS = frozenset("article main".split())
+#: Class and id words before a word that they say nothing about ("has-sidebar").
+STATES = re.compile(r"\b(?:has|no|not|with|without)[-_]+\S+", re.I)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -111,24 +113,28 @@ def trained() -> Tree:
     return grow(table[:, :-1], table[:, -1])
 
 
-def _marks(name: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element marks the article, or what is beside it."""
-    main, aside = name in MAIN_TAGS, name in ASIDE_TAGS
+def _marks(name: str, attrs: str) -> tuple[bool, bool, bool]:
+    """Whether an element marks the article, or what is beside it; the latter by tag or role, and by a class or id word."""
+    main, aside, named = name in MAIN_TAGS, name in ASIDE_TAGS, False
     if attrs:
         for kind, *value in ATTRIBUTE.findall(attrs):
             text = "".join(value)
             if kind.lower() == "role":
                 main, aside = main or text.lower() == "main", aside or text.lower() in ASIDE_ROLES
             elif name not in ("body", "html"):
-                aside = aside or not ASIDE_WORDS.isdisjoint(w.lower() for w in WORD.findall(text))
-    return main, aside
+                named = named or not ASIDE_WORDS.isdisjoint(w.lower() for w in WORD.findall(STATES.sub(" ", text)))
+    return main, aside, named
 
 
 def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     """(text, link density, in main, in aside, heading) of each non-empty text block, in page order."""
     out: list[tuple[str, float, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, int]] = []
     mains = asides = 0
+    #: Words in each element that only a class or id word sets aside, those now open, and those of each block.
+    held: list[int] = []
+    named: list[int] = []
+    within: list[tuple[int, ...]] = []
     parts: list[str] = []
     linked = link = 0
     heading = False
@@ -140,9 +146,28 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             if text:
                 words = len(text.split(" "))
                 out.append((text, min(1.0, linked / words), mains > 0, asides > 0, heading))
+                within.append(tuple(named))
+                for k in named:
+                    held[k] += words
             parts.clear()
             linked = 0
 
+    def enter(name: str, main: bool, aside: bool, by_name: bool) -> None:
+        nonlocal mains, asides
+        stack.append((name, main, aside, len(held) if by_name else -1))
+        mains, asides = mains + main, asides + aside
+        if by_name:
+            named.append(len(held))
+            held.append(0)
+
+    def leave() -> str:
+        nonlocal mains, asides
+        name, main, aside, at = stack.pop()
+        mains, asides = mains - main, asides - aside
+        if at >= 0:
+            named.pop()
+        return name
+
     def say(text: str) -> None:
         nonlocal linked
         if text:
@@ -162,33 +187,30 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             link = 0 if token["close"] else 1
         elif name == "br":
             parts.append(" ")
-        if name in INLINE and not (token["attrs"] and name != "a" and _marks(name, token["attrs"])[1]):
+        if name in INLINE and not (token["attrs"] and name != "a" and any(_marks(name, token["attrs"])[1:])):
             if token["close"] and any(s[0] == name for s in stack[-1:]):
                 flush()
-                _, m, s = stack.pop()
-                mains, asides = mains - m, asides - s
+                leave()
             continue
         flush()
         heading = name in ("h1", "h2", "h3", "h4", "h5", "h6") and not token["close"]
         if not token["close"]:
             if name == "p" or name not in VOID:
-                m, s = _marks(name, token["attrs"])
+                marks = _marks(name, token["attrs"])
                 if name in ("p", "li") and stack and stack[-1][0] == name:  # an open one ends here
-                    _, m0, s0 = stack.pop()
-                    mains, asides = mains - m0, asides - s0
+                    leave()
                 if not token["attrs"].endswith("/"):
-                    stack.append((name, m, s))
-                    mains, asides = mains + m, asides + s
+                    enter(name, *marks)
         elif any(s[0] == name for s in stack):
             while stack:
-                n, m, s = stack.pop()
-                mains, asides = mains - m, asides - s
-                if n == name:
+                if leave() == name:
                     break
             link = 0
     say(page[at:])
     flush()
-    return out
+    # a wrapper of most of the page's text is not beside the article, whatever its name
+    most = sum(len(b[0].split(" ")) for b in out) / 2
+    return [(*b[:3], b[3] or any(held[k] <= most for k in own), b[4]) for b, own in zip(out, within, strict=True)]
 
 
 def main_text(pages: list[str]) -> list[str]:
@@ -197,7 +219,7 @@ def main_text(pages: list[str]) -> list[str]:
     rows = []
     for page in found:
         words = [len(b[0].split(" ")) for b in page]
-        any_main = any(b[2] for b in page)
+        any_main = any(b[2] and not b[3] for b in page)
         for i, b in enumerate(page):
             before = (words[i - 1], page[i - 1][1]) if i else (0, 0.0)
             after = (words[i + 1], page[i + 1][1]) if i + 1 < len(page) else (0, 0.0)

@@ -65,3 +65,15 @@ def test_pages(spark, small_dir):
     got = html_text.extract(pages).collect()
     assert len(got) == pages.count()
     assert all(r.text and "<p>" not in r.text and "track(" not in r.text for r in got)
+
+
+@pytest.mark.parametrize("mark", ["has-sidebar", "layout no-comments", "header-fixed", "with_login"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_wrapper_class_is_not_an_aside(mark, tag):
+    page = f'<div class="{mark}"><{tag}>{ARTICLE}</{tag}></div><div class="sidebar"><p>Some words beside the article that are not part of it.</p></div>'
+    assert html_text.main_text([page]) == ["\n".join(PARAGRAPHS)]
+
+
+def test_article_inside_an_aside_marks_no_page():
+    page = f'<div>{ARTICLE}</div><aside><article><p>Another article that is not this one but has quite some words in it.</p></article></aside>'
+    assert html_text.main_text([page]) == ["\n".join(PARAGRAPHS)]
