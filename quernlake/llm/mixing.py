@@ -26,8 +26,10 @@ from quernlake.llm.common import written
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
-#: The mix has this many slots at least (fewer where it has fewer tokens); a slot of one token is the smallest.
+#: The mix has this many slots at most (as many as tokens where it has fewer); a slot of one token is the smallest.
 SLOTS = 1 << 17
+#: A source of fewer slots has an exact last part where documents are repeated.
+FEW = 64
 #: Digest buckets of a source (three hexadecimal digits), and slots of a run whose counts are summed.
 PREFIX_DIGITS, RUN = 3, 1 << 10
 #: Cells of the unit interval in which points look for their source.
@@ -105,10 +107,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def repeat(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix as documents, with all their columns: each as often as the schedule takes from it, whole.
 
-    A document that the mix only begins, or takes a second time only in part, counts as taken whole; one it takes nothing
+    Slots are whole in the query; here a source of fewer than FEW has besides them the part, or goes without the part, by
+    which they miss its target, so that a source smaller than a slot stays.  A document that the mix only begins, or takes a second time only in part, counts as taken whole; one it takes nothing
     from is left out.  Rows alike in id and text stand as one with their counts added.
     """
-    taken = placed_mix(docs, key, text, source).filter(F.col("taken") > 0)
+    taken = placed_mix(docs, key, text, source, exact=True).filter(F.col("taken") > 0)
     times = taken.groupBy("digest").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("__times")).withColumnRenamed("digest", "__d")
     whole = docs.withColumn("__digest", _digest(F.col(key), F.coalesce(F.col(text), F.lit("")))).join(times, F.col("__digest") == F.col("__d"))
     first = F.row_number().over(Window.partitionBy("__digest").orderBy("__digest"))
@@ -120,8 +123,8 @@ def _digest(key: Column, whole: Column) -> Column:
     return F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), F.md5(whole)))
 
 
-def placed_mix(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """The mix with each document's digest.
+def placed_mix(docs: DataFrame, key: str, text: str, source: str, exact: bool = False) -> DataFrame:
+    """The mix with each document's digest; exact: a source of few slots ends at its target instead of at a whole slot.
 
     Writes two small tables to the shared folder first (sizes; targets), and takes one row of sums to the driver.
     """
@@ -142,7 +145,13 @@ def placed_mix(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     parts = laps.withColumn("block", F.explode(F.sequence(block(F.col("low")), block(F.col("high") - 1))))
     cut = F.least("high", (F.col("block") + 1) * slot_size) - F.greatest("low", F.col("block") * slot_size)
     met = parts.join(slots, F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("block") == F.col("slot_block")), "left")
-    given = met.groupBy("doc_id", "digest", "source", "size", "source_size", "target", "start").agg(F.sum(F.when(F.col("slot_block").isNotNull(), cut).otherwise(0)).alias("taken"))
+    in_slots = F.when(F.col("slot_block").isNotNull(), cut).otherwise(0)
+    if exact:
+        goal = F.round("target").cast("long")
+        # slots beyond such a target give nothing, and the part that slots leave is one more
+        upto = F.least("high", (F.col("block") + 1) * slot_size, goal)
+        in_slots = F.when(goal < FEW * slot_size, F.greatest(F.lit(0), upto - F.greatest("low", F.col("block") * slot_size))).otherwise(in_slots)
+    given = met.groupBy("doc_id", "digest", "source", "size", "source_size", "target", "start").agg(F.sum(in_slots).alias("taken"))
     empty = known.filter(F.col("size") == 0).select("doc_id", "digest", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     return given.select("doc_id", "digest", "source", "size", "source_size", "target", "taken").unionByName(empty)
 

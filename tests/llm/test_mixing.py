@@ -99,3 +99,12 @@ def test_repeat_follows_the_schedule(documents):
     got = Counter(r.doc_id for r in mixing.repeat(docs).collect())
     assert got == Counter(want)
     assert max(got.values()) <= 2
+
+
+def test_repeat_keeps_tiny_sources(documents, monkeypatch):
+    """Sources below one slot keep their documents in the pipeline."""
+    monkeypatch.setattr(mixing, "SLOTS", 16)
+    docs = documents([(i, "w " * 50, "huge") for i in range(100)] + [(1000 + i, "v " * (1 + i % 3), f"tiny{i}") for i in range(12)])
+    got = Counter(r.doc_id for r in mixing.repeat(docs).collect())
+    assert all(got[1000 + i] == 2 for i in range(12))  # a target of twice the source
+    assert set(range(100)) <= set(got)
