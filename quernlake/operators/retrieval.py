@@ -15,8 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Candidates of each leg, fusion constant and weights, results, context budget in characters.
 CANDIDATES, RRF_K, DENSE_WEIGHT, LEXICAL_WEIGHT, TOP_K, CONTEXT_CHARACTERS = 50, 60, 0.7, 0.3, 12, 30_000
-#: Query vectors that one call sends to every task at most; more go in several calls.
-MAX_QUERY_VECTORS = 10_000
+#: Vectors of a packed block of queries and of candidates, and copies of a query block, so that few of them spread over many tasks.
+QUERY_BLOCK, CANDIDATE_BLOCK, LANES = 512, 4096, 16
 #: Function words that queries drop.
 STOP_WORDS = tuple(
     "از اگر اما ان این با بر برای به بود تا چه چرا چطور چگونه در را روی شد شده شما شود کجا کدام که ما من می و یا یک است باشد هست هستند "
@@ -28,35 +28,51 @@ EDGE_PUNCTUATION = "!\"'(),.:;<>?[\\]{}،؛؟«»…"
 def dense_search(chunks: DataFrame, queries: DataFrame, limit: int = CANDIDATES, key: str = "id", vector: str = "embedding") -> DataFrame:
     """(query_id, id, distance, rank) by cosine distance: the best of a query's variants, ``limit`` results.
 
-    ``queries`` is (query_id, embedding); several rows of one query are its variants.  Every task keeps its own best
-    before anything is shuffled.  Chunks without a vector take no part.
+    ``queries`` is (query_id, embedding); several rows of one query are its variants.  Blocks of queries and of candidates
+    meet by a join, and each pair of blocks keeps only its own best.  Chunks without a vector, or with one of another
+    dimension, take no part.  Runs one count of the queries first, which sets the number of query blocks.
     """
-    rows = queries.limit(MAX_QUERY_VECTORS + 1).collect()
-    if len(rows) > MAX_QUERY_VECTORS:
-        raise ValueError(f"a call takes {MAX_QUERY_VECTORS} query vectors at most")
-    ids = [r["query_id"] for r in rows]
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {chunks.schema[key].dataType.simpleString()}, distance double"
-    if not ids:
-        return chunks.sparkSession.createDataFrame([], schema + ", rank int")
-    matrix = np.array([r["embedding"] for r in rows], float)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    key_type = to_arrow_type(queries.schema["query_id"].dataType)
+    asked = queries.select(F.col("query_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter(F.size("v") > 0)
+    usable = chunks.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") > 0)
+    kinds = [f.schema["id"].dataType.simpleString() for f in (asked, usable)]
+    id_types = [to_arrow_type(f.schema["id"].dataType) for f in (asked, usable)]
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+
+    def pack(limit: int, kind: pa.DataType):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                for n in np.unique(lengths):
+                    rows = np.flatnonzero(lengths == n)
+                    for at in range(0, len(rows), limit):
+                        part = batch.take(pa.array(rows[at : at + limit]))
+                        cells = np.ascontiguousarray(part.column(1).flatten().to_numpy(zero_copy_only=False), "<f8").tobytes()
+                        ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0).cast(kind))
+                        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), ids, pa.array([cells])], ["dims", "ids", "cells"])
+
+        return run
+
+    def unpacked(cells: pa.Array, dims: int) -> np.ndarray:
+        found = np.frombuffer(cells.as_py(), "<f8").reshape(-1, dims)
+        return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = np.array(batch.column(1).to_pylist(), float)
-            found /= np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300)
-            far = 1.0 - found @ matrix.T
-            kept = min(limit, len(found))
-            best = np.argpartition(far, kept - 1, axis=0)[:kept]
-            edge = np.take_along_axis(far, best, 0).max(0)
-            row, column = np.nonzero(far <= edge)  # ties at the edge stay
-            yield pa.RecordBatch.from_arrays([pa.array([ids[c] for c in column], key_type), batch.column(0).take(pa.array(row)), pa.array(far[row, column])], ["query_id", "id", "distance"])
-
-    usable = chunks.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter(F.col("v").isNotNull() & (F.size("v") == matrix.shape[1]))
-    variants = usable.mapInArrow(search, schema).groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+            for i in range(batch.num_rows):
+                dims, q_ids, ids = batch.column(0)[i].as_py(), batch.column(1)[i].values, batch.column(3)[i].values
+                found = unpacked(batch.column(4)[i], dims)
+                far = 1.0 - found @ unpacked(batch.column(2)[i], dims).T
+                kept = min(limit, len(found))
+                edge = np.partition(far, kept - 1, axis=0)[kept - 1]
+                row, column = np.nonzero(far <= edge)  # ties at the edge stay
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(column)).cast(id_types[0]), ids.take(pa.array(row)).cast(id_types[1]), pa.array(far[row, column])], ["query_id", "id", "distance"])
+
+    schemas = [f"dims int, ids array<{k}>, cells binary" for k in kinds]
+    packed = asked.repartition(blocks).mapInArrow(pack(QUERY_BLOCK, id_types[0]), schemas[0])
+    packed = packed.select("dims", F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"))
+    candidates = usable.mapInArrow(pack(CANDIDATE_BLOCK, id_types[1]), schemas[1]).withColumn("lane", F.pmod(F.xxhash64("cells"), F.lit(LANES)).cast("int"))
+    pairs = candidates.join(packed, ["dims", "lane"]).select("dims", "q_ids", "q_cells", "ids", "cells")
+    variants = pairs.mapInArrow(search, f"query_id {kinds[0]}, id {kinds[1]}, distance double").groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     return ranked(variants, limit, F.col("distance"), F.col("id"))
 
 

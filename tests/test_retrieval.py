@@ -112,3 +112,18 @@ def test_upsert_and_embedding(spark):
     assert again.count() == 4
     with pytest.raises(Exception, match="wrong number or size"):
         corpus_store.embed(old, calls, 9).collect()
+
+
+def test_dense_search_takes_any_number_of_queries(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 64)
+    monkeypatch.setattr(retrieval, "CANDIDATE_BLOCK", 8)
+    rng = np.random.default_rng(1)
+    x, q = rng.normal(size=(30, 4)), rng.normal(size=(10_050, 4))
+    chunks = spark.createDataFrame([(f"c{i:02d}", v.tolist()) for i, v in enumerate(x)], "id string, embedding array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id int, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.id for r in retrieval.dense_search(chunks, asked, 2).collect()}
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    best = np.argsort(1 - unit(q) @ unit(x).T, axis=1)[:, :2]
+    assert got == {(i, r + 1): f"c{best[i, r]:02d}" for i in range(len(q)) for r in range(2)}
