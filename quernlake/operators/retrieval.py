@@ -148,8 +148,9 @@ def first_by(rows: DataFrame, column: str, order: str = "position") -> DataFrame
 
 def citation_numbers(rows: DataFrame, url: str = "cite_url", order: str = "position") -> DataFrame:
     """Adds ``number``: sources of one URL share the number of its first appearance."""
-    first = rows.withColumn("__first", F.min(order).over(Window.partitionBy("query_id", url)))
-    return first.withColumn("number", F.dense_rank().over(Window.partitionBy("query_id").orderBy("__first"))).drop("__first")
+    first = rows.groupBy(F.col("query_id").alias("__q"), F.col(url).alias("__u")).agg(F.min(order).alias("__first"))
+    first = first.withColumn("number", F.dense_rank().over(Window.partitionBy("__q").orderBy("__first"))).drop("__first")
+    return rows.join(first, F.col("query_id").eqNullSafe(F.col("__q")) & F.col(url).eqNullSafe(F.col("__u"))).drop("__q", "__u")
 
 
 def evidence_summary(rows: DataFrame) -> DataFrame:

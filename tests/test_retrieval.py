@@ -127,3 +127,11 @@ def test_dense_search_takes_any_number_of_queries(spark, monkeypatch):
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     best = np.argsort(1 - unit(q) @ unit(x).T, axis=1)[:, :2]
     assert got == {(i, r + 1): f"c{best[i, r]:02d}" for i in range(len(q)) for r in range(2)}
+
+
+def test_citation_numbers_rank_urls_not_rows(spark):
+    rows = spark.createDataFrame([("q", i, u) for i, u in enumerate(["b", None, "a", "b", None, "c", "a"])] + [(None, 3, "z")], "query_id string, position int, cite_url string")
+    numbered = retrieval.citation_numbers(rows)
+    got = {(r.query_id, r.position): r.number for r in numbered.collect()}
+    assert got == {("q", 0): 1, ("q", 1): 2, ("q", 2): 3, ("q", 3): 1, ("q", 4): 2, ("q", 5): 4, ("q", 6): 3, (None, 3): 1}
+    assert "Aggregate" in numbered._jdf.queryExecution().optimizedPlan().toString()  # before any window
