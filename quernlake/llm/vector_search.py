@@ -9,7 +9,7 @@ reach its k-th best.  A ranking over each query's few finalists per pair ends th
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without an
 id; shorter vectors count as padded with zeros; a row never meets rows of its own id; ties go to the smaller id;
-repeated rows each stand as candidates; an empty table gives an empty result; extra columns are dropped.  Scores are
+repeated rows each stand as candidates, and each as a query, whose finds are ranked together by id; an empty table gives an empty result; extra columns are dropped.  Scores are
 exact while they stay below 2**53.
 """
 
@@ -110,9 +110,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
         .filter(F.col("id").isNotNull() & (F.size("v") > 0))
         .filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
     )
-    queries = usable.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    # rows alike search once each, of which k at most can show
+    queries = usable.filter(F.col("id") % every == 0).groupBy("id", "v").agg(F.count("*").alias("n"))
+    queries = queries.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k)))))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    packed = queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("q_block")).applyInArrow(_pack_group, f"q_block int, {_prefixed('q_')}")
+    packed = queries.groupBy(F.pmod(F.xxhash64("id", "v", "copy"), F.lit(blocks)).cast("int").alias("q_block")).applyInArrow(_pack_group, f"q_block int, {_prefixed('q_')}")
     packed = packed.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
     candidates = usable.mapInArrow(_packed(CANDIDATE_BLOCK), _prefixed(""))
     candidates = candidates.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(LANES)).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

@@ -67,3 +67,16 @@ def test_bounds_lose_nothing(dims, n, k, seed):
     for i, own in enumerate((-1, -2, -3)):
         want = sorted(((-int(q[:, i] @ c[:, j]), int(ids[j])) for j in range(n)))[:k]
         assert sorted((-int(s), int(v)) for o, v, s in got if o == own) == want
+
+
+def test_every_row_of_an_id_searches(spark):
+    import duckdb
+    from oracle import rows_of
+
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (50, [1.0, 1.0]), (50, [1.0, 1.0]), *((i, [i / 8.0, 2.0 - i / 8.0]) for i in range(1, 12))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings(vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    want = con.sql(vector_search.ORACLE)
+    got = vector_search.top_k(spark.createDataFrame(rows, VECTORS).repartition(3))
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(want.columns, want.fetchall())
