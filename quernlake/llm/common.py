@@ -7,7 +7,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +52,27 @@ def slices(texts: list, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
         size += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def spans(texts: pa.Array, limit: int = 4_000_000) -> list[tuple[int, int]]:
+    """Ranges [a, b) of the rows of an Arrow column of texts, of about ``limit`` bytes; a longer row stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, a, before = [], 0, 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, before + limit, "right")))
+        out.append((a, b))
+        a, before = b, int(ends[b - 1])
+    return out
+
+
+def fresh_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as set it apart from the columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def row_digest(key: Column, digest: Column) -> Column:
+    """One binary column for a row's id (null is a value of its own) and the digest of its text."""
+    return F.unhex(F.sha2(F.concat(digest, F.encode(F.coalesce(F.concat(F.lit(":"), key.cast("string")), F.lit("")), "UTF-8")), 256))

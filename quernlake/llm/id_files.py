@@ -28,13 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import slices, written
+from quernlake.llm.common import spans, written
 
 END = 0
 BLOCK = 2048
-#: Characters of text in a file row, blocks coded in step, and pre-tokens that a worker remembers.
-ROW_CHARS, LANES, MEMO = 14_000_000, 4096, 500_000
-#: Chunks that go to the library as one text.
+#: Bytes of text in a file row, blocks coded in step, and units that a worker remembers.
+ROW_BYTES, LANES, MEMO = 14_000_000, 4096, 1_000_000
+#: Units that go to the library as one text.
 JOINED = 100
 #: Prediction tables of a block have so many slots.
 SLOTS = 1 << 9
@@ -51,9 +51,12 @@ STEP, FULL = np.float32(48), 16384
 HASH = 40503, 30011
 U = np.uint64
 LOW31, RENEW = U((1 << 31) - 1), U(1 << 31)
-#: Before a single space between characters that are no white space; white space that keeps a text from the quick cut.
-SINGLE_SPACE, SPACE = re.compile(r"(?<=\S)(?= \S)"), r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+#: White space; a single space between characters that are none; white space that keeps a text from the quick cut.
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+SINGLE_SPACE = rf"([^{SPACE[1:]}) ([^{SPACE[1:]})"
 ODD_SPACE = rf"{SPACE}{SPACE}|\A{SPACE}|{SPACE}\z"
+#: Marks that are cut from a word, and letters and digits before which no cut moves: such as every Unicode version has.
+END_MARKS, LETTER_LAST = ".,;:!?", r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{410}-\x{44F}\x{4E00}-\x{9FA5}]\z"
 
 
 class Model:
@@ -182,6 +185,7 @@ def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
 
 @lru_cache(2)
 def _tokenizer(path: str):  # noqa: ANN202
+    """The library's tokenizer, a pattern of its special strings, and the number of bytes that each id spells."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -191,60 +195,119 @@ def _tokenizer(path: str):  # noqa: ANN202
     if tokenizer.get_vocab_size() > 1 << 16:
         raise ValueError("this format holds vocabularies of up to 65,536 ids")
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    spelled = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())])  # bytes of each id
-    return tokenizer, re.compile("|".join(map(re.escape, special)) or "(?!)"), spelled, {}  # the last: chunks this worker remembers
-
-
-def chunk_ids(chunks: list[str], path: str) -> list[bytes]:
-    """Ids of each chunk.  Chunks that begin with a single space go to the library many in a text, which is told apart by the bytes that ids spell."""
-    tokenizer, _, spelled, _ = _tokenizer(path)
-    joins = np.array([len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() for c in chunks], bool)
-    out: list[bytes] = [b""] * len(chunks)
-    at, alone = np.flatnonzero(joins).tolist(), np.flatnonzero(~joins).tolist()
-    for a in range(0, len(at), JOINED * 500):
-        part = at[a : a + JOINED * 500]
-        words = [chunks[i] for i in part]
-        found = tokenizer.encode_batch_fast(["".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)], add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
-        ends, bounds = np.cumsum(spelled[ids]), np.cumsum([len(w.encode()) for w in words])
-        stops = np.searchsorted(ends, bounds)
-        if not np.array_equal(ends[stops], bounds):
-            raise ValueError("ids of this vocabulary do not spell the bytes of a text")
-        raw, begin = ids.tobytes(), 0
-        for i, stop in zip(part, ((stops + 1) * 4).tolist(), strict=True):
-            out[i] = raw[begin:stop]
-            begin = stop
-    for i, e in zip(alone, tokenizer.encode_batch_fast([chunks[i] for i in alone], add_special_tokens=False), strict=True):
-        out[i] = np.array(e.ids, "<u4").tobytes()
-    return out
+    spelled = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size())])
+    return tokenizer, "|".join(["\\x00", *map(re.escape, special)]), spelled
+
+
+class Memo:
+    """Units that a worker has had from the library, with their ids; beyond MEMO units it starts afresh, which changes no result."""
+
+    def __init__(self):
+        self.units, self.flat, self.sizes = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
+    def ids(self, units: pa.StringArray, path: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units, and their numbers."""
+        at = pc.index_in(units, value_set=self.units)
+        fresh = units.filter(at.is_null())
+        flat, sizes = unit_ids(fresh, path)
+        at = at.to_numpy(zero_copy_only=False)
+        new = np.isnan(at)
+        pick = np.where(new, len(self.units) + np.cumsum(new) - 1, np.nan_to_num(at)).astype(np.int64)
+        flat, sizes = np.r_[self.flat, flat], np.r_[self.sizes, sizes]
+        out = _picked(flat, sizes, pick), sizes[pick]
+        if len(sizes) <= MEMO:
+            self.units, self.flat, self.sizes = pa.concat_arrays([self.units, fresh]), flat, sizes
+        else:
+            self.units, self.flat, self.sizes = units, *out
+        return out
+
+
+@lru_cache(2)
+def _memo(path: str) -> Memo:
+    return Memo()
+
+
+def _flat(encodings: list) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all encodings, and their numbers."""
+    ids = [np.array(e.ids, np.uint32) for e in encodings]
+    return np.concatenate([np.zeros(0, np.uint32), *ids]), np.fromiter(map(len, ids), np.int64, len(ids))
+
+
+def _picked(flat: np.ndarray, sizes: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` (of the given sizes) that ``pick`` names, one after another; some at a time, so that they stay in the cache."""
+    begins, n, at = np.cumsum(sizes) - sizes, sizes[pick], 0
+    out = np.empty(int(n.sum()), flat.dtype)
+    for a in range(0, len(pick), 1 << 15):
+        part = n[a : a + (1 << 15)]
+        ends = np.cumsum(part)
+        source = np.repeat(begins[pick[a : a + (1 << 15)]] - (ends - part), part)
+        source += np.arange(len(source))
+        np.take(flat, source, out=out[at : at + len(source)], mode="clip")
+        at += len(source)
+    return out
 
-def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids and END as little-endian 32-bit integers, as the library gives them for the whole text.
 
-    Texts are cut before single spaces between characters that are none, which byte-level pre-tokens never cross; each
-    distinct chunk goes to the library once.  Texts with special strings or null characters go to it whole.
+def unit_ids(units: pa.StringArray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all units, and their numbers.  Units that begin with a single space go to the library many in a text, which is told apart by the bytes that ids spell."""
+    tokenizer, _, spelled = _tokenizer(path)
+    joins = pc.and_(pc.match_substring_regex(units, rf"\A [^{SPACE[1:]}"), pc.match_substring_regex(units, rf"[^{SPACE[1:]}\z"))
+    together, alone = np.flatnonzero(joins), np.flatnonzero(pc.invert(joins))
+    some = units.take(pa.array(together))
+    ends = np.r_[0, np.cumsum(pc.binary_length(some).to_numpy())]
+    data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), "")[0].as_buffer().to_pybytes() if len(some) else b""
+    cuts = ends[np.r_[0 : len(some) : JOINED, len(some)]].tolist()
+    ids, _ = _flat(tokenizer.encode_batch_fast([data[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a], add_special_tokens=False))
+    spelt = np.cumsum(spelled[ids])
+    stops = np.searchsorted(spelt, ends[1:])
+    if len(stops) and (stops[-1] >= len(spelt) or not np.array_equal(spelt[stops], ends[1:])):
+        raise ValueError("ids of this vocabulary do not spell the bytes of a text")
+    own, n = _flat(tokenizer.encode_batch_fast(units.take(pa.array(alone)).to_pylist(), add_special_tokens=False))
+    sizes = np.r_[np.diff(np.r_[0, stops + 1]), n]
+    order = np.empty(len(units), np.int64)
+    order[np.r_[together, alone]] = np.arange(len(units))
+    return _picked(np.r_[ids, own], sizes, order), sizes[order]
+
+
+def token_ids(texts: pa.StringArray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts, END after each, and their numbers by text, as the library gives them for the whole texts.
+
+    Texts are cut before single spaces between characters that are none, and chunks between a letter and the marks that
+    end them: byte-level pre-tokens never cross such places.  Each distinct unit goes to the library once.  Texts with
+    special strings or null characters go to it whole.
     """
-    tokenizer, special, _, seen = _tokenizer(path)
-    odd = pc.match_substring_regex(pa.array(texts, pa.string()), ODD_SPACE).to_pylist()
-    whole = ["\0" in t or special.search(t) is not None for t in texts]
-    cut = ["" if w else SINGLE_SPACE.sub("\0", t) if o else t.replace(" ", "\0 ") for t, w, o in zip(texts, whole, odd, strict=True)]
-    listed = pc.split_pattern(pa.array(cut, pa.string()), "\0")
+    tokenizer, special, _ = _tokenizer(path)
+    whole = pc.match_substring_regex(texts, special)
+    usual = pc.if_else(whole, "", texts)
+    odd = pc.match_substring_regex(usual, ODD_SPACE)
+    parts = [pc.replace_substring(usual.filter(pc.invert(odd)), " ", "\0 "), pc.replace_substring_regex(usual.filter(odd), SINGLE_SPACE, "\\1\0 \\2")]
+    back = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+    listed = pc.split_pattern(pa.concat_arrays(parts).take(pa.array(back)), "\0")
     coded = listed.flatten().dictionary_encode()
-    chunks = coded.dictionary.to_pylist()
-    fresh = [c for c in chunks if c not in seen]
-    if len(seen) + len(fresh) > MEMO:
-        seen.clear()
-        fresh = chunks
-    seen.update(zip(fresh, chunk_ids(fresh, path), strict=True))
-    known = list(map(seen.__getitem__, chunks))
-    sizes, flat = np.fromiter(map(len, known), np.int64, len(known)) // 4, np.frombuffer(b"".join(known), "<u4")
-    at = coded.indices.to_numpy()
-    n = sizes[at]
-    ids = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    stops = np.r_[0, np.cumsum(n)][listed.offsets.to_numpy()].tolist()
-    end = np.array([END], "<u4").tobytes()
-    return [(np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4") if w else ids[a:b]).tobytes() + end for t, w, a, b in zip(texts, whole, stops[:-1], stops[1:], strict=True)]
+    chunks, at = coded.dictionary, coded.indices.to_numpy()
+    # chunks as a stem and the marks after it
+    bare = pc.ascii_rtrim(chunks, characters=END_MARKS)
+    stems = pc.if_else(pc.match_substring_regex(bare, LETTER_LAST), bare, chunks)
+    over = (pc.binary_length(chunks).to_numpy() - pc.binary_length(stems).to_numpy()).astype(np.int64)
+    marked = np.flatnonzero(over)
+    marks = [c[-n:] for c, n in zip(chunks.take(pa.array(marked)).to_pylist(), over[marked].tolist(), strict=True)]
+    units = pa.concat_arrays([stems, pa.array(marks, pa.string())]).dictionary_encode()
+    flat, sizes = _memo(path).ids(units.dictionary, path)
+    sizes = np.r_[sizes, 0]
+    pairs = np.full((len(chunks), 2), len(sizes) - 1)
+    pairs[:, 0] = units.indices[: len(chunks)].to_numpy()
+    pairs[marked, 1] = units.indices[len(chunks) :].to_numpy()
+    flat, sizes = _picked(flat, sizes, pairs.ravel()), sizes[pairs].sum(1)
+    # END, and the texts that went whole, are further chunks; a whole text has the empty chunk alone, which its own replaces
+    own = np.flatnonzero(whole)
+    ids, n = _flat([tokenizer.encode(t, add_special_tokens=False) for t in texts.take(pa.array(own)).to_pylist()])
+    flat, sizes = np.r_[flat, np.uint32(END), ids].astype(np.uint32), np.r_[sizes, 1, n]
+    starts = listed.offsets.to_numpy() - listed.offsets[0].as_py()
+    at = at.astype(np.int64)
+    at[starts[own]] = len(chunks) + 1 + np.arange(len(own))
+    at = np.insert(at, starts[1:], len(chunks))
+    stops = starts + np.arange(len(starts))
+    counts = np.add.reduceat(sizes[at], stops[:-1]) if len(texts) else np.zeros(0, np.int64)
+    return _picked(flat, sizes, at), counts
 
 
 ROW = "part int, seq int, doc_ids array<{key}>, n_tokens array<long>, block_sizes array<int>, block_crcs array<long>, blocks array<binary>"
@@ -256,18 +319,16 @@ def write_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, ROW_CHARS):
-                raw = [x for c, d in slices(texts[a:b], 5_000_000) for x in token_ids(texts[a + c : a + d], path)]
-                ids = np.frombuffer(b"".join(raw), "<u4")
+            for a, b in spans(batch.column(1), ROW_BYTES):
+                ids, counts = token_ids(batch.column(1).slice(a, b - a), path)
                 blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
                 coded = [x for i in range(0, len(blocks), LANES) for x in encode(blocks[i : i + LANES])]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([part], pa.int32()), pa.array([seq], pa.int32()),
                     pa.array([batch.column(0).slice(a, b - a).to_pylist()], pa.list_(batch.schema.field(0).type)),
-                    pa.array([[len(x) // 4 for x in raw]], pa.list_(pa.int64())),
+                    pa.array([counts.tolist()], pa.list_(pa.int64())),
                     pa.array([[len(x) for x in blocks]], pa.list_(pa.int32())),
-                    pa.array([[zlib.crc32(x.tobytes()) for x in blocks]], pa.list_(pa.int64())), pa.array([coded], pa.list_(pa.binary())),
+                    pa.array([[zlib.crc32(x.astype("<u4").tobytes()) for x in blocks]], pa.list_(pa.int64())), pa.array([coded], pa.list_(pa.binary())),
                 ], ["part", "seq", "doc_ids", "n_tokens", "block_sizes", "block_crcs", "blocks"])
                 seq += 1
 

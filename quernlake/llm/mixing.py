@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import written
+from quernlake.llm.common import fresh_name, written
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -108,15 +108,15 @@ def repeat(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """The mix as documents, with all their columns: each as often as the schedule takes from it, whole.
 
     Slots are whole in the query; here a source of fewer than FEW has besides them the part, or goes without the part, by
-    which they miss its target, so that a source smaller than a slot stays.  A document that the mix only begins, or takes a second time only in part, counts as taken whole; one it takes nothing
-    from is left out.  Rows alike in id and text stand as one with their counts added.
+    which they miss its target, so that a source smaller than a slot stays.  A document that the mix only begins, or takes
+    a second time only in part, counts as taken whole; one it takes nothing from is left out.  Rows alike in id and text
+    stand as one with their counts added.  Texts are shuffled once, by the digest of id and text, rows alike once per task.
     """
+    row, times = fresh_name(docs, "row"), fresh_name(docs, "times")
     taken = placed_mix(docs, key, text, source, exact=True).filter(F.col("taken") > 0)
-    times = taken.groupBy("digest").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("__times")).withColumnRenamed("digest", "__d")
-    whole = docs.withColumn("__digest", _digest(F.col(key), F.coalesce(F.col(text), F.lit("")))).join(times, F.col("__digest") == F.col("__d"))
-    first = F.row_number().over(Window.partitionBy("__digest").orderBy("__digest"))
-    once = whole.withColumn("__n", first).filter(F.col("__n") == 1)
-    return once.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+    counts = taken.groupBy(F.col("digest").alias(row)).agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(times))
+    once = docs.withColumn(row, _digest(F.col(key), F.coalesce(F.col(text), F.lit("")))).dropDuplicates([row]).join(counts, row)
+    return once.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*docs.columns)
 
 
 def _digest(key: Column, whole: Column) -> Column:

@@ -9,19 +9,20 @@ Short texts, of SHORT words at most, also have runs of 2 to 4 words by place: e
 text untouched, and move it by e places at most, so that no link between two short texts is missed.
 
 Candidates: all texts of one sketch value.  A pair is a link if the banded alignment of its words needs at most 20 % of
-the longer text's words as edits.  First they meet the value's smallest text, then its text with most links so far (stars,
-never all pairs).  Of a text's candidates the one that most sketches name is aligned first.  Where a value still holds
-several classes, its blocks of members meet each other: pairs of two classes are aligned unless their lengths or bags of
-words already tell that they are no link.  What is in one class needs no alignment, which leaves classes as they would
-be.  Classes are the connected components of links, with equal texts as one.
+the longer text's words as edits.  First they meet the value's smallest text (stars, never all pairs); of a text's
+candidates the one that most sketches name is aligned first.  Where a value still holds several classes, its members go
+on in rounds: in blocks, each names its nearest partner of another class by bags of words, so that a group of copies
+grows together at a cost linear in its size; at last all blocks of what still stands apart meet, and every pair of two
+classes is aligned unless lengths or bags already tell that it is no link.  What is in one class needs no alignment,
+which leaves classes as they would be.  Classes are the connected components of links, with equal texts as one.
 
 Result: one row per document with the smallest document id of its class, the size of the class, and whether the
 document is kept (it has the class's smallest id; where texts share that id, the one of smallest digest).
 
 Defined cases: a null text is an empty one, and empty or blank texts equal in bytes are one class; texts under three words
 have one k-mer, their whole word sequence; null ids are no class's smallest unless all are null; repeated rows are in one
-class; an empty table gives an empty result; classes() drops columns not named, deduplicate() keeps all (names that begin
-with two underscores excepted); texts of any length are taken whole.
+class; an empty table gives an empty result; classes() drops columns not named, deduplicate() keeps all; texts of any
+length are taken whole.
 
 Scale: texts themselves are never shuffled, but 4-byte word hashes of texts that have a candidate are.  Equal texts are
 sketched once per task.  Tables that meet on a hot key (a large group's representative) are written first, so that both
@@ -35,10 +36,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import slices, written
+from quernlake.llm.common import fresh_name, row_digest, slices, written
 
 K = 3
 PERMUTATIONS, LEVEL = 48, 2
@@ -47,8 +48,10 @@ SHORT = 25
 SIMILARITY = 0.8
 #: Of a text's k-mers so many are expected below the threshold that spares sorting them all.
 EXPECTED = 16
-#: Members of a sketch value that are compared at once, and counters of a text's bag of words.
-BLOCK, BINS = 256, 256
+#: Members of a sketch value that are compared at once, counters of a text's bag of words, and bytes of a text's digest.
+BLOCK, BINS, TID = 256, 256, 20
+#: How values that hold several classes are worked off: across blocks or inside each, and a member's nearest partner or all.
+ROUNDS = ((False, True), (False, True), (True, True), (True, False))
 SEED = 0x5DEECE66D
 
 
@@ -292,15 +295,16 @@ def _bags(words: DataFrame) -> DataFrame:
     return words.select("tid", "words").mapInArrow(run, "tid binary, n long, bag binary")
 
 
-def near_bags(x: list[dict], y: list[dict], same: bool) -> list[tuple[int, int]]:
+def near_bags(x: list[dict], y: list[dict], same: bool, nearest: bool = False) -> list[tuple[int, int]]:
     """Places (i, j) of members of two blocks that are in two classes and that lengths and bags allow to be a link.
 
-    An edit changes the counters by 2 at most, so that half their difference bounds the edits from below.
+    An edit changes the counters by 2 at most, so that half their difference bounds the edits from below.  ``nearest``: of
+    each member's partners only the one whose bag differs least.
     """
     nx, ny = np.array([m["n"] for m in x]), np.array([m["n"] for m in y])
     most = ((1 - SIMILARITY) * np.maximum(nx[:, None], ny) + 1e-9).astype(np.int64)
     may = np.abs(nx[:, None] - ny) <= most
-    may &= np.array([m["root"] for m in x], "S16")[:, None] != np.array([m["root"] for m in y], "S16")
+    may &= np.array([m["root"] for m in x], f"S{TID}")[:, None] != np.array([m["root"] for m in y], f"S{TID}")
     if same:
         may = np.triu(may, 1)
     if not may.any():
@@ -310,36 +314,45 @@ def near_bags(x: list[dict], y: list[dict], same: bool) -> list[tuple[int, int]]
     for i in np.flatnonzero(may.any(1)).tolist():
         at = np.flatnonzero(may[i])
         far = np.abs(bags[at] - np.frombuffer(x[i]["bag"], np.uint8)).sum(1, dtype=np.int64)
+        if nearest:
+            least = int(far.argmin())
+            at, far = at[least : least + 1], far[least : least + 1]
         out += [(i, j) for j in at[far <= 2 * most[i, at]].tolist()]
     return out
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The (key, tid, root) of ``members`` (key, tid) whose sketch value holds several classes."""
+    """The (key, tid, root, size) of ``members`` (key, tid) whose sketch value holds several classes."""
     tagged = members.join(roots.withColumnRenamed("node", "tid"), "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root"))
     tagged = written(tagged, "near-tagged")
     several = tagged.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter(F.col("low") != F.col("high"))
     return written(tagged.join(written(several.select("key", "size"), "near-several"), "key"), "near-open")
 
 
-def _met_blocks(members: DataFrame, words: DataFrame) -> DataFrame:
-    """(a, b), a > b, of each pair of ``members`` (key, tid, root, size) of one value that may be a link of two classes."""
+def _met_blocks(members: DataFrame, bags: DataFrame, across: bool, nearest: bool) -> DataFrame:
+    """(a, b), a > b, of pairs of ``members`` (key, tid, root, size) of one value that may be a link of two classes.
+
+    Members meet inside their block, or across all blocks of the value; ``nearest``: each names one partner a block at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: set[tuple[bytes, bytes]] = set()
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                x, y = row["x"], row["y"]
-                for i, j in near_bags(x, y, row["block"] == row["other"]):
+                x, y = row["x"], row["y"] if across else row["x"]
+                for i, j in near_bags(x, y, not across or row["block"] == row["other"], nearest):
                     a, b = x[i]["tid"], y[j]["tid"]
                     found.add((max(a, b), min(a, b)))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in range(2)], ["a", "b"])
 
-    bags = written(_bags(words.join(members.select("tid").distinct(), "tid", "left_semi")), "near-bags")
-    block = F.pmod(F.xxhash64("tid"), F.ceil(F.col("size") / BLOCK)).alias("block")
+    # blocks differ from value to value, so that members of a group mix
+    block = F.pmod(F.xxhash64("tid", "key"), F.ceil(F.col("size") / BLOCK)).alias("block")
     rows = members.select("key", "tid", "root", block).join(bags, "tid")
-    packed = written(rows.groupBy("key", "block").agg(F.collect_list(F.struct("tid", "root", "n", "bag")).alias("x")), "near-blocks")
+    packed = rows.groupBy("key", "block").agg(F.collect_list(F.struct("tid", "root", "n", "bag")).alias("x"))
+    if not across:
+        return packed.select("x").mapInArrow(run, "a binary, b binary").distinct()
+    packed = written(packed, "near-blocks")
     two = packed.select(F.col("key").alias("k"), F.col("block").alias("other"), F.col("x").alias("y"))
     met = packed.join(two, (F.col("key") == F.col("k")) & (F.col("block") <= F.col("other")))
     return met.select("block", "other", "x", "y").mapInArrow(run, "a binary, b binary").distinct()
@@ -368,9 +381,14 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "component-edges")
 
 
+def text_digest(whole: Column) -> Column:
+    """The first TID bytes of a text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(whole, 256), 1, 2 * TID))
+
+
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).alias("doc_id"), F.unhex(F.md5(whole)).alias("tid"), whole.alias("text"))
+    return docs.select(F.col(key).alias("doc_id"), text_digest(whole).alias("tid"), whole.alias("text"))
 
 
 def text_classes(rows: DataFrame) -> DataFrame:
@@ -395,23 +413,20 @@ def text_classes(rows: DataFrame) -> DataFrame:
     open_ = tagged.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     links = written(first.unionByName(_verified(written(open_, "near-open"), words)), "near-links")
     roots = components(links)
-    # values of three members and more that hold several classes: their text of most links, then all that is left
-    aligned = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    # values of three members and more that hold several classes: nearest partners in blocks, then across them, then all that is left
+    tried = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     left = _open(members.filter(F.col("size") > 2).select("key", "tid").distinct(), roots)
-    degree = links.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("degree"))
-    hubs = left.join(degree, "tid").groupBy("key").agg(F.max_by(F.struct("tid", "root"), F.struct("degree", "tid")).alias("hub"))
-    hubs = written(hubs.select("key", "hub.tid", "hub.root").toDF("key", "hub", "hub_root"), "near-hubs")
-    spokes = left.join(hubs, "key").filter(F.col("root") != F.col("hub_root")).select(F.greatest("tid", "hub").alias("a"), F.least("tid", "hub").alias("b")).distinct()
-    spokes = written(spokes.join(aligned, ["a", "b"], "left_anti"), "near-spokes")
-    more = written(_verified(spokes, words), "near-links")
-    links = links.unionByName(more)
-    if not more.isEmpty():
-        roots = components(links)
-        left = _open(left.select("key", "tid"), roots)
-    pairs = _met_blocks(left, words).join(aligned.unionByName(spokes), ["a", "b"], "left_anti")
-    more = written(_verified(written(pairs, "near-pairs"), words), "near-links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    bags = written(_bags(words.join(left.select("tid").distinct(), "tid", "left_semi")), "near-bags")
+    for across, nearest in ROUNDS:
+        if left.isEmpty():
+            break
+        pairs = written(_met_blocks(left, bags, across, nearest).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        more = written(_verified(pairs, words), "near-links")
+        tried = tried.unionByName(pairs)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links)
+            left = _open(left.select("key", "tid"), roots)
     # texts, their smallest ids, and the smallest id of each class
     ids = rows.groupBy("tid", "doc_id").agg(F.count("*").alias("n"))
     texts = written(ids.groupBy("tid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("low"), F.sum("n").alias("n")), "near-texts")
@@ -432,9 +447,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, with all its columns: the kept one (of rows alike in id and text, one)."""
-    facts = text_classes(_rows(docs, key, text)).filter(F.col("tid") == F.col("kept_tid")).select(F.col("kept_tid").alias("__tid"), F.col("class_id").alias("__id"))
-    tid = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    kept = docs.withColumn("__t", tid).join(facts, (F.col("__t") == F.col("__tid")) & F.col(key).eqNullSafe(F.col("__id")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("__t", key).orderBy("__t"))
-    return kept.withColumn("__n", first).filter(F.col("__n") == 1).drop("__t", "__n")
+    """One document of each class, with all its columns: the kept one (of rows alike in id and text, one).
+
+    Texts are shuffled once, by a digest of id and text; rows alike in both are one per task before that.
+    """
+    facts = text_classes(_rows(docs, key, text)).filter(F.col("tid") == F.col("kept_tid"))
+    row = fresh_name(docs, "row")
+    marked = docs.withColumn(row, row_digest(F.col(key), text_digest(F.coalesce(F.col(text), F.lit("")))))
+    kept = facts.select(row_digest(F.col("class_id").cast(docs.schema[key].dataType), F.col("tid")).alias(row))
+    return marked.dropDuplicates([row]).join(kept, row, "left_semi").select(*docs.columns)

@@ -4,14 +4,15 @@ Each pre-token has a lattice of the pieces that cover it.  Forward filtering sum
 position; backward sampling draws, from the end, the piece that ends there by its share of that sum.  A piece weighs
 (rank + 2) ** -ALPHA, with its rank in the vocabulary.  Lattices are built once per distinct pre-token; the draws run
 for all occurrences of a batch in step.  Random numbers are hashes of the row key, the pre-token's place in the text and the
-draw's number, so a row gets the same segmentation in any partitioning and rerun.
+draw's number, so a row gets the same segmentation in any partitioning and rerun.  Where rows repeat on purpose, as in a
+mix, numbered_copies() tells them apart, and each copy gets its own segmentation.
 
 Characters without a piece, and the space mark where a text itself holds it, become byte pieces, so decoding gives every
 text back exactly.
 
 Defined cases: null and empty texts have no pieces and decode to an empty text; null keys share one seed; repeated rows
 get equal pieces; very long texts and words are taken whole; an empty table gives an empty result; columns named in
-``keep`` pass through, others are dropped.  Nothing is shuffled.
+``keep`` pass through, others are dropped.  Nothing is shuffled but by numbered_copies().
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import slices
+from quernlake.llm.common import fresh_name, row_digest, spans
 from quernlake.llm.token_counts import MARK, ranks_of
 
 ALPHA, SEED = 0.5, 7
-#: Characters of text whose lattices stand in memory at a time; a longer text stands alone.
-SLICE = 1_000_000
+#: Bytes of text whose lattices stand in memory at a time; a longer text stands alone.
+SLICE = 600_000
 #: Stands for a space mark that the text itself holds; no valid text contains it.
 OWN_MARK = "\ud800"
 #: Weight of a character spelled in bytes.
@@ -205,23 +206,57 @@ def sample(texts: Sequence[str], keys: Sequence[object], lattices: Lattices, see
     return np.split(out, stops[:-1])
 
 
-def encode(docs: DataFrame, model: str, keep: Sequence[str] = (), key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
-    """(doc_id, keep..., text, piece_ids) of each document: a sampled segmentation seeded by its key."""
+def _columns(frame: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+
+
+def _sampled(batch: pa.RecordBatch, lattices: Lattices, seed: int) -> Iterator[tuple[pa.RecordBatch, list[str], list[np.ndarray]]]:
+    """Some rows of (doc_id, copy, ..., text) at a time, with their texts and sampled ids."""
+    column = batch.column("text")
+    for a, b in spans(column, SLICE):
+        part = batch.slice(a, b - a)
+        texts = part.column("text").to_pylist()
+        keys = [f"{k}:{c}" if c else k for k, c in zip(part.column("doc_id").to_pylist(), part.column("copy").to_pylist(), strict=True)]
+        yield part, texts, sample(texts, keys, lattices, seed)
+
+
+def _listed(ids: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(list(map(len, ids)))], pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+
+
+def spell(ids: np.ndarray, raw: list[bytes]) -> str:
+    """The text that piece ids spell."""
+    return b"".join([raw[i] for i in ids.tolist()])[1:].decode()
+
+
+def numbered_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(all columns, copy): rows alike in id and text are counted from 0, so that each may have a seed of its own.
+
+    Of such rows the other columns are those of one of them.  Texts are shuffled once, alike ones once per task.
+    """
+    row = fresh_name(docs, "row")
+    alike = docs.withColumn(row, row_digest(F.col(key), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).cast("binary")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    counted = alike.groupBy(row).agg(F.first(whole).alias("whole"), F.count("*").alias("n"))
+    return counted.select("whole.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+
+
+def _rows(docs: DataFrame, keep: Sequence[str], key: str, text: str, copy: str | None) -> DataFrame:
+    number = F.col(copy).cast("long") if copy else F.lit(0).cast("long")
+    return docs.select(F.col(key).alias("doc_id"), *keep, number.alias("copy"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def encode(docs: DataFrame, model: str, keep: Sequence[str] = (), key: str = "doc_id", text: str = "text", seed: int = SEED, copy: str | None = None) -> DataFrame:
+    """(doc_id, keep..., text, piece_ids) of each document: a sampled segmentation seeded by its key, and by the copy's number where a column has that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = lattices_of(model)
         for batch in batches:
-            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in slices(texts, SLICE):
-                ids = sample(texts[a:b], keys[a:b], lattices, seed)
-                offsets = pa.array(np.r_[0, np.cumsum(list(map(len, ids)))], pa.int32())
-                column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, "piece_ids"])
+            for part, _, ids in _sampled(batch, lattices_of(model), seed):
+                yield pa.RecordBatch.from_arrays([*part.drop_columns(["copy"]).columns, _listed(ids)], [*kept, "piece_ids"])
 
-    rows = docs.select(F.col(key).alias("doc_id"), *keep, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, piece_ids array<int>")
+    rows = _rows(docs, keep, key, text, copy)
+    kept = rows.drop("copy").columns
+    return rows.mapInArrow(run, f"{_columns(rows.drop('copy'))}, piece_ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -233,20 +268,42 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             column = batch.column("piece_ids")
             ids = column.flatten().to_numpy(zero_copy_only=False).astype("<u4")
             offsets = np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))].tolist()
-            texts, digests = [], []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                texts.append(b"".join([raw[i] for i in ids[a:b].tolist()])[1:].decode())
-                digests.append(zlib.crc32(ids[a:b].tobytes()))
+            each = [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            texts, digests = [spell(x, raw) for x in each], [zlib.crc32(x.tobytes()) for x in each]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(digests, pa.int64())], [*batch.schema.names, "decoded", "ids_crc32"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{schema}, decoded string, ids_crc32 long")
+    return encoded.mapInArrow(run, f"{_columns(encoded)}, decoded string, ids_crc32 long")
+
+
+def both_ways(docs: DataFrame, model: str, keep: Sequence[str] = (), key: str = "doc_id", text: str = "text", seed: int = SEED, copy: str | None = None) -> DataFrame:
+    """(doc_id, keep..., n_bytes, n_pieces, piece_ids, ids_crc32, decoded_sha256, lossless): encode() and decode() in one pass.
+
+    Texts and their decoded copies stay in the worker, some at a time; of them come back the ids, sizes and digests.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = spelled(model)
+        for batch in batches:
+            for part, texts, ids in _sampled(batch, lattices_of(model), seed):
+                sizes, digests, lossless = [], [], []
+                for t, x in zip(texts, ids, strict=True):
+                    back = spell(x, raw)
+                    data = back.encode()
+                    sizes.append(len(data) if back == t else len(t.encode()))
+                    digests.append(hashlib.sha256(data).hexdigest())
+                    lossless.append(back == t)
+                crcs = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+                made = [pa.array(sizes, pa.int64()), pa.array(list(map(len, ids)), pa.int64()), _listed(ids), pa.array(crcs, pa.int64()), pa.array(digests, pa.string()), pa.array(lossless, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.drop_columns(["copy", "text"]).columns, *made], [*kept.columns, *MADE])
+
+    rows = _rows(docs, keep, key, text, copy)
+    kept = rows.drop("copy", "text")
+    return rows.mapInArrow(run, f"{_columns(kept)}, n_bytes long, n_pieces long, piece_ids array<int>, ids_crc32 long, decoded_sha256 string, lossless boolean")
+
+
+MADE = ("n_bytes", "n_pieces", "piece_ids", "ids_crc32", "decoded_sha256", "lossless")
 
 
 def round_trip(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_pieces, ids_crc32, decoded_sha256, lossless) of each document, digests taken from the real ids and decoded texts."""
-    both = decode(encode(docs, model, (), key, text), model)
-    return both.select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("piece_ids").cast("long").alias("n_pieces"), "ids_crc32",
-        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("lossless"),
-    )
+    return both_ways(docs, model, (), key, text).drop("piece_ids")
