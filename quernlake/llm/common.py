@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one in local mode alone, where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quernlake-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -35,10 +36,12 @@ def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps, which else stay until the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Bytes of a text's digest: enough of its SHA-256 to tell apart even texts made to collide.
+TID = 20
+
+
+def text_digest(whole: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(whole, 256), 1, 2 * TID))
 
 
 def slices(texts: list, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:

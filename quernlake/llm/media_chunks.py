@@ -5,8 +5,11 @@ gear hash cuts it into chunks at places that depend on the content alone; chunks
 
 1. A first pass lists each distinct text's chunk digests.  Joins on the digest find the chunks that stand in several
    places, and the place that owns each: the first by text digest and order.
-2. A second pass makes a frame of each chunk (its length and its zlib stream).  One shuffle by text brings the frames to
-   what the joins found; a text's row in the store keeps the frames of the chunks it owns and the ordered digest list.
+2. A second pass makes a frame of each chunk (its length and its zlib stream).  A text's row in the store keeps the
+   frames of the chunks it owns and the ordered digest list.  Only texts that share a chunk, or that several tasks hold,
+   need to meet what the joins found, by a shuffle of their frames; a Bloom filter of fixed size (4 MB) tells them from
+   the others, which are stored at once.  Texts that it takes in by mistake are shuffled for nothing; once it is full,
+   beyond some ten million such texts, all are.
 3. The store is read back.  Texts that own all their chunks are complete; the others fetch shared frames by a join on
    the digest.  Frames in list order are the medium; every chunk is checked against its digest.
 
@@ -27,14 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import released, slices, written
+from quernlake.llm.common import slices, text_digest, written
 
 UNIT, FILL = 576, b"\xff"
 #: Chunk sizes in bytes; a cut falls where the top bits of the hash are 0, every 2**CUT_BITS bytes on average.
 SMALLEST, LARGEST, CUT_BITS = 1024, 16384, 11
+#: Bits of the Bloom filter, and places of it that a text sets.
+FILTER_BITS, PROBES = 1 << 25, 3
 GEAR = np.random.default_rng(0x6EA4).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
 
 
@@ -106,18 +111,50 @@ def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes],
             yield [tids[i] for i in rows[a:b]], some[a:b]
 
 
+def _digests(chunks: list[bytes]) -> list[bytes]:
+    return [hashlib.sha256(c).digest() for c in chunks]
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for tids, texts in _each_text(batches):
-        digests = [[hashlib.sha256(c).digest() for c in chunks] for chunks in chunked([payload(t) for t in texts])]
+        digests = list(map(_digests, chunked([payload(t) for t in texts])))
         yield pa.RecordBatch.from_arrays([pa.array(tids, pa.binary()), pa.array(digests, pa.list_(pa.binary()))], ["tid", "digests"])
 
 
-def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for tids, texts in _each_text(batches):
-        payloads = [payload(t) for t in texts]
-        frames = [[to_frame(c) for c in chunks] for chunks in chunked(payloads)]
-        sizes = [len(t.encode()) for t in texts]
-        yield pa.RecordBatch.from_arrays([pa.array(tids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(frames, pa.list_(pa.binary()))], ["tid", "n_bytes", "frames"])
+def in_filter(tids: list[bytes], bits: np.ndarray) -> np.ndarray:
+    """Which text digests a Bloom filter may hold: at the PROBES places that their first words name."""
+    places = np.frombuffer(b"".join(t[: 4 * PROBES] for t in tids), ">u4").reshape(-1, PROBES) & (FILTER_BITS - 1)
+    return ((bits[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
+
+
+def filter_of(tids: DataFrame) -> np.ndarray:
+    """The Bloom filter of (tid): FILTER_BITS bits at any number of texts, summed up by Spark."""
+    word = lambda k: F.conv(F.substring(F.hex("tid"), 8 * k + 1, 8), 16, 10).cast("long")
+    places = tids.select(F.explode(F.array(*map(word, range(PROBES)))).alias("place")).select((F.col("place") % FILTER_BITS).alias("place"))
+    found = places.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))).alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS >> 6, np.int64)
+    bits[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return bits.view(np.uint64)
+
+
+def _framed(bits: np.ndarray, met: bool):
+    """The frames of the texts in the filter, or of those that are not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tids, texts in _each_text(batches):
+            rows = np.flatnonzero(in_filter(tids, bits) == met).tolist()
+            tids, texts = [tids[i] for i in rows], [texts[i] for i in rows]
+            chunks = chunked([payload(t) for t in texts])
+            frames = [list(map(to_frame, c)) for c in chunks]
+            sizes = [len(t.encode()) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(list(map(_digests, chunks)), pa.list_(pa.binary())), pa.array(frames, pa.list_(pa.binary()))], ["tid", "n_bytes", "digests", "frames"]
+            )
+
+    return run
+
+
+FRAMED = "tid binary, n_bytes long, digests array<binary>, frames array<binary>"
 
 
 def _places(listed: DataFrame) -> DataFrame:
@@ -130,23 +167,31 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Store: tid, n_bytes, digests (the ordered list), own (the frame at each place, null where it is lent or borrowed),
     lent (place, digest and frame of owned chunks that other places borrow), borrows.  Borrowed: tid, place, digest.
     """
-    listed = written(docs.mapInArrow(_listed, "tid binary, digests array<binary>").groupBy("tid").agg(F.first("digests").alias("digests")), "chunk-lists")
+    each = docs.mapInArrow(_listed, "tid binary, digests array<binary>").groupBy("tid")
+    listed = written(each.agg(F.first("digests").alias("digests"), F.count("*").alias("tasks")), "chunk-lists")
     owners = _places(listed).groupBy("digest").agg(F.min(F.struct("tid", "place")).alias("owner"), F.count("*").alias("n"))
     owners = written(owners.filter(F.col("n") > 1).select("digest", "owner"), "chunk-owners")
     owned = (F.col("tid") == F.col("owner.tid")) & (F.col("place") == F.col("owner.place"))
     shared = written(_places(listed).join(owners, "digest").select("tid", "place", "digest", owned.alias("owned")), "chunk-shared")
     roles = shared.groupBy("tid").agg(F.collect_list(F.when(F.col("owned"), F.col("place"))).alias("lends"), F.collect_list(F.when(~F.col("owned"), F.col("place"))).alias("borrows"))
-    framed = docs.mapInArrow(_framed, "tid binary, n_bytes long, frames array<binary>").groupBy("tid").agg(F.first("n_bytes").alias("n_bytes"), F.first("frames").alias("frames"))
+    # texts that share a chunk, or that several tasks hold, meet by an exchange; those surely neither are stored at once
+    bits = filter_of(shared.select("tid").unionByName(listed.filter(F.col("tasks") > 1).select("tid")))
+    alone = docs.mapInArrow(_framed(bits, False), FRAMED)
+    lone = alone.select("tid", "n_bytes", "digests", F.col("frames").alias("own"), F.array().cast(LENT).alias("lent"), F.lit(False).alias("borrows"))
+    met = docs.mapInArrow(_framed(bits, True), FRAMED).groupBy("tid").agg(*[F.first(c).alias(c) for c in ("n_bytes", "digests", "frames")])
     none = F.array().cast("array<int>")
-    rows = framed.join(listed, "tid").join(roles, "tid", "left").withColumn("lends", F.coalesce("lends", none)).withColumn("borrows", F.coalesce("borrows", none))
+    rows = met.join(roles, "tid", "left").withColumn("lends", F.coalesce("lends", none)).withColumn("borrows", F.coalesce("borrows", none))
     away = F.concat("lends", "borrows")
     own = F.transform("frames", lambda f, i: F.when(~F.array_contains(away, i), f))
     lent = F.transform("lends", lambda i: F.struct(i.alias("place"), F.get("digests", i).alias("digest"), F.get("frames", i).alias("frame")))
-    kept = written(rows.select("tid", "n_bytes", "digests", own.alias("own"), lent.alias("lent"), (F.size("borrows") > 0).alias("borrows")), "chunk-store", "none")
-    released(docs.sparkSession)
+    rows = rows.select("tid", "n_bytes", "digests", own.alias("own"), lent.cast(LENT).alias("lent"), (F.size("borrows") > 0).alias("borrows"))
+    kept = written(lone.unionByName(rows), "chunk-store", "none")
     return kept, shared.filter(~F.col("owned")).select("tid", "place", "digest")
 
 
+LENT = "array<struct<place:int,digest:binary,frame:binary>>"
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Media and payloads from the frames at their places; digests are checked."""
     for batch in batches:
@@ -182,12 +227,8 @@ def read_back(kept: DataFrame, borrowed: DataFrame) -> DataFrame:
     return alone.mapInArrow(_read, SCHEMA).unionByName(joined.mapInArrow(_read, SCHEMA))
 
 
-def text_digest(text: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
-
-
 def media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks) of each document."""
-    texts = docs.select(text_digest(F.col(text)).alias("tid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = docs.select(text_digest(F.coalesce(F.col(text), F.lit(""))).alias("tid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     facts = written(read_back(*store(texts)), "media-facts")
-    return docs.select(F.col(key).alias("doc_id"), text_digest(F.col(text)).alias("tid")).join(facts, "tid").drop("tid")
+    return docs.select(F.col(key).alias("doc_id"), text_digest(F.coalesce(F.col(text), F.lit(""))).alias("tid")).join(facts, "tid").drop("tid")

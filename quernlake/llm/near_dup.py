@@ -36,10 +36,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import fresh_name, row_digest, slices, written
+from quernlake.llm.common import TID, fresh_name, row_digest, slices, text_digest, written
 
 K = 3
 PERMUTATIONS, LEVEL = 48, 2
@@ -48,8 +48,8 @@ SHORT = 25
 SIMILARITY = 0.8
 #: Of a text's k-mers so many are expected below the threshold that spares sorting them all.
 EXPECTED = 16
-#: Members of a sketch value that are compared at once, counters of a text's bag of words, and bytes of a text's digest.
-BLOCK, BINS, TID = 256, 256, 20
+#: Members of a sketch value that are compared at once, and counters of a text's bag of words.
+BLOCK, BINS = 256, 256
 #: How values that hold several classes are worked off: across blocks or inside each, and a member's nearest partner or all.
 ROUNDS = ((False, True), (False, True), (True, True), (True, False))
 SEED = 0x5DEECE66D
@@ -381,11 +381,6 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "component-edges")
 
 
-def text_digest(whole: Column) -> Column:
-    """The first TID bytes of a text's SHA-256."""
-    return F.unhex(F.substring(F.sha2(whole, 256), 1, 2 * TID))
-
-
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.col(key).alias("doc_id"), text_digest(whole).alias("tid"), whole.alias("text"))
