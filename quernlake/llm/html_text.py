@@ -4,8 +4,12 @@ A page becomes a flat list of text blocks, cut at block-level tags.  Each block
 those of the blocks before and after it, and what kind of element encloses it.  A decision tree, trained on the small
 labelled table below, tells article blocks from the rest.  Kept blocks are joined in page order.
 
+What an element's class or id says counts only where it is made up of such words alone, and not on elements that hold an
+article or most of the page's text; a header inside an article belongs to it; lists of links and buttons inside an
+article, and headings over them, are told by their own words and links and by those of their neighbours.
+
 Defined cases: a null or empty page gives an empty text, as does one without article blocks; unclosed elements end with
-the page or with the enclosing element; text without any tag is one block; pages are taken whole at any length; repeated
+the page or with the enclosing element, unclosed ones beside the article where one begins; text without any tag is one block; pages are taken whole at any length; repeated
 rows each get a row; an empty table gives an empty result; extra columns are dropped.  Nothing is shuffled.
 """
 
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,31 +36,52 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements, roles and words of class and id values that enclose what is not the article, and what marks the article.
 ASIDE_TAGS = frozenset("nav header footer aside form button dialog menu fieldset".split())
+FORMS = frozenset("form fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of the page's words from which on a wrapper is no aside.
+WRAPPER = 0.7
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
-ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted recommended related reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
-)
+ASIDE_WORDS = (
+    "ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets"
+).split()
+#: Words that may stand beside those in one class or id value and leave it what it is ("site-footer", "commentlist").
+PLAIN_WORDS = "area bar block bottom box col column container form global group inner item items left link links list main middle notification outer page panel pane posts primary right section secondary site slot thread top unit wrap wrapper".split()
 MAIN_TAGS = frozenset("article main".split())
-#: Class and id words before a word that they say nothing about ("has-sidebar").
-STATES = re.compile(r"\b(?:has|no|not|with|without)[-_]+\S+", re.I)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A value made up of such words alone, at least one of the first kind; others ("has-sidebar", "entry-header") say nothing.
+_ANY = "|".join(sorted([*ASIDE_WORDS, *PLAIN_WORDS], key=len, reverse=True))
+ASIDE_VALUE = re.compile(rf"(?:(?:{_ANY})[-_0-9]*)*(?:{'|'.join(sorted(ASIDE_WORDS, key=len, reverse=True))})[-_0-9]*(?:(?:{_ANY})[-_0-9]*)*", re.I)
+LONGEST_VALUE = 48
 
 #: Columns of the labelled table, and of what the tree sees.
 COLUMNS = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_main", "in_aside", "heading", "has_main")
 #: Hand-labelled blocks (the last number is 1 for article text).
 BLOCKS = (
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 1, 0), (3, 1.0, 1, 1.0, 2, 1.0, 0, 1, 0, 1, 0), (2, 1.0, 3, 1.0, 14, 0.0, 0, 1, 0, 1, 0),
-    (14, 0.0, 2, 1.0, 9, 0.0, 0, 1, 0, 1, 0), (9, 0.0, 14, 0.0, 40, 0.0, 1, 0, 1, 1, 1), (40, 0.0, 9, 0.0, 62, 0.0, 1, 0, 0, 1, 1),
-    (62, 0.1, 40, 0.0, 8, 0.0, 1, 0, 0, 1, 1), (8, 0.0, 62, 0.1, 12, 0.2, 1, 0, 0, 1, 1), (12, 0.2, 8, 0.0, 0, 0.0, 0, 1, 0, 1, 0),
-    (2, 0.0, 3, 1.0, 1, 0.0, 1, 0, 1, 1, 1), (1, 0.0, 2, 0.0, 4, 0.5, 1, 0, 0, 1, 1), (3, 0.0, 1, 0.0, 5, 0.0, 1, 0, 0, 1, 1),
-    (5, 1.0, 30, 0.0, 33, 0.0, 1, 0, 0, 1, 1), (120, 0.02, 2, 0.0, 3, 1.0, 1, 0, 0, 1, 1), (25, 0.0, 55, 0.0, 6, 0.0, 1, 1, 0, 1, 0),
-    (70, 0.0, 25, 0.0, 44, 0.0, 1, 1, 0, 1, 0), (4, 0.5, 70, 0.0, 2, 1.0, 1, 1, 1, 1, 0), (18, 0.0, 4, 1.0, 4, 1.0, 0, 1, 0, 1, 0),
-    (55, 0.0, 12, 0.0, 20, 0.0, 0, 1, 0, 1, 0), (33, 0.0, 2, 0.0, 5, 0.0, 0, 1, 1, 1, 0), (7, 0.0, 33, 0.0, 41, 0.0, 0, 0, 0, 1, 0),
-    (45, 0.0, 7, 0.0, 3, 0.0, 0, 0, 0, 1, 0), (3, 0.0, 45, 0.0, 2, 1.0, 0, 0, 1, 1, 0), (6, 0.9, 2, 1.0, 5, 1.0, 0, 0, 0, 1, 0),
-    (9, 0.0, 30, 0.0, 4, 1.0, 1, 0, 0, 1, 1), (1, 0.0, 5, 0.0, 1, 1.0, 1, 0, 0, 1, 1), (17, 0.0, 22, 0.0, 2, 1.0, 1, 0, 0, 1, 1),
-    (4, 1.0, 9, 0.0, 3, 1.0, 1, 0, 0, 1, 1), (3, 1.0, 4, 1.0, 2, 1.0, 1, 0, 0, 1, 1), (2, 1.0, 3, 1.0, 26, 0.0, 1, 0, 0, 1, 1),
-    (28, 0.0, 3, 0.0, 30, 0.0, 0, 0, 0, 1, 0), (11, 0.0, 0, 0.0, 25, 0.0, 0, 0, 1, 1, 0),
+    # menus, banners, comments, footers by their containers, with prose of any length among them
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 1, 0), (3, 1.0, 1, 1.0, 2, 1.0, 0, 1, 0, 1, 0), (14, 0.0, 2, 1.0, 9, 0.0, 0, 1, 0, 1, 0),
+    (12, 0.2, 8, 0.0, 0, 0.0, 0, 1, 0, 1, 0), (18, 0.0, 4, 1.0, 4, 1.0, 0, 1, 0, 1, 0), (55, 0.0, 12, 0.0, 20, 0.0, 0, 1, 0, 1, 0),
+    (33, 0.0, 2, 0.0, 5, 0.0, 0, 1, 1, 1, 0), (25, 0.0, 55, 0.0, 6, 0.0, 1, 1, 0, 1, 0), (70, 0.0, 25, 0.0, 44, 0.0, 1, 1, 0, 1, 0),
+    (4, 0.5, 70, 0.0, 2, 1.0, 1, 1, 1, 1, 0), (12, 0.0, 61, 0.0, 20, 0.0, 1, 1, 0, 1, 0), (30, 0.0, 6, 0.0, 26, 0.0, 0, 1, 0, 0, 0),
+    (10, 0.0, 30, 0.0, 12, 0.0, 0, 1, 0, 0, 0), (65, 0.0, 3, 1.0, 8, 0.0, 0, 1, 0, 0, 0), (2, 1.0, 5, 0.0, 3, 1.0, 0, 1, 0, 0, 0),
+    (1, 1.0, 2, 1.0, 3, 1.0, 0, 1, 0, 0, 0), (6, 0.0, 40, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (2, 0.0, 80, 0.0, 35, 0.0, 0, 1, 1, 0, 0),
+    # text of an article element, links in it, and its title as a link
+    (9, 0.0, 14, 0.0, 40, 0.0, 1, 0, 1, 1, 1), (40, 0.0, 9, 0.0, 62, 0.0, 1, 0, 0, 1, 1), (62, 0.1, 40, 0.0, 8, 0.0, 1, 0, 0, 1, 1),
+    (8, 0.0, 62, 0.1, 12, 0.2, 1, 0, 0, 1, 1), (2, 0.0, 3, 1.0, 1, 0.0, 1, 0, 1, 1, 1), (1, 0.0, 2, 0.0, 4, 0.5, 1, 0, 0, 1, 1),
+    (3, 0.0, 1, 0.0, 5, 0.0, 1, 0, 0, 1, 1), (120, 0.02, 2, 0.0, 3, 1.0, 1, 0, 0, 1, 1), (9, 0.0, 30, 0.0, 4, 1.0, 1, 0, 0, 1, 1),
+    (1, 0.0, 5, 0.0, 1, 1.0, 1, 0, 0, 1, 1), (17, 0.0, 22, 0.0, 2, 1.0, 1, 0, 0, 1, 1), (1, 0.0, 9, 0.0, 12, 0.0, 1, 0, 0, 1, 1),
+    (2, 0.0, 7, 1.0, 12, 0.0, 1, 0, 0, 1, 1), (6, 0.4, 30, 0.0, 25, 0.0, 1, 0, 0, 1, 1), (22, 0.4, 30, 0.0, 3, 1.0, 1, 0, 0, 1, 1),
+    (5, 1.0, 30, 0.0, 33, 0.0, 1, 0, 0, 1, 1), (4, 1.0, 12, 0.0, 41, 0.0, 1, 0, 0, 1, 1), (8, 0.9, 55, 0.0, 20, 0.1, 1, 0, 0, 1, 1),
+    (11, 0.7, 18, 0.2, 9, 0.0, 1, 0, 0, 1, 1), (6, 1.0, 8, 0.0, 60, 0.0, 1, 0, 1, 1, 1), (4, 1.0, 2, 0.1, 35, 0.0, 1, 0, 1, 1, 1),
+    (7, 1.0, 2, 1.0, 44, 0.0, 1, 0, 1, 1, 1), (5, 1.0, 3, 1.0, 70, 0.0, 1, 0, 1, 1, 1),
+    # lists of links and buttons inside an article element, and the headings over such lists
+    (2, 1.0, 44, 0.0, 0, 0.0, 1, 0, 0, 1, 0), (2, 1.0, 38, 0.0, 12, 0.0, 1, 0, 0, 1, 0), (3, 1.0, 52, 0.0, 2, 1.0, 1, 0, 0, 1, 0),
+    (2, 1.0, 3, 1.0, 26, 0.0, 1, 0, 0, 1, 0), (6, 1.0, 5, 1.0, 7, 1.0, 1, 0, 0, 1, 0), (4, 1.0, 9, 0.0, 6, 1.0, 1, 0, 0, 1, 0),
+    (5, 1.0, 6, 1.0, 14, 0.0, 1, 0, 0, 1, 0), (9, 1.0, 8, 0.9, 10, 1.0, 1, 0, 0, 1, 0), (7, 0.8, 4, 1.0, 22, 0.0, 1, 0, 0, 1, 0),
+    (1, 1.0, 20, 0.0, 25, 0.0, 1, 0, 0, 1, 0), (5, 1.0, 3, 0.0, 6, 1.0, 1, 0, 0, 1, 0), (8, 1.0, 6, 1.0, 0, 0.0, 1, 0, 0, 1, 0),
+    (2, 0.0, 48, 0.0, 6, 1.0, 1, 0, 1, 1, 0), (3, 0.0, 30, 0.0, 5, 1.0, 1, 0, 1, 1, 0), (2, 0.0, 61, 0.0, 8, 0.9, 1, 0, 1, 1, 0),
+    # beside an article element, without a mark
+    (7, 0.0, 33, 0.0, 41, 0.0, 0, 0, 0, 1, 0), (45, 0.0, 7, 0.0, 3, 0.0, 0, 0, 0, 1, 0), (3, 0.0, 45, 0.0, 2, 1.0, 0, 0, 1, 1, 0),
+    (6, 0.9, 2, 1.0, 5, 1.0, 0, 0, 0, 1, 0), (28, 0.0, 3, 0.0, 30, 0.0, 0, 0, 0, 1, 0), (11, 0.0, 0, 0.0, 25, 0.0, 0, 0, 1, 1, 0),
     # pages without article or main element
     (1, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 1, 1.0, 7, 0.0, 0, 0, 0, 0, 0), (7, 0.0, 2, 1.0, 38, 0.0, 0, 0, 1, 0, 1),
     (38, 0.0, 7, 0.0, 51, 0.0, 0, 0, 0, 0, 1), (51, 0.05, 38, 0.0, 9, 0.0, 0, 0, 0, 0, 1), (9, 0.0, 51, 0.05, 22, 0.0, 0, 0, 0, 0, 1),
@@ -63,10 +89,11 @@ BLOCKS = (
     (3, 0.0, 38, 0.0, 47, 0.0, 0, 0, 0, 0, 1), (4, 0.0, 29, 0.0, 60, 0.0, 0, 0, 1, 0, 1), (6, 0.0, 44, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
     (5, 0.0, 0, 0.0, 33, 0.0, 0, 0, 1, 0, 1), (80, 0.0, 5, 0.0, 77, 0.0, 0, 0, 0, 0, 1), (16, 0.8, 21, 0.0, 8, 0.9, 0, 0, 0, 0, 0),
     (24, 0.7, 8, 0.9, 12, 1.0, 0, 0, 0, 0, 0), (2, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 0.9, 1, 1.0, 0, 0, 0, 0, 0),
-    (30, 0.0, 6, 0.0, 26, 0.0, 0, 1, 0, 0, 0), (10, 0.0, 30, 0.0, 12, 0.0, 0, 1, 0, 0, 0), (65, 0.0, 3, 1.0, 8, 0.0, 0, 1, 0, 0, 0),
-    (2, 1.0, 5, 0.0, 3, 1.0, 0, 1, 0, 0, 0), (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (41, 0.0, 30, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (19, 0.0, 34, 0.0, 2, 1.0, 0, 0, 0, 0, 1), (12, 0.0, 19, 0.0, 5, 1.0, 0, 0, 0, 0, 1),
-    (48, 0.3, 20, 0.0, 31, 0.0, 0, 0, 0, 0, 1), (13, 0.0, 11, 0.2, 19, 0.1, 0, 0, 0, 0, 1), (35, 0.2, 2, 1.0, 40, 0.0, 0, 0, 0, 0, 1),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (41, 0.0, 30, 0.0, 3, 1.0, 0, 0, 0, 0, 1),
+    (19, 0.0, 34, 0.0, 2, 1.0, 0, 0, 0, 0, 1), (12, 0.0, 19, 0.0, 5, 1.0, 0, 0, 0, 0, 1), (48, 0.3, 20, 0.0, 31, 0.0, 0, 0, 0, 0, 1),
+    (13, 0.0, 11, 0.2, 19, 0.1, 0, 0, 0, 0, 1), (35, 0.2, 2, 1.0, 40, 0.0, 0, 0, 0, 0, 1), (1, 0.0, 40, 0.0, 15, 0.0, 0, 0, 0, 0, 1),
+    (2, 0.0, 31, 0.0, 4, 1.0, 0, 0, 1, 0, 0), (4, 1.0, 26, 0.0, 30, 0.0, 0, 0, 0, 0, 1), (5, 1.0, 40, 0.0, 18, 0.0, 0, 0, 0, 0, 1),
+    (5, 1.0, 7, 1.0, 6, 1.0, 0, 0, 0, 0, 0), (8, 1.0, 33, 0.0, 7, 1.0, 0, 0, 0, 0, 0), (6, 1.0, 2, 1.0, 50, 0.0, 0, 0, 1, 0, 1),
 )
 
 
@@ -114,29 +141,70 @@ def trained() -> Tree:
 
 
 def _marks(name: str, attrs: str) -> tuple[bool, bool, bool]:
-    """Whether an element marks the article, or what is beside it; the latter by tag or role, and by a class or id word."""
+    """Whether an element marks the article, or what is beside it; the latter by tag or role, and by a class or id value."""
     main, aside, named = name in MAIN_TAGS, name in ASIDE_TAGS, False
     if attrs:
         for kind, *value in ATTRIBUTE.findall(attrs):
             text = "".join(value)
             if kind.lower() == "role":
                 main, aside = main or text.lower() == "main", aside or text.lower() in ASIDE_ROLES
-            elif name not in ("body", "html"):
-                named = named or not ASIDE_WORDS.isdisjoint(w.lower() for w in WORD.findall(STATES.sub(" ", text)))
+            elif not main and name not in ("body", "html"):
+                named = named or any(len(w) <= LONGEST_VALUE and ASIDE_VALUE.fullmatch(w) for w in text.split())
     return main, aside, named
 
 
+@dataclass
+class Element:
+    """An element of a page: what it marks, whether it has an end tag of its own, and whether an article begins inside it."""
+
+    name: str
+    main: bool = False
+    aside: bool = False
+    named: bool = False
+    closed: bool = False
+    holds_main: bool = False
+    words: int = 0
+
+
+def _scanned(page: str) -> list[tuple[int, int, str, bool, Element | None]]:
+    """(begin, end, name, is end tag, element) of the page's tags; elements are those that enclose something."""
+    out, stack, open_, mains = [], [], Counter(), 0
+    for token in TOKEN.finditer(page):
+        name, element = (token["name"] or "").lower(), None
+        if name and token["close"]:
+            if open_[name]:
+                while True:
+                    ended, before = stack.pop()
+                    open_[ended.name] -= 1
+                    ended.holds_main = mains > before
+                    if ended.name == name:
+                        ended.closed, element = True, ended
+                        break
+        elif name and name not in VOID and not token["attrs"].endswith("/"):
+            marks = _marks(name, token["attrs"])
+            if name not in INLINE or marks[1] or marks[2]:
+                if name in ("p", "li") and stack and stack[-1][0].name == name:  # an open one ends here
+                    open_[name] -= 1
+                    stack.pop()
+                mains += marks[0]
+                element = Element(name, *marks)
+                stack.append((element, mains))
+                open_[name] += 1
+        out.append((token.start(), token.end(), name, bool(token["close"]), element))
+    for element, before in stack:
+        element.holds_main = mains > before
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     """(text, link density, in main, in aside, heading) of each non-empty text block, in page order."""
     out: list[tuple[str, float, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, int]] = []
-    mains = asides = 0
-    #: Words in each element that only a class or id word sets aside, those now open, and those of each block.
-    held: list[int] = []
-    named: list[int] = []
-    within: list[tuple[int, ...]] = []
+    within: list[tuple[Element, ...]] = []
+    stack: list[Element] = []
+    mains = asides = linked = link = 0
+    #: Elements now open that their name or a class or id value alone sets aside.
+    named: list[Element] = []
     parts: list[str] = []
-    linked = link = 0
     heading = False
 
     def flush() -> None:
@@ -147,26 +215,38 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
                 words = len(text.split(" "))
                 out.append((text, min(1.0, linked / words), mains > 0, asides > 0, heading))
                 within.append(tuple(named))
-                for k in named:
-                    held[k] += words
+                for element in named:
+                    element.words += words
             parts.clear()
             linked = 0
 
-    def enter(name: str, main: bool, aside: bool, by_name: bool) -> None:
+    def enter(element: Element) -> None:
         nonlocal mains, asides
-        stack.append((name, main, aside, len(held) if by_name else -1))
-        mains, asides = mains + main, asides + aside
-        if by_name:
-            named.append(len(held))
-            held.append(0)
+        if element.main:  # what has no end of its own ends where an article begins
+            for other in stack if asides or named else ():
+                if not other.closed:
+                    asides -= other.aside
+                    if other.named:
+                        named.remove(other)
+                    other.aside = other.named = False
+        elif element.name == "header" and (mains or element.holds_main):
+            element.aside = False
+        elif element.name in FORMS:  # some wrap the whole page
+            element.aside, element.named = False, True
+        if element.named and element.holds_main:
+            element.named = False
+        stack.append(element)
+        mains, asides = mains + element.main, asides + element.aside
+        if element.named:
+            named.append(element)
 
-    def leave() -> str:
+    def leave() -> Element:
         nonlocal mains, asides
-        name, main, aside, at = stack.pop()
-        mains, asides = mains - main, asides - aside
-        if at >= 0:
+        element = stack.pop()
+        mains, asides = mains - element.main, asides - element.aside
+        if element.named:
             named.pop()
-        return name
+        return element
 
     def say(text: str) -> None:
         nonlocal linked
@@ -176,41 +256,33 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
                 linked += len(text.split())
 
     at = 0
-    for token in TOKEN.finditer(page):
-        say(page[at : token.start()])
-        at = token.end()
-        name = token["name"]
-        if name is None:
-            continue
-        name = name.lower()
+    for begin, end, name, closes, element in _scanned(page):
+        say(page[at:begin])
+        at = end
         if name == "a":
-            link = 0 if token["close"] else 1
+            link = 0 if closes else 1
         elif name == "br":
             parts.append(" ")
-        if name in INLINE and not (token["attrs"] and name != "a" and any(_marks(name, token["attrs"])[1:])):
-            if token["close"] and any(s[0] == name for s in stack[-1:]):
-                flush()
-                leave()
+        if not name or name in INLINE and element is None:
             continue
         flush()
-        heading = name in ("h1", "h2", "h3", "h4", "h5", "h6") and not token["close"]
-        if not token["close"]:
-            if name == "p" or name not in VOID:
-                marks = _marks(name, token["attrs"])
-                if name in ("p", "li") and stack and stack[-1][0] == name:  # an open one ends here
-                    leave()
-                if not token["attrs"].endswith("/"):
-                    enter(name, *marks)
-        elif any(s[0] == name for s in stack):
-            while stack:
-                if leave() == name:
-                    break
+        heading = name in HEADINGS and not closes
+        if element is not None and not closes:
+            if name in ("p", "li") and stack and stack[-1].name == name:
+                leave()
+            enter(element)
+        elif element is not None:
+            while leave() is not element:
+                pass
             link = 0
     say(page[at:])
     flush()
-    # a wrapper of most of the page's text is not beside the article, whatever its name
-    most = sum(len(b[0].split(" ")) for b in out) / 2
-    return [(*b[:3], b[3] or any(held[k] <= most for k in own), b[4]) for b, own in zip(out, within, strict=True)]
+    # a wrapper of most of the page's text is not beside the article, whatever its name, unless an article stands elsewhere
+    most = WRAPPER * sum(len(b[0].split(" ")) for b in out)
+    beside = [b[3] or any(e.words <= most for e in own) for b, own in zip(out, within, strict=True)]
+    if any(b[2] and not a for b, a in zip(out, beside, strict=True)):
+        beside = [b[3] or bool(own) for b, own in zip(out, within, strict=True)]
+    return [(*b[:3], a, b[4]) for b, a in zip(out, beside, strict=True)]
 
 
 def main_text(pages: list[str]) -> list[str]:

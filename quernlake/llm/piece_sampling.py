@@ -294,10 +294,11 @@ def both_ways(docs: DataFrame, model: str, keep: Sequence[str] = (), key: str =
                     lossless.append(back == t)
                 crcs = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
                 made = [pa.array(sizes, pa.int64()), pa.array(list(map(len, ids)), pa.int64()), _listed(ids), pa.array(crcs, pa.int64()), pa.array(digests, pa.string()), pa.array(lossless, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*part.drop_columns(["copy", "text"]).columns, *made], [*kept.columns, *MADE])
+                yield pa.RecordBatch.from_arrays([*part.drop_columns(["copy", "text"]).columns, *made], [*names, *MADE])
 
     rows = _rows(docs, keep, key, text, copy)
     kept = rows.drop("copy", "text")
+    names = kept.columns
     return rows.mapInArrow(run, f"{_columns(kept)}, n_bytes long, n_pieces long, piece_ids array<int>, ids_crc32 long, decoded_sha256 string, lossless boolean")
 
 

@@ -67,7 +67,7 @@ def test_pages(spark, small_dir):
     assert all(r.text and "<p>" not in r.text and "track(" not in r.text for r in got)
 
 
-@pytest.mark.parametrize("mark", ["has-sidebar", "layout no-comments", "header-fixed", "with_login"])
+@pytest.mark.parametrize("mark", ["has-sidebar", "layout no-comments", "header-fixed", "with_login", "page has-sidebar", "layout-with-sidebar", "post comments-open"])
 @pytest.mark.parametrize("tag", ["article", "div"])
 def test_wrapper_class_is_not_an_aside(mark, tag):
     page = f'<div class="{mark}"><{tag}>{ARTICLE}</{tag}></div><div class="sidebar"><p>Some words beside the article that are not part of it.</p></div>'
@@ -77,3 +77,65 @@ def test_wrapper_class_is_not_an_aside(mark, tag):
 def test_article_inside_an_aside_marks_no_page():
     page = f'<div>{ARTICLE}</div><aside><article><p>Another article that is not this one but has quite some words in it.</p></article></aside>'
     assert html_text.main_text([page]) == ["\n".join(PARAGRAPHS)]
+
+
+BESIDE = '<div class="sidebar"><p>Some words beside the article that are not part of it.</p></div>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="page has-sidebar"><article>{ARTICLE}</article></div>{BESIDE}',
+        f'<main class="layout-with-sidebar">{ARTICLE}</main>{BESIDE}',
+        f'<article class="post comments-open">{ARTICLE}</article>{BESIDE}',
+        f'<nav><a href="/a">First</a> <a href="/b">Second</a><article>{ARTICLE}</article>{BESIDE}',
+        f'<div class="menu"><a href="/a">First</a><main>{ARTICLE}</main>{BESIDE}',
+        f'<article><header>{ARTICLE.split("</h1>")[0]}</h1></header>{ARTICLE.split("</h1>")[1]}</article>{BESIDE}',
+        f'<article><div class="entry-header">{ARTICLE.split("</h1>")[0]}</h1></div>{ARTICLE.split("</h1>")[1]}</article>{BESIDE}',
+        f'<div>{ARTICLE}</div><ol class="commentlist"><li><p>Reader one: what a fine article this is, I have read it twice.</p></li></ol>{BESIDE}',
+        f'<article>{ARTICLE}<p><a href="/m">Read more</a></p><div><a href="/b">Buy now</a></div></article>{BESIDE}',
+        f'<article>{ARTICLE}<h3>Further reading</h3><ul><li><a href="/1">Another story of the day</a></li><li><a href="/2">And one more of last week</a></li></ul></article>{BESIDE}',
+        f'<form id="whole"><div class="site-header">The name of a site</div><div>{ARTICLE}</div></form>{BESIDE}',
+        f'<div class="widget-area">Weather today</div><article>{ARTICLE}</article><section id="comments"><p>{"A comment longer than the article itself. " * 40}</p></section>',
+    ],
+)
+def test_layouts(page):
+    assert html_text.main_text([page]) == ["\n".join(PARAGRAPHS)]
+
+
+def test_neighbours_decide():
+    """The tree asks for words and links of neighbours, also on pages with an article element."""
+    used = set()
+
+    def walk(node, has_main):
+        if node.left is None:
+            return
+        used.add((html_text.COLUMNS[node.column], has_main))
+        walk(node.left, has_main)
+        walk(node.right, has_main or html_text.COLUMNS[node.column] in ("in_main", "has_main"))
+
+    walk(html_text.trained(), False)
+    assert {name for name, _ in used} >= {"density_before", "density_after", "words"}
+    assert any(name in ("density_before", "density_after") and main for name, main in used)
+
+
+def test_features_equal_brute_force():
+    """Words and link density of each block, counted anew on paragraphs of words with links."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(50):
+        want, page = [], ""
+        for _ in range(rng.randrange(1, 8)):
+            words = [(f"w{rng.randrange(99)}", rng.random() < 0.4) for _ in range(rng.randrange(1, 12))]
+            page += "<p>" + " ".join(f'<a href="/{w}">{w}</a>' if linked else w for w, linked in words) + "</p>"
+            want.append((" ".join(w for w, _ in words), sum(linked for _, linked in words) / len(words)))
+        assert [(b[0], b[1]) for b in html_text.blocks(page)] == want
+
+
+def test_stray_end_tags_take_linear_time():
+    import time
+
+    began = time.process_time()
+    html_text.blocks("<div>" * 50_000 + "<p>text</p>" + "</x>" * 100_000 + "</section>" * 50_000)
+    assert time.process_time() - began < 4
