@@ -53,8 +53,11 @@ _ANY = "|".join(sorted([*ASIDE_WORDS, *PLAIN_WORDS], key=len, reverse=True))
 ASIDE_VALUE = re.compile(rf"(?:(?:{_ANY})[-_0-9]*)*(?:{'|'.join(sorted(ASIDE_WORDS, key=len, reverse=True))})[-_0-9]*(?:(?:{_ANY})[-_0-9]*)*", re.I)
 LONGEST_VALUE = 48
 
-#: Columns of the labelled table, and of what the tree sees.
-COLUMNS = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_main", "in_aside", "heading", "has_main")
+#: Columns of the labelled table, and what the tree sees of them: ``place`` is 1 in an article element, 0 beside one, else 0.5.
+TABLE = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_main", "in_aside", "heading", "has_main")
+COLUMNS = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "place", "in_aside", "heading")
+#: More words than these say nothing more.
+ENOUGH = 16
 #: Hand-labelled blocks (the last number is 1 for article text).
 BLOCKS = (
     # menus, banners, comments, footers by their containers, with prose of any length among them
@@ -73,12 +76,24 @@ BLOCKS = (
     (5, 1.0, 30, 0.0, 33, 0.0, 1, 0, 0, 1, 1), (4, 1.0, 12, 0.0, 41, 0.0, 1, 0, 0, 1, 1), (8, 0.9, 55, 0.0, 20, 0.1, 1, 0, 0, 1, 1),
     (11, 0.7, 18, 0.2, 9, 0.0, 1, 0, 0, 1, 1), (6, 1.0, 8, 0.0, 60, 0.0, 1, 0, 1, 1, 1), (4, 1.0, 2, 0.1, 35, 0.0, 1, 0, 1, 1, 1),
     (7, 1.0, 2, 1.0, 44, 0.0, 1, 0, 1, 1, 1), (5, 1.0, 3, 1.0, 70, 0.0, 1, 0, 1, 1, 1),
+    (3, 0.0, 40, 0.0, 5, 1.0, 1, 0, 0, 1, 1), (5, 0.0, 18, 0.0, 2, 1.0, 1, 0, 0, 1, 1), (7, 0.1, 25, 0.0, 4, 1.0, 1, 0, 0, 1, 1),
+    (8, 0.0, 3, 1.0, 6, 1.0, 1, 0, 0, 1, 1), (2, 0.0, 60, 0.0, 3, 1.0, 1, 0, 0, 1, 1), (6, 0.3, 12, 0.0, 7, 0.9, 1, 0, 0, 1, 1),
+    (5, 1.0, 30, 0.0, 20, 0.0, 1, 0, 0, 1, 1), (6, 1.0, 12, 0.0, 10, 0.0, 1, 0, 0, 1, 1), (9, 1.0, 15, 0.1, 22, 0.0, 1, 0, 0, 1, 1),
+    (4, 1.0, 7, 0.0, 9, 0.2, 1, 0, 0, 1, 1), (7, 1.0, 48, 0.0, 90, 0.0, 1, 0, 0, 1, 1), (10, 0.9, 80, 0.0, 14, 0.0, 1, 0, 0, 1, 1),
+    (5, 1.0, 4, 1.0, 16, 0.0, 1, 0, 1, 1, 1), (8, 1.0, 2, 1.0, 9, 0.0, 1, 0, 1, 1, 1),
+    (30, 0.0, 4, 1.0, 0, 0.0, 1, 0, 0, 1, 1), (12, 0.0, 5, 1.0, 2, 0.0, 1, 0, 0, 1, 1), (6, 0.0, 3, 1.0, 3, 0.0, 1, 0, 0, 1, 1),
+    (3, 0.2, 6, 1.0, 0, 0.0, 1, 0, 0, 1, 1), (15, 0.1, 8, 0.9, 4, 1.0, 1, 0, 0, 1, 1),
     # lists of links and buttons inside an article element, and the headings over such lists
     (2, 1.0, 44, 0.0, 0, 0.0, 1, 0, 0, 1, 0), (2, 1.0, 38, 0.0, 12, 0.0, 1, 0, 0, 1, 0), (3, 1.0, 52, 0.0, 2, 1.0, 1, 0, 0, 1, 0),
     (2, 1.0, 3, 1.0, 26, 0.0, 1, 0, 0, 1, 0), (6, 1.0, 5, 1.0, 7, 1.0, 1, 0, 0, 1, 0), (4, 1.0, 9, 0.0, 6, 1.0, 1, 0, 0, 1, 0),
     (5, 1.0, 6, 1.0, 14, 0.0, 1, 0, 0, 1, 0), (9, 1.0, 8, 0.9, 10, 1.0, 1, 0, 0, 1, 0), (7, 0.8, 4, 1.0, 22, 0.0, 1, 0, 0, 1, 0),
     (1, 1.0, 20, 0.0, 25, 0.0, 1, 0, 0, 1, 0), (5, 1.0, 3, 0.0, 6, 1.0, 1, 0, 0, 1, 0), (8, 1.0, 6, 1.0, 0, 0.0, 1, 0, 0, 1, 0),
     (2, 0.0, 48, 0.0, 6, 1.0, 1, 0, 1, 1, 0), (3, 0.0, 30, 0.0, 5, 1.0, 1, 0, 1, 1, 0), (2, 0.0, 61, 0.0, 8, 0.9, 1, 0, 1, 1, 0),
+    (2, 1.0, 80, 0.0, 60, 0.0, 1, 0, 0, 1, 0), (3, 1.0, 14, 0.0, 40, 0.0, 1, 0, 0, 1, 0), (1, 1.0, 33, 0.0, 70, 0.0, 1, 0, 0, 1, 0),
+    (2, 1.0, 9, 0.0, 100, 0.0, 1, 0, 0, 1, 0), (3, 1.0, 25, 0.1, 18, 0.0, 1, 0, 0, 1, 0), (4, 1.0, 7, 1.0, 30, 0.0, 1, 0, 0, 1, 0),
+    (6, 1.0, 5, 1.0, 44, 0.0, 1, 0, 0, 1, 0), (7, 1.0, 60, 0.0, 5, 1.0, 1, 0, 0, 1, 0), (9, 1.0, 41, 0.0, 8, 1.0, 1, 0, 0, 1, 0),
+    (12, 0.9, 6, 1.0, 9, 1.0, 1, 0, 0, 1, 0), (5, 1.0, 8, 1.0, 0, 0.0, 1, 0, 0, 1, 0), (10, 0.8, 7, 0.9, 35, 0.0, 1, 0, 0, 1, 0),
+    (4, 0.0, 22, 0.0, 7, 1.0, 1, 0, 1, 1, 0), (1, 0.0, 75, 0.0, 4, 1.0, 1, 0, 1, 1, 0),
     # beside an article element, without a mark
     (7, 0.0, 33, 0.0, 41, 0.0, 0, 0, 0, 1, 0), (45, 0.0, 7, 0.0, 3, 0.0, 0, 0, 0, 1, 0), (3, 0.0, 45, 0.0, 2, 1.0, 0, 0, 1, 1, 0),
     (6, 0.9, 2, 1.0, 5, 1.0, 0, 0, 0, 1, 0), (28, 0.0, 3, 0.0, 30, 0.0, 0, 0, 0, 1, 0), (11, 0.0, 0, 0.0, 25, 0.0, 0, 0, 1, 1, 0),
@@ -93,6 +108,9 @@ BLOCKS = (
     (19, 0.0, 34, 0.0, 2, 1.0, 0, 0, 0, 0, 1), (12, 0.0, 19, 0.0, 5, 1.0, 0, 0, 0, 0, 1), (48, 0.3, 20, 0.0, 31, 0.0, 0, 0, 0, 0, 1),
     (13, 0.0, 11, 0.2, 19, 0.1, 0, 0, 0, 0, 1), (35, 0.2, 2, 1.0, 40, 0.0, 0, 0, 0, 0, 1), (1, 0.0, 40, 0.0, 15, 0.0, 0, 0, 0, 0, 1),
     (2, 0.0, 31, 0.0, 4, 1.0, 0, 0, 1, 0, 0), (4, 1.0, 26, 0.0, 30, 0.0, 0, 0, 0, 0, 1), (5, 1.0, 40, 0.0, 18, 0.0, 0, 0, 0, 0, 1),
+    (6, 0.0, 44, 0.0, 4, 1.0, 0, 0, 0, 0, 1), (4, 0.0, 27, 0.0, 2, 1.0, 0, 0, 0, 0, 1), (8, 0.1, 60, 0.0, 5, 1.0, 0, 0, 0, 0, 1),
+    (3, 0.0, 55, 0.0, 3, 1.0, 0, 0, 1, 0, 0), (2, 1.0, 50, 0.0, 45, 0.0, 0, 0, 0, 0, 0), (3, 1.0, 20, 0.0, 3, 0.0, 0, 0, 0, 0, 0),
+    (25, 0.0, 4, 1.0, 0, 0.0, 0, 0, 0, 0, 1), (40, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 1), (2, 1.0, 0, 0.0, 3, 1.0, 0, 0, 1, 0, 0),
     (5, 1.0, 7, 1.0, 6, 1.0, 0, 0, 0, 0, 0), (8, 1.0, 33, 0.0, 7, 1.0, 0, 0, 0, 0, 0), (6, 1.0, 2, 1.0, 50, 0.0, 0, 0, 1, 0, 1),
 )
 
@@ -134,10 +152,18 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Tree:
     return Tree(share, column, cut, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
 
 
+def features(rows: np.ndarray) -> np.ndarray:
+    """Rows of TABLE as the tree's COLUMNS."""
+    x = np.delete(rows, TABLE.index("has_main"), axis=1)
+    x[:, 0:6:2] = np.minimum(x[:, 0:6:2], ENOUGH)
+    x[:, COLUMNS.index("place")] = np.where(rows[:, TABLE.index("in_main")] > 0, 1.0, np.where(rows[:, TABLE.index("has_main")] > 0, 0.0, 0.5))
+    return x
+
+
 @lru_cache(1)
 def trained() -> Tree:
     table = np.array(BLOCKS, float)
-    return grow(table[:, :-1], table[:, -1])
+    return grow(features(table[:, :-1]), table[:, -1])
 
 
 def _marks(name: str, attrs: str) -> tuple[bool, bool, bool]:
@@ -296,7 +322,7 @@ def main_text(pages: list[str]) -> list[str]:
             before = (words[i - 1], page[i - 1][1]) if i else (0, 0.0)
             after = (words[i + 1], page[i + 1][1]) if i + 1 < len(page) else (0, 0.0)
             rows.append((words[i], b[1], *before, *after, b[2], b[3], b[4], any_main))
-    keep = iter((trained().predict(np.array(rows, float)) >= 0.5).tolist() if rows else ())
+    keep = iter((trained().predict(features(np.array(rows, float))) >= 0.5).tolist() if rows else ())
     return ["\n".join([b[0] for b in page if next(keep)]) for page in found]
 
 

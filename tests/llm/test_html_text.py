@@ -39,7 +39,7 @@ def test_tree_fits_its_table():
     import numpy as np
 
     rows = np.array(html_text.BLOCKS, float)
-    assert ((html_text.trained().predict(rows[:, :-1]) >= 0.5) == rows[:, -1]).all()
+    assert ((html_text.trained().predict(html_text.features(rows[:, :-1])) >= 0.5) == rows[:, -1]).all()
 
 
 def test_odd_rows(spark):
@@ -112,7 +112,7 @@ def test_neighbours_decide():
             return
         used.add((html_text.COLUMNS[node.column], has_main))
         walk(node.left, has_main)
-        walk(node.right, has_main or html_text.COLUMNS[node.column] in ("in_main", "has_main"))
+        walk(node.right, has_main or html_text.COLUMNS[node.column] == "place")
 
     walk(html_text.trained(), False)
     assert {name for name, _ in used} >= {"density_before", "density_after", "words"}
