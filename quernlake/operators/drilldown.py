@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from enum import StrEnum
 from functools import reduce
 from operator import and_
+from urllib.parse import parse_qsl, urlencode
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,12 +65,10 @@ def matching(scope: Scope, period: Range, filters: Filters) -> DataFrame:
     if filters.no_attempt is True:
         zero = scope.tries.filter((F.col("try_seq") == 0) & (F.col("try_status") == "NoAttempt")).select("session_id")
         return rows.join(zero, "session_id").select(*base, F.lit(0).cast("long").alias("attempt_count"), F.lit(None).cast("string").alias("last_psp"), F.lit(True).alias("no_attempt"))
-    stats = attempt_stats(scope.tries, rows)
-    last = scope.tries.filter(F.col("try_seq") >= 1).groupBy("session_id").agg(F.max_by(F.struct("psp_code"), "try_seq").alias("last"))
-    rows = rows.join(stats, "session_id", "left").join(last, "session_id", "left")
+    rows = rows.join(attempt_stats(scope.tries, rows, last_psp=True), "session_id", "left")
     if filters.no_attempt is False:
         rows = rows.filter(F.col("max_try_seq") >= 1)
-    return rows.select(*base, F.coalesce("attempt_count", F.lit(0)).alias("attempt_count"), F.col("last.psp_code").alias("last_psp"), (F.coalesce("no_attempt", F.lit(0)) == 1).alias("no_attempt"))
+    return rows.select(*base, F.coalesce("attempt_count", F.lit(0)).alias("attempt_count"), "last_psp", (F.coalesce("no_attempt", F.lit(0)) == 1).alias("no_attempt"))
 
 
 def page(rows: DataFrame, filters: Filters) -> DataFrame:
@@ -80,12 +79,20 @@ def page(rows: DataFrame, filters: Filters) -> DataFrame:
 
 
 def transactions(scope: Scope, period: Range, filters: Filters, strict_total: bool = False) -> tuple[DataFrame, int]:
-    """A page and the total; the total of a page past the end is 0, or the true one with ``strict_total``."""
+    """A page and the total; the total of a page past the end is 0, or the true one with ``strict_total``.
+
+    The total counts sessions without their attempts, unless filters ask for these.
+    """
     rows = matching(scope, period, filters)
-    found = page(rows, filters)
-    total = rows.count()
+    total = rows.select("session_key").count()
     past = (filters.page - 1) * filters.page_size >= total
-    return found, 0 if past and not strict_total else total
+    return page(rows, filters), 0 if past and not strict_total else total
+
+
+def query_string(scope_query: str, extra: str) -> str:
+    """The query string of a drill-down: the parameters of the scope, those in ``extra`` taking their place."""
+    pairs = dict(parse_qsl(scope_query.removeprefix("?"), keep_blank_values=True))
+    return urlencode({**pairs, **dict(parse_qsl(extra, keep_blank_values=True))})
 
 
 def transaction(scope: Scope, session_key: str) -> DataFrame:

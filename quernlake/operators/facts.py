@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from quernlake.schemas import SUCCESS_STATUSES
 
 
-def attempt_stats(tries: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+def attempt_stats(tries: DataFrame, sessions: DataFrame | None = None, last_psp: bool = False) -> DataFrame:
     """(session_id, max_try_seq, attempt_count, no_attempt) per session; ``sessions`` narrows the attempts first.
 
-    ``no_attempt`` is 1 where any row has try_seq 0: a session may have it beside real attempts.
+    ``no_attempt`` is 1 where any row has try_seq 0: a session may have it beside real attempts.  ``last_psp`` adds the
+    provider of the last real attempt (NULL where that has none), from the same rows.
     """
     rows = tries if sessions is None else tries.join(sessions.select("session_id"), "session_id", "left_semi")
+    last = [F.max_by(F.struct("psp_code"), F.when(F.col("try_seq") >= 1, F.col("try_seq")))["psp_code"].alias("last_psp")] if last_psp else []
     return rows.groupBy("session_id").agg(
-        F.max("try_seq").cast("int").alias("max_try_seq"), F.count_if(F.col("try_seq") >= 1).alias("attempt_count"), F.max(F.when(F.col("try_seq") == 0, 1).otherwise(0)).alias("no_attempt")
+        *last, F.max("try_seq").cast("int").alias("max_try_seq"), F.count_if(F.col("try_seq") >= 1).alias("attempt_count"), F.max(F.when(F.col("try_seq") == 0, 1).otherwise(0)).alias("no_attempt")
     )
 
 

@@ -67,6 +67,14 @@ class Scope:
     tries: DataFrame
     merchant_id: int
 
+    @classmethod
+    def for_merchant(cls, merchants: DataFrame, sessions: DataFrame, tries: DataFrame, merchant_key: str | None) -> Scope:
+        """The scope of the merchant with that key; without one, or for a key that is not there, it fails."""
+        found = merchants.filter(F.col("merchant_key") == merchant_key).select("merchant_id").first() if merchant_key else None
+        if found is None:
+            raise ScopeError("no merchant is selected" if not merchant_key else "the selected merchant is not available")
+        return cls(sessions, tries, found["merchant_id"])
+
     @property
     def own_sessions(self) -> DataFrame:
         return self.sessions.filter(F.col("merchant_id") == self.merchant_id)
@@ -79,3 +87,14 @@ class Scope:
         """Sessions of the range and the one before, with their ``period``."""
         rows = self.own_sessions.filter(period.holds_both("created_at")).withColumn("period", period.period("created_at"))
         return rows if terminal_id is None else rows.filter(F.col("terminal_id") == terminal_id)
+
+
+def scope_metadata(sessions: DataFrame, period: Range, imports: DataFrame | None = None, terminal_key: str | None = None) -> DataFrame:
+    """One row: the range and the one before as dates, how it is to be read, the terminal, and how fresh the data are."""
+    day = lambda moment: F.lit(moment.date())
+    row = sessions.agg(F.max("created_at").alias("latest_data_at")).select(
+        day(period.start).alias("start"), day(period.end).alias("end"), day(period.previous_start).alias("previous_start"), day(period.start).alias("previous_end"),
+        F.lit(TIMEZONE).alias("timezone"), F.lit(INTERVAL).alias("interval"), F.lit(terminal_key).cast("string").alias("terminal_key"), "latest_data_at",
+    )
+    fresh = sessions.sparkSession.range(1).select(F.lit(None).cast("timestamp").alias("refreshed_at")) if imports is None else imports.agg(F.max("imported_at").alias("refreshed_at"))
+    return row.withColumn("one", F.lit(1)).join(fresh.withColumn("one", F.lit(1)), "one").drop("one")
