@@ -9,11 +9,11 @@ Short texts, of SHORT words at most, also have runs of 2 to 4 words by place: e
 text untouched, and move it by e places at most, so that no link between two short texts is missed.
 
 Candidates: all texts of one sketch value.  A pair is a link if the banded alignment of its words needs at most 20 % of
-the longer text's words as edits.  First they meet the value's smallest text (stars, never all pairs); of a text's
-candidates the one that most sketches name is aligned first.  Where a value still holds several classes, its members go
-on in rounds: in blocks, each names its nearest partner of another class by bags of words, so that a group of copies
-grows together at a cost linear in its size; at last all blocks of what still stands apart meet, and every pair of two
-classes is aligned unless lengths or bags already tell that it is no link.  What is in one class needs no alignment,
+the longer text's words as edits.  First they meet the value's smallest text (stars, never all pairs).  Where a value
+still holds several classes, its members go on in turns: in blocks, each names its nearest partner of another class by
+bitmaps of words and word pairs, so that a group of copies grows together at a cost linear in its size; at last all blocks
+of what still stands apart meet, and every pair of two classes is aligned unless lengths or bitmaps already tell that it is
+no link.  What is in one class needs no alignment,
 which leaves classes as they would be.  Classes are the connected components of links, with equal texts as one.
 
 Result: one row per document with the smallest document id of its class, the size of the class, and whether the
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.llm.common import TID, fresh_name, row_digest, slices, text_digest, written
+from quernlake.llm.common import TID, discard, fresh_name, row_digest, slices, text_digest, written
 
 K = 3
 PERMUTATIONS, LEVEL = 48, 2
@@ -48,10 +48,10 @@ SHORT = 25
 SIMILARITY = 0.8
 #: Of a text's k-mers so many are expected below the threshold that spares sorting them all.
 EXPECTED = 16
-#: Members of a sketch value that are compared at once, and counters of a text's bag of words.
-BLOCK, BINS = 256, 256
-#: How values that hold several classes are worked off: across blocks or inside each, and a member's nearest partner or all.
-ROUNDS = ((False, True), (False, True), (True, True), (True, False))
+#: Members of a sketch value that are compared at once.
+BLOCK = 256
+#: Share of nearest partners that must be links for another turn in blocks.
+WORTH = 0.02
 SEED = 0x5DEECE66D
 
 
@@ -283,41 +283,65 @@ def _verified(edges: DataFrame, words: DataFrame) -> DataFrame:
     return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a binary, b binary")
 
 
+def bag_of(words: np.ndarray) -> bytes:
+    """Two bitmaps of one size, of the hashed words and of the pairs of neighbours: some 8 to 16 bits for each word (1,024 at least)."""
+    bits = 1 << max(10, (8 * len(words) - 1).bit_length())
+    flags = np.zeros((2, bits), bool)
+    wide = words.astype(np.uint64)
+    for k, x in enumerate((wide, (wide[:-1] << np.uint64(32)) | wide[1:])):
+        flags[k, (_mix(x) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def folded(bags: np.ndarray, size: int) -> np.ndarray:
+    """Rows of two bitmaps as the same of ``size`` bytes in all: a bit stands where any of those that fall together stood."""
+    return np.ascontiguousarray(np.bitwise_or.reduce(bags.reshape(len(bags), 2, -1, size // 2), axis=2)).reshape(len(bags), 2, -1).view(np.uint64)
+
+
 def _bags(words: DataFrame) -> DataFrame:
-    """(tid, n, bag) of (tid, words): word count, and BINS counters of word hashes, which stop at 255."""
+    """(tid, n, bag) of (tid, words): word count, and the bitmaps of words and word pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.frombuffer(w, "<u4") for w in batch.column(1).to_pylist()]
-            bags = [np.minimum(np.bincount(w % BINS, minlength=BINS), 255).astype(np.uint8).tobytes() for w in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array(bags, pa.binary())], ["tid", "n", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array(list(map(bag_of, found)), pa.binary())], ["tid", "n", "bag"])
 
     return words.select("tid", "words").mapInArrow(run, "tid binary, n long, bag binary")
 
 
 def near_bags(x: list[dict], y: list[dict], same: bool, nearest: bool = False) -> list[tuple[int, int]]:
-    """Places (i, j) of members of two blocks that are in two classes and that lengths and bags allow to be a link.
+    """Places (i, j) of members of two blocks that are in two classes and that lengths and bitmaps allow to be a link.
 
-    An edit changes the counters by 2 at most, so that half their difference bounds the edits from below.  ``nearest``: of
-    each member's partners only the one whose bag differs least.
+    An edit takes away a word and two word pairs at most, and brings as many, so that the words of one text that the other
+    lacks, and half the pairs, bound the edits from below.  ``nearest``: of each member's partners only the one of the
+    least bound.
     """
     nx, ny = np.array([m["n"] for m in x]), np.array([m["n"] for m in y])
     most = ((1 - SIMILARITY) * np.maximum(nx[:, None], ny) + 1e-9).astype(np.int64)
-    may = np.abs(nx[:, None] - ny) <= most
+    may = (np.abs(nx[:, None] - ny) <= most) & (most > 0)  # different texts have an edit
     may &= np.array([m["root"] for m in x], f"S{TID}")[:, None] != np.array([m["root"] for m in y], f"S{TID}")
     if same:
         may = np.triu(may, 1)
-    if not may.any():
-        return []
-    bags = np.frombuffer(b"".join(m["bag"] for m in y), np.uint8).reshape(len(y), BINS).astype(np.int16)
+    sizes = np.array([len(m["bag"]) for m in y])
+    groups = {}
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        groups[size] = own, np.frombuffer(b"".join(y[j]["bag"] for j in own.tolist()), np.uint8).reshape(len(own), size), {}
     out = []
     for i in np.flatnonzero(may.any(1)).tolist():
-        at = np.flatnonzero(may[i])
-        far = np.abs(bags[at] - np.frombuffer(x[i]["bag"], np.uint8)).sum(1, dtype=np.int64)
+        bag, found = np.frombuffer(x[i]["bag"], np.uint8)[None], []
+        for size, (own, bags, smaller) in groups.items():
+            at = np.flatnonzero(may[i, own])
+            if len(at):
+                least = min(size, bag.shape[1])
+                if least not in smaller:
+                    smaller[least] = folded(bags, least)
+                here, there = folded(bag, least), smaller[least][at]
+                lacking = np.maximum(np.bitwise_count(here & ~there).sum(2, dtype=np.int64), np.bitwise_count(there & ~here).sum(2, dtype=np.int64))
+                found += zip(np.maximum(lacking[:, 0], -(-lacking[:, 1] // 2)).tolist(), own[at].tolist(), strict=True)
         if nearest:
-            least = int(far.argmin())
-            at, far = at[least : least + 1], far[least : least + 1]
-        out += [(i, j) for j in at[far <= 2 * most[i, at]].tolist()]
+            found = [min(found)]
+        out += [(i, j) for edits, j in found if edits <= most[i, j]]
     return out
 
 
@@ -329,10 +353,10 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return written(tagged.join(written(several.select("key", "size"), "near-several"), "key"), "near-open")
 
 
-def _met_blocks(members: DataFrame, bags: DataFrame, across: bool, nearest: bool) -> DataFrame:
+def _met_blocks(members: DataFrame, bags: DataFrame, across: bool, turn: int = 0) -> DataFrame:
     """(a, b), a > b, of pairs of ``members`` (key, tid, root, size) of one value that may be a link of two classes.
 
-    Members meet inside their block, or across all blocks of the value; ``nearest``: each names one partner a block at most.
+    Members meet across all blocks of the value, or inside their block alone and then name their nearest partner only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,13 +365,13 @@ def _met_blocks(members: DataFrame, bags: DataFrame, across: bool, nearest: bool
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 x, y = row["x"], row["y"] if across else row["x"]
-                for i, j in near_bags(x, y, not across or row["block"] == row["other"], nearest):
+                for i, j in near_bags(x, y, not across or row["block"] == row["other"], not across):
                     a, b = x[i]["tid"], y[j]["tid"]
                     found.add((max(a, b), min(a, b)))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in range(2)], ["a", "b"])
 
-    # blocks differ from value to value, so that members of a group mix
-    block = F.pmod(F.xxhash64("tid", "key"), F.ceil(F.col("size") / BLOCK)).alias("block")
+    # blocks differ from value to value and from turn to turn, so that members of a group mix
+    block = F.pmod(F.xxhash64("tid", "key", F.lit(turn)), F.ceil(F.col("size") / BLOCK)).alias("block")
     rows = members.select("key", "tid", "root", block).join(bags, "tid")
     packed = rows.groupBy("key", "block").agg(F.collect_list(F.struct("tid", "root", "n", "bag")).alias("x"))
     if not across:
@@ -359,26 +383,38 @@ def _met_blocks(members: DataFrame, bags: DataFrame, across: bool, nearest: bool
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of the nodes of ``edges`` (a, b): the smallest node of each connected component.
+    """(node, root) of the nodes of ``edges`` (a, b) that are not roots themselves: the smallest node of each connected component.
 
-    Alternating large-star and small-star steps; each round is written to the shared folder.
+    Alternating large-star and small-star steps, until all edges lead from a node to its only, parentless neighbour; each
+    round is written to the shared folder, and the tables of the one before go.
     """
     edges = written(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "component-edges")
-    before = None
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
+        rows, nodes = edges.agg(F.count("*"), F.approx_count_distinct("a", 0.01)).first()
+        if nodes > 0.97 * rows:  # else some nodes have several parents for sure
+            several = edges.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
+            if several.isEmpty() and edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+                return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         # large star: every larger neighbour of a node meets the node's smallest neighbour (or itself)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "component-least")
         large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter(F.col("a") != F.col("b"))
-        large = written(large.distinct(), "component-large")
+        large = written(large, "component-large")
         # small star: a node and its smaller neighbours meet the smallest of them
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "component-least")
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter(F.col("a") != F.col("b"))
-        edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "component-edges")
+        lowest = written(large.groupBy("a").agg(F.min("b").alias("m")), "component-least")
+        small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter(F.col("a") != F.col("b"))
+        after = written(small.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct(), "component-edges")
+        discard(edges, least, large, lowest)
+        edges = after
+
+
+def widened(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further links (a, b): the components of the graph in which each class is one node."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    merged = components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    moved = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left")
+    return written(moved.select("node", F.coalesce("above", "root").alias("root")).unionByName(merged), "near-roots")
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -392,36 +428,34 @@ def text_classes(rows: DataFrame) -> DataFrame:
     keys = sketched.select("tid", F.explode("keys").alias("key"))
     stars = written(keys.groupBy("key").agg(F.min("tid").alias("rep"), F.max("tid").alias("other"), F.count("*").alias("size")).filter(F.col("rep") != F.col("other")).select("key", "rep", "size"), "near-stars")
     members = written(keys.join(stars, "key"), "near-members")
-    votes = members.filter(F.col("tid") != F.col("rep")).groupBy("tid", "rep").agg(F.count("*").alias("votes"))
-    edges = written(votes.select(F.col("tid").alias("a"), F.col("rep").alias("b"), "votes"), "near-edges")
+    stars = members.filter(F.col("tid") != F.col("rep")).select(F.col("tid").alias("a"), F.col("rep").alias("b")).distinct()
+    edges = written(stars, "near-edges")
     # word hashes of the texts that have a candidate, once each
     needed = edges.select(F.col("a").alias("tid")).unionByName(edges.select(F.col("b").alias("tid"))).distinct()
     words = sketched.select("tid", "words").join(needed, "tid", "left_semi").groupBy("tid").agg(F.first("words").alias("words"))
     words = written(words, "near-words")
-    best = edges.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b"))
-    first = written(_verified(written(best, "near-first"), words), "near-links")
-    roots = components(first)
-    # the other candidates, unless one class holds both ends
-    tagged = edges.join(best.withColumnRenamed("b", "best"), "a").filter(F.col("b") != F.col("best")).select("a", "b")
-    tagged = written(tagged, "near-rest")
-    of_a, of_b = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-    open_ = tagged.join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    links = written(first.unionByName(_verified(written(open_, "near-open"), words)), "near-links")
-    roots = components(links)
-    # values of three members and more that hold several classes: nearest partners in blocks, then across them, then all that is left
+    roots = components(written(_verified(edges, words), "near-links"))
+    # values of three members and more that hold several classes: nearest partners in blocks while these often are links, then all that is left
     tried = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     left = _open(members.filter(F.col("size") > 2).select("key", "tid").distinct(), roots)
     bags = written(_bags(words.join(left.select("tid").distinct(), "tid", "left_semi")), "near-bags")
-    for across, nearest in ROUNDS:
-        if left.isEmpty():
-            break
-        pairs = written(_met_blocks(left, bags, across, nearest).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    turn, across, pending = 0, False, None
+    while not left.isEmpty():
+        pairs = written(_met_blocks(left, bags, across, turn).join(tried, ["a", "b"], "left_anti"), "near-pairs")
         more = written(_verified(pairs, words), "near-links")
-        tried = tried.unionByName(pairs)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(links)
+        asked, found = pairs.count(), more.count()
+        if found:
+            pending = more if pending is None else pending.unionByName(more)
+        if across:
+            break
+        tried, turn = tried.unionByName(pairs), turn + 1
+        if found and found >= WORTH * asked:
+            roots, pending = widened(roots, pending), None
             left = _open(left.select("key", "tid"), roots)
+        else:
+            across = True
+    if pending is not None:
+        roots = widened(roots, pending)
     # texts, their smallest ids, and the smallest id of each class
     ids = rows.groupBy("tid", "doc_id").agg(F.count("*").alias("n"))
     texts = written(ids.groupBy("tid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("low"), F.sum("n").alias("n")), "near-texts")
