@@ -65,10 +65,9 @@ def benchmarks(scope: Scope, period: Range, terminal_id: int | None = None) -> B
     if terminal_id is not None:
         return Benchmark(True, "terminal_filter", None, None)
     category = scope.own_sessions.agg(F.min("category_id")).first()[0]
-    rows = cohort(scope.sessions, scope.tries, category, period)
-    seen = rows.agg(F.count_if(F.col("merchant_id") != scope.merchant_id).alias("peers"), F.count_if(F.col("merchant_id") == scope.merchant_id).alias("own")).first()
-    if not seen["own"] or seen["peers"] < PEERS:
+    metrics = summary(cohort(scope.sessions, scope.tries, category, period), scope.merchant_id)
+    # every peer has a failed rate, so that its row tells whether the merchant is in the cohort and has peers enough
+    seen = metrics.agg(F.count_if(F.col("metric_id") == "sessions.failed_rate").alias("enough"), F.max(F.col("outside_iqr").cast("int")).alias("outside")).first()
+    if not seen["enough"]:
         return Benchmark(True, "insufficient_cohort", None, None)
-    metrics = summary(rows, scope.merchant_id)
-    outside = metrics.agg(F.max(F.col("outside_iqr").cast("int"))).first()[0]
-    return Benchmark(False, None, "unfavorable_outside_iqr" if outside else "neutral", metrics)
+    return Benchmark(False, None, "unfavorable_outside_iqr" if seen["outside"] else "neutral", metrics)

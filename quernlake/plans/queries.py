@@ -327,6 +327,20 @@ def row_validations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.first_violations(rows, rules).fillna(-1, ["first_row"])
 
 
-@query()
+NO_ZONE = "'Timestamps have no zone; the declared zone is Asia/Tehran.'"
+REGISTRY_ROWS = (
+    ("sessions.created", "session", "count distinct session_key", False, ""), ("amount.requested", "session", "sum amount once per session", False, ""),
+    ("sessions.failed_rate", "session", "Failed sessions / created sessions", False, ""),
+    ("sessions.verified_rate", "session", "Verified or Paid sessions / created sessions", True, "'Verified and Paid are combined until their business distinction is confirmed.', "),
+    ("sessions.no_attempt_rate", "session", "sessions with no PSP attempt / created sessions", False, ""), ("sessions.retry_rate", "session", "sessions with max try_seq > 1 / sessions with a PSP attempt", True, ""),
+    ("fees.adjusted", "session", "sum adjusted_fee once per session", True, "'Charging semantics are unconfirmed.', "),
+    ("benchmarks.category_equal_weighted", "merchant", "median and IQR across eligible same-category merchants, one vote each", True, "'At least 30 sessions per peer and 10 peers are required.', "),
+    ("attempts.processed", "attempt", "attempts with try_seq >= 1", True, ""), ("sessions.settled_rate", "session", "sessions with a settled attempt / created sessions", True, ""),
+    ("latency.verify", "attempt", "p50 and p95 of verify_time_ms where present", True, ""), ("failures.by_code", "attempt", "failed attempts by switch_response_code", True, ""),
+)
+REGISTRY_SQL = " UNION ALL ".join(f"SELECT '1.0.0' AS version, '{m}' AS metric_id, '{g}' AS grain, '{f}' AS formula, 'created_at' AS time_field, {p} AS proposed, [{limits}{NO_ZONE}] AS limitations" for m, g, f, p, limits in REGISTRY_ROWS)
+
+
+@query(REGISTRY_SQL)
 def metric_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.metric_registry(spark, documented=True)

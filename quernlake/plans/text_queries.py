@@ -154,7 +154,7 @@ def serving_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ingest_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", redact.redact_ingest("text").alias("r"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", redact.redact_ingest(F.col("text")).alias("r"))
     return rows.select("doc_id", F.md5("r.text").alias("digest"), F.aggregate(F.map_values("r.counts"), F.lit(0), lambda a, b: a + b).alias("redactions"))
 
 
@@ -182,8 +182,7 @@ def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT key AS leaf, count(*) AS frequency FROM (SELECT unnest(json_keys(props)) AS key FROM events WHERE json_valid(props)) GROUP BY 1")
 def json_leaf_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("path"), F.col("props").alias("text"))
-    keys = [r[0] for r in rows.select(F.explode(F.json_object_keys("text"))).distinct().collect()]
-    return markdown.manifest(rows, frozenset(keys)).select("leaf", "frequency")
+    return markdown.manifest(rows, None).select("leaf", "frequency")
 
 
 @query()
@@ -229,7 +228,7 @@ def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
-@query()
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, 16 AS dimension, CAST(1 AS DOUBLE) AS norm FROM documents")
 def embed_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.array("source").alias("heading_path"), "text", F.lit(None).cast("array<float>").alias("embedding"))
     done = corpus_store.embed_missing(rows, corpus_store.hash_embedder(16), 16)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quernlake.operators import quality
 from quernlake.schemas import DATASET_IMPORTS, PAYMENT_CSV, PAYMENT_CSV_COLUMNS
 
 TRANSFORMATION_VERSION = "1.0.0"
+#: Lines whose digests are hashed together.
+BLOCK = 1 << 16
 TABLES = ("merchants", "merchant_categories", "terminals", "payment_sessions", "payment_tries")
 
 
@@ -29,15 +33,18 @@ class SourceFile:
 def inspect_source(spark: SparkSession, path: str) -> SourceFile:
     """Checks the header (a byte-order mark is tolerated) and takes size and digest, read by Spark from any store.
 
-    The digest is that of the file's blocks of 128 MiB: SHA-256 of their SHA-256 values in order, so no task needs the whole file.
+    The digest is that of the lines: SHA-256 of the digests of BLOCK lines each, in order, so that no task needs a whole
+    file and files of any size will do.  How lines end does not count.
     """
     first = spark.read.text(path).limit(1).collect()
-    header = first[0][0].lstrip("﻿").rstrip("\r").split(",") if first else []
+    header = first[0][0].lstrip("\ufeff").rstrip("\r").split(",") if first else []
     if tuple(h.strip('"') for h in header) != PAYMENT_CSV_COLUMNS:
         raise SourceError("the header differs from the payment CSV contract")
-    found = spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha")).orderBy("path").collect()
-    digest = found[0]["sha"] if len(found) == 1 else hashlib.sha256("".join(f["sha"] for f in found).encode()).hexdigest()
-    return SourceFile(path, digest, sum(f["length"] for f in found))
+    lines = numbered(spark.read.text(path), "n").select("n", F.sha2("value", 256).alias("sha"), F.octet_length("value").cast("long").alias("size"))
+    in_order = lambda n: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(n, "sha"))), lambda x: x["sha"]), ""), 256)
+    blocks = lines.groupBy(F.floor(F.col("n") / BLOCK).alias("block")).agg(in_order("n").alias("sha"), F.sum(F.col("size") + 1).alias("size"))
+    found = blocks.agg(in_order("block").alias("sha"), F.sum("size").alias("size")).first()
+    return SourceFile(path, found["sha"], found["size"])
 
 
 def read_staging(spark: SparkSession, path: str) -> DataFrame:
@@ -50,18 +57,12 @@ def read_staging(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, name: str) -> DataFrame:
-    """Adds row numbers from 1 in the order of the read partitions."""
+    """Adds row numbers from 1 in the order of the read partitions; only a count for each partition is ordered in one task."""
     tagged = rows.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
-    counts = tagged.groupBy("__part").count().collect()  # one row per partition
-    ahead, total = {}, 0
-    for row in sorted(counts, key=lambda r: r["__part"]):
-        ahead[row["__part"]] = total
-        total += row["count"]
-    if not ahead:
-        return rows.withColumn(name, F.lit(0).cast("long"))
-    offsets = F.create_map(*[F.lit(x).cast("long") for pair in ahead.items() for x in pair])
+    ahead = F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    counts = tagged.groupBy(F.col("__part").alias("__p")).count().select("__p", F.coalesce(ahead, F.lit(0)).alias("__ahead"))
     place = F.col("__id").bitwiseAND((1 << 33) - 1)
-    return tagged.withColumn(name, offsets[F.col("__part")] + place + 1).drop("__id", "__part")
+    return tagged.join(counts, F.col("__part") == F.col("__p")).withColumn(name, F.col("__ahead") + place + 1).drop("__id", "__part", "__p", "__ahead")
 
 
 def dataset_state(spark: SparkSession, root: str, source: SourceFile) -> str:
@@ -77,30 +78,80 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
 
 
+def _pointer(root: str) -> str:
+    return f"{root}/CURRENT"
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The folder of the tables that hold, or None before the first load."""
+    if not _exists(spark, _pointer(root)):
+        return None
+    return f"{root}/{spark.read.text(_pointer(root)).first()[0]}"
+
+
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    version = current_version(spark, root)
+    if version is None:
+        raise SourceError("nothing is loaded")
+    return spark.read.parquet(f"{version}/{name}")
+
+
 def read_imports(spark: SparkSession, root: str) -> DataFrame:
-    path = f"{root}/dataset_imports"
-    return spark.read.schema(DATASET_IMPORTS).parquet(path) if _exists(spark, path) else spark.createDataFrame([], DATASET_IMPORTS)
+    version = current_version(spark, root)
+    return spark.createDataFrame([], DATASET_IMPORTS) if version is None else spark.read.schema(DATASET_IMPORTS).parquet(f"{version}/dataset_imports")
+
 
+def replace_tables(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], partition_by: Mapping[str, str] | None = None, check: Callable[[Mapping[str, DataFrame]], None] | None = None) -> None:
+    """Writes all tables under a new version folder, checks them as read back, and makes that version the current one.
 
-def replace_tables(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], partition_by: Mapping[str, str] | None = None) -> None:
-    """Writes all tables to a staging folder and moves them into place only when every one is written."""
+    Readers go by one small file that names the version.  It is replaced by a rename, so a crash at any time leaves the
+    tables of one load; folders of older versions go afterwards.
+    """
+    version = f"version-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        writer = df.write.mode("overwrite")
+        writer = df.write
         if partition_by and name in partition_by:
             writer = writer.partitionBy(partition_by[name])
-        writer.parquet(f"{root}/_staging/{name}")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for name in tables:
-        fs.delete(hadoop(f"{root}/{name}"), True)
-        fs.rename(hadoop(f"{root}/_staging/{name}"), hadoop(f"{root}/{name}"))
-    fs.delete(hadoop(f"{root}/_staging"), True)
-
-
-def load_payments(spark: SparkSession, path: str, root: str, normalize: Callable[[DataFrame], Mapping[str, DataFrame]], replace: bool = False) -> str:
+        writer.parquet(f"{root}/{version}/{name}")
+    if check is not None:
+        check({name: spark.read.parquet(f"{root}/{version}/{name}") for name in tables})
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(f"{root}/{version}/_pointer")
+    fs = hadoop.Path(root).getFileSystem(conf)
+    part = next(f.getPath() for f in fs.listStatus(hadoop.Path(f"{root}/{version}/_pointer")) if f.getPath().getName().startswith("part-"))
+    options = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(hadoop.Path(root).toUri(), conf).rename(part, hadoop.Path(_pointer(root)), options)
+    for status in fs.listStatus(hadoop.Path(root)):
+        name = status.getPath().getName()
+        if name.startswith("version-") and name != version:
+            fs.delete(status.getPath(), True)
+
+
+#: Unique keys of the tables, and the keys by which rows refer to other tables.
+UNIQUE = {"merchants": ("merchant_id",), "merchant_categories": ("category_id",), "terminals": ("terminal_id",), "payment_sessions": ("session_id",), "payment_tries": ("session_id", "try_seq")}
+REFERENCES = (
+    ("terminals", "merchants", ("merchant_id",)), ("payment_sessions", "merchants", ("merchant_id",)), ("payment_sessions", "terminals", ("terminal_id", "merchant_id")),
+    ("payment_sessions", "merchant_categories", ("category_id",)), ("payment_tries", "payment_sessions", ("session_id", "merchant_id")),
+)
+
+
+def check_keys(tables: Mapping[str, DataFrame]) -> None:
+    """Fails where a key stands twice (also by a collision of surrogate ids) or a row refers to nothing."""
+    for name, keys in UNIQUE.items():
+        if name in tables and not quality.repeated_keys(tables[name], keys).isEmpty():
+            raise SourceError(f"a key of {name} stands more than once")
+    for child, parent, keys in REFERENCES:
+        if child in tables and parent in tables and not quality.orphans(tables[child], tables[parent], keys).isEmpty():
+            raise SourceError(f"a row of {child} refers to no row of {parent}")
+
+
+def load_payments(spark: SparkSession, path: str, root: str, normalize: Callable[[DataFrame], Mapping[str, DataFrame]], replace: bool = False, now: datetime | None = None) -> str:
     """Loads a CSV once: ``loaded``, or ``unchanged`` where this very file is there already.
 
-    A different dataset is refused without ``replace``.  ``normalize`` validates the staging rows and returns the tables.
+    A different dataset is refused without ``replace``.  ``normalize`` validates the staging rows and returns the tables;
+    the audit row, at the time ``now``, becomes current together with them.
     """
     source = inspect_source(spark, path)
     state = dataset_state(spark, root, source)
@@ -109,8 +160,11 @@ def load_payments(spark: SparkSession, path: str, root: str, normalize: Callable
     if state == "different" and not replace:
         raise SourceError("another dataset is loaded; pass replace=True to replace it")
     staging = read_staging(spark, path)
-    replace_tables(spark, root, normalize(staging))
-    counts = staging.agg(F.count("*").alias("n"), F.count_distinct("session_key").alias("sessions")).first()
-    audit = spark.createDataFrame([(path.rsplit("/", 1)[-1], source.sha256, source.size, counts["n"], counts["sessions"], counts["n"], TRANSFORMATION_VERSION)], "source_filename string, sha256 string, source_size_bytes long, source_row_count long, session_count long, try_count long, transformation_version string")
-    audit.withColumn("imported_at", F.current_timestamp()).write.mode("overwrite" if replace else "append").parquet(f"{root}/dataset_imports")
+    counts = staging.agg(F.count("*").alias("source_row_count"), F.count_distinct("session_key").alias("session_count"))
+    stamp = F.current_timestamp() if now is None else F.lit(now)
+    audit = counts.select(
+        F.lit(path.rsplit("/", 1)[-1]).alias("source_filename"), F.lit(source.sha256).alias("sha256"), F.lit(source.size).cast("long").alias("source_size_bytes"), "source_row_count", "session_count",
+        F.col("source_row_count").alias("try_count"), F.lit(TRANSFORMATION_VERSION).alias("transformation_version"), stamp.alias("imported_at"),
+    )
+    replace_tables(spark, root, {**normalize(staging), "dataset_imports": audit}, check=check_keys)
     return "loaded"

@@ -36,18 +36,29 @@ def sliding_counts(events: DataFrame, time: str, size: str = "1 hour", slide: st
     return timed.groupBy(F.window("__t", size, slide).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-def attempts_per_session(tries: DataFrame) -> DataFrame:
-    """A keyed-state operator: each session's attempt count and largest sequence so far, told on every change."""
+def attempts_per_session(tries: DataFrame, idle: str | None = None) -> DataFrame:
+    """A keyed-state operator: each session's attempt count and largest sequence so far, told on every change.
+
+    With ``idle``, a pandas time span of processing time, the state of a session without attempts for so long is dropped,
+    and attempts after that count anew; such a query runs on as long as it may have state to drop, so it needs a
+    processing-time trigger.  Without, state stays.
+    """
+    wait = idle and int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         count, largest = state.get if state.exists else (0, -1)
         for frame in frames:
             count += int((frame["try_seq"] >= 1).sum())
             largest = max(largest, int(frame["try_seq"].max()))
         state.update((count, largest))
+        if wait:
+            state.setTimeoutDuration(wait)
         yield pd.DataFrame({"session_id": [key[0]], "attempt_count": [count], "max_try_seq": [largest]})
 
-    return tries.groupBy("session_id").applyInPandasWithState(fold, "session_id long, attempt_count long, max_try_seq int", "n long, m int", "update", GroupStateTimeout.NoTimeout)
+    return tries.groupBy("session_id").applyInPandasWithState(fold, "session_id long, attempt_count long, max_try_seq int", "n long, m int", "update", GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout)
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType, checkpoint: str, load: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -62,15 +73,26 @@ def embed_stream(chunks: DataFrame, embedder: Embedder, dimension: int, time: st
 
 
 def alert_batches(counts: DataFrame, checkpoint: str, tell: Callable[[Mapping[str, object]], None]) -> StreamingQuery:
-    """Compares each batch's sums (no_attempt, total) with those of the batch before and tells the alerts."""
-    seen: dict[str, int] = {}
-
-    def compare(batch: DataFrame, _: int) -> None:
-        now = batch.agg(F.sum("no_attempt").alias("c"), F.sum("total").alias("t")).withColumns({"p": F.lit(seen.get("c", 0)), "pt": F.lit(seen.get("t", 0))})
-        row = now.select("c", "t", no_attempt_signal(F.col("c"), F.col("t"), F.col("p"), F.col("pt")).alias("s")).first()
+    """Compares each batch's sums (no_attempt, total) with those of the batch before and tells the alerts.
+
+    Sums are kept beside the checkpoint, a folder for each batch, so that a restart goes on from the last one and a batch
+    that runs again compares with the same sums; the last two stay.
+    """
+    spark = counts.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(checkpoint).getFileSystem(spark._jsc.hadoopConfiguration())
+    sums = lambda n: f"{checkpoint.rstrip('/')}-sums/{n}"
+
+    def compare(batch: DataFrame, n: int) -> None:
+        zero = spark.createDataFrame([(0, 0)], "p long, pt long")
+        before = spark.read.parquet(sums(n - 1)).select(F.col("c").alias("p"), F.col("t").alias("pt")) if fs.exists(hadoop(sums(n - 1))) else zero
+        total = lambda name: F.coalesce(F.sum(name), F.lit(0)).cast("long")
+        batch.agg(total("no_attempt").alias("c"), total("total").alias("t")).coalesce(1).write.mode("overwrite").parquet(sums(n))
+        now = spark.read.parquet(sums(n)).withColumn("one", F.lit(1)).join(before.withColumn("one", F.lit(1)), "one")
+        row = now.select(no_attempt_signal(F.col("c"), F.col("t"), F.col("p"), F.col("pt")).alias("s")).first()
         if row["s"]["alert"]:
             tell(row["s"].asDict())
-        seen.update(c=row["c"] or 0, t=row["t"] or 0)
+        fs.delete(hadoop(sums(n - 2)), True)
 
     return counts.writeStream.foreachBatch(compare).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -61,12 +61,12 @@ def test_load(spark, tmp_path):
     normalize = lambda staging: star_schema.star_schema(quality.validate(staging))
     assert payments.load_payments(spark, one, root, normalize) == "loaded"
     assert payments.load_payments(spark, one, root, normalize) == "unchanged"
-    assert spark.read.parquet(f"{root}/payment_tries").count() == 3
+    assert payments.read_table(spark, root, "payment_tries").count() == 3
     two = csv(tmp_path / "two.csv", [line])
     with pytest.raises(payments.SourceError, match="another dataset"):
         payments.load_payments(spark, two, root, normalize)
     assert payments.load_payments(spark, two, root, normalize, replace=True) == "loaded"
-    assert spark.read.parquet(f"{root}/payment_sessions").count() == 1
+    assert payments.read_table(spark, root, "payment_sessions").count() == 1
     audit = payments.read_imports(spark, root).collect()
     assert len(audit) == 1 and audit[0].source_row_count == 1 and len(audit[0].sha256) == 64
 
@@ -78,3 +78,31 @@ def test_header_and_numbers(spark, tmp_path):
     many = spark.range(100, numPartitions=7).orderBy("id")
     found = payments.numbered(many, "n").agg(F.min("n"), F.max("n"), F.count_distinct("n")).first()
     assert tuple(found) == (1, 100, 100)
+
+
+def test_a_failed_load_leaves_the_last_one(spark, tmp_path):
+    line, root = ",".join(GOOD.values()), str(tmp_path / "warehouse")
+    one = csv(tmp_path / "one.csv", [line])
+    normalize = lambda staging: star_schema.star_schema(quality.validate(staging))
+    payments.load_payments(spark, one, root, normalize)
+
+    def broken(staging):
+        tables = normalize(staging)
+        return {**tables, "terminals": tables["terminals"].limit(0)}
+
+    two = csv(tmp_path / "two.csv", [line, line.replace("s1,1", "s1,2", 1)])
+    with pytest.raises(payments.SourceError, match="payment_sessions refers to no row of terminals"):
+        payments.load_payments(spark, two, root, broken, replace=True)
+    assert payments.read_table(spark, root, "payment_tries").count() == 1 and payments.read_imports(spark, root).count() == 1
+    with pytest.raises(payments.SourceError, match="a key of payment_tries"):
+        payments.load_payments(spark, two, root, lambda s: {**normalize(s), "payment_tries": normalize(s)["payment_tries"].withColumn("try_seq", F.lit(1).cast("smallint"))}, replace=True)
+    assert payments.load_payments(spark, two, root, normalize, replace=True) == "loaded"
+    assert payments.read_table(spark, root, "payment_tries").count() == 2
+    assert [p.name for p in (tmp_path / "warehouse").iterdir() if p.name.startswith("version-")].__len__() == 1
+
+
+def test_digest_follows_lines_alone(spark, tmp_path):
+    line = ",".join(GOOD.values())
+    a, b = csv(tmp_path / "a.csv", [line, line.replace("s1", "s2")]), csv(tmp_path / "b.csv", [line.replace("s1", "s2"), line])
+    found = [payments.inspect_source(spark, p) for p in (a, b, a)]
+    assert found[0].sha256 == found[2].sha256 != found[1].sha256 and found[0].size == (tmp_path / "a.csv").stat().st_size

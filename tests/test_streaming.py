@@ -42,3 +42,12 @@ def test_alerts(spark, tmp_path):
         rows = spark.readStream.schema("no_attempt long, total long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     incremental.alert_batches(rows, str(tmp_path / "c"), told.append).awaitTermination()
     assert len(told) == 1 and told[0]["excess"] == 60
+
+
+def test_alerts_go_on_after_a_restart(spark, tmp_path):
+    told, place = [], str(tmp_path / "in")
+    for c, t in ((20, 200), (80, 200)):
+        spark.createDataFrame([(c, t)], "no_attempt long, total long").coalesce(1).write.mode("append").parquet(place)
+        rows = spark.readStream.schema("no_attempt long, total long").parquet(place)
+        incremental.alert_batches(rows, str(tmp_path / "c"), told.append).awaitTermination()
+    assert len(told) == 1 and told[0]["excess"] == 60
