@@ -108,3 +108,19 @@ def test_repeat_keeps_tiny_sources(documents, monkeypatch):
     got = Counter(r.doc_id for r in mixing.repeat(docs).collect())
     assert all(got[1000 + i] == 2 for i in range(12))  # a target of twice the source
     assert set(range(100)) <= set(got)
+
+
+def test_repeat_takes_odd_rows(odd):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    table = odd.withColumns({c: F.lit(1) for c in ("row", "_row", "times", "__n", "__k", "__digest")})
+    got = mixing.repeat(table)
+    assert got.columns == table.columns
+    rows = got.collect()
+    counts = Counter((r.doc_id, r.text) for r in rows)
+    assert all(r["row"] == r["times"] == r["__n"] == 1 for r in rows)
+    assert not [k for k in counts if not (k[1] or "").strip()]  # texts without words give nothing
+    assert max(counts.values()) <= 4  # twice its size, for each of two rows alike
+    assert mixing.repeat(table.limit(0)).collect() == []

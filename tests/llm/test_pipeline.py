@@ -63,3 +63,34 @@ def test_registered():
     for n in range(1, 11):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_odd_rows_through_all_stages(spark, odd):
+    """Nulls, empty and long texts, ties, repeated rows and clashing names pass each stage, as it is defined."""
+    from pyspark.sql import functions as F
+
+    table = odd.withColumns({c: F.lit(1) for c in ("row", "_row", "times", "copy", "n_pieces")})
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = corpus_pipeline.written(stage(spark, table, "/root/testdata/sf0.001"), "odd-stage")
+        assert out.columns == table.columns, name
+        assert out.count() <= 4 * table.count()
+        table = out
+    texts = [r.text for r in table.collect()]
+    assert all(t and t.strip() for t in texts)  # the mix takes words alone
+    assert sum(t.startswith("same text") for t in set(texts)) <= 1
+    pieces = corpus_pipeline.STAGES[3][1](spark, table, "/root/testdata/sf0.001").collect()
+    assert len(pieces) == len(texts) and all(p.lossless for p in pieces)
+
+
+def test_copies_are_sampled_apart(documents):
+    from quernlake.llm import piece_sampling
+    from quernlake.llm.queries import vocabulary
+
+    text = "several words that can be cut in many ways, again and again, as often as they stand here"
+    rows = piece_sampling.numbered_copies(documents([(1, text, "a")] * 4 + [(2, text, "a")]))
+    assert sorted((r.doc_id, r.copy) for r in rows.collect()) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0)]
+    path = vocabulary("piece_bpe_32k.model")
+    got = piece_sampling.both_ways(rows, path, copy="copy").collect()
+    assert all(r.lossless for r in got) and len({tuple(r.piece_ids) for r in got if r.doc_id == 1}) > 1
+    plain = piece_sampling.both_ways(documents([(1, text, "a")]), path).first()
+    assert tuple(plain.piece_ids) in {tuple(r.piece_ids) for r in got if r.doc_id == 1}

@@ -98,3 +98,34 @@ def test_odd_rows(spark, odd):
     assert all(r.held_out for r in got if r.doc_id is None)
     assert {r.score for r in quality.classify(odd, labels.limit(0)).collect()} == {0.5}
     assert quality.classify(odd.limit(0), labels).collect() == []
+
+
+def test_fit_equals_direct_ridge(spark, documents):
+    """Weights from summed normal equations equal those of numpy on all training rows at once."""
+    import random
+    import zlib
+
+    import numpy as np
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["word", "Title.", "x|y", "###", "12", "line\n"]) for _ in range(rng.randrange(1, 60))), "a") for i in range(160)]
+    labels = [(i, rng.randrange(2)) for i in range(160)]
+    model = quality.fit(documents(rows, 5), spark.createDataFrame(labels, "doc_id long, quality int"))
+    train = [i for i in range(160) if zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([quality.statistics(rows[i][1]) for i in train]), np.array([labels[i][1] for i in train], float)
+    scale = np.where(x.std(0) > 1e-9, x.std(0), 1.0)
+    z = quality.fourier((x - x.mean(0)) / scale)
+    direct = np.linalg.solve(z.T @ z + quality.RIDGE * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(model.weights, direct, atol=1e-6)
+    raw = z @ direct
+    assert np.corrcoef(raw, model.scores(x))[0, 1] > 0.9 and (np.diff(model.scores(x)[np.argsort(raw)]) >= -1e-9).all()
+
+
+def test_keep_good_takes_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 0), (2, 0), (5, 1), (7, 1), (None, 1), (8, None)], "doc_id long, quality int")
+    kept = quality.keep_good(odd, labels)
+    assert kept.columns == odd.columns
+    want = {(r.doc_id,) for r in quality.classify(odd, labels).filter("predicted = 1").collect()}
+    assert {(r.doc_id,) for r in kept.collect()} == want
+    assert quality.keep_good(odd.limit(0), labels).collect() == []
+    assert quality.keep_good(odd, labels.limit(0)).count() == odd.count()  # without labels every score is 0.5
