@@ -5,7 +5,8 @@ candidate block is one row of a join on the query block's number, so the pairs s
 ever broadcast without Spark's own size check.  Inside a pair the candidates lie in vertical layout (dimension by
 vector): scores accumulate a block of dimensions at a time, and after each one a query keeps only the candidates whose
 score so far plus the bound on the remaining mass (the Cauchy-Schwarz product of the norms of what is left) can still
-reach its k-th best.  A ranking over each query's few finalists per pair ends the search.
+reach its k-th best.  The k best so far, and the bound they set, go on from one candidate block of a task to the next.
+A ranking over each query's few finalists of each task ends the search.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without an
 id; shorter vectors count as padded with zeros; a row never meets rows of its own id; ties go to the smaller id;
@@ -22,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a packed block: a pair of blocks holds some 4 million scores at most.
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
+#: Rows of a packed block, and queries of it that are scored at once.
+QUERY_BLOCK, CANDIDATE_BLOCK, SOME_QUERIES = 16_384, 4096, 256
 DIMENSION_BLOCK = 16
 #: Each query block stands in so many copies, so that few query blocks still spread over many tasks.
 LANES = 32
@@ -70,34 +71,62 @@ def _unpacked(row: dict, p: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(row[f"{p}ids"], "<i8"), np.frombuffer(cells, kind).reshape(dims, n).astype(np.float64)
 
 
-def search_pair(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[list, list, list]:
-    """Branch and bound in one pair of blocks; q and c are dimension by vector. (query, candidate, score) of the k best."""
+def search_pair(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Branch and bound in one pair of blocks; q and c are dimension by vector. (place of the query, candidate, score) of the k best.
+
+    ``floors``: scores that each query has reached k times already; what cannot reach them is left out at once.
+    """
+    floors = np.full(len(q_ids), -np.inf) if floors is None else floors
     dims = max(len(q), len(c))
     q, c = (np.vstack([x, np.zeros((dims - len(x), x.shape[1]))]) if len(x) < dims else x for x in (q, c))
     starts = list(range(0, dims, DIMENSION_BLOCK)) or [0]
     rest = lambda x: [np.sqrt((x[s + DIMENSION_BLOCK :] ** 2).sum(0)) * (1 + 1e-9) for s in starts]
     q_rest, c_rest = rest(q), rest(c)
-    first = q[:DIMENSION_BLOCK].T @ c[:DIMENSION_BLOCK]
-    out: tuple[list, list, list] = ([], [], [])
-    for i, own in enumerate(q_ids):
-        alive = np.flatnonzero(c_ids != own)
-        score = first[i, alive]
-        for b, s in enumerate(starts):
-            if b:
-                block = slice(s, s + DIMENSION_BLOCK)
-                score = score + q[block, i] @ c[block, alive]
-            bound = q_rest[b][i] * c_rest[b][alive]
-            if len(alive) > k:
-                floor = np.partition(score - bound, len(alive) - k)[len(alive) - k]
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a in range(0, len(q_ids), SOME_QUERIES):
+        first = q[:DIMENSION_BLOCK, a : a + SOME_QUERIES].T @ c[:DIMENSION_BLOCK]
+        may = first + q_rest[0][a : a + SOME_QUERIES, None] * c_rest[0] >= floors[a : a + SOME_QUERIES, None] - 1e-6
+        may &= c_ids != q_ids[a : a + SOME_QUERIES, None]
+        for i in (a + np.flatnonzero(may.any(1))).tolist():
+            alive = np.flatnonzero(may[i - a])
+            score = first[i - a, alive]
+            for b, s in enumerate(starts):
+                if b:
+                    block = slice(s, s + DIMENSION_BLOCK)
+                    score = score + q[block, i] @ c[block, alive]
+                bound, floor = q_rest[b][i] * c_rest[b][alive], floors[i]
+                if len(alive) > k:
+                    floor = max(floor, np.partition(score - bound, len(alive) - k)[len(alive) - k])
                 keep = score + bound >= floor - 1e-6
                 alive, score = alive[keep], score[keep]
-        if len(alive) > k:
-            best = np.lexsort((c_ids[alive], -score))[:k]
-            alive, score = alive[best], score[best]
-        out[0].extend([own] * len(alive))
-        out[1].extend(c_ids[alive])
-        out[2].extend(np.rint(score).astype(np.int64))
-    return out
+            if len(alive) > k:
+                best = np.lexsort((c_ids[alive], -score))[:k]
+                alive, score = alive[best], score[best]
+            out.append((np.full(len(alive), i), c_ids[alive], score))
+    return tuple(np.concatenate([o[n] for o in out]) if out else np.zeros(0, kind) for n, kind in enumerate((np.int64, np.int64, float)))
+
+
+class Best:
+    """The k best finds so far of the queries of a block, ties to the smaller id."""
+
+    def __init__(self, q_ids: np.ndarray, k: int):
+        self.q_ids, self.k = q_ids, k
+        self.at, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.floors = np.full(len(q_ids), -np.inf)
+
+    def add(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        at, ids, scores = np.r_[self.at, at], np.r_[self.ids, ids], np.r_[self.scores, scores]
+        order = np.lexsort((ids, -scores, at))
+        at, ids, scores = at[order], ids[order], scores[order]
+        n = np.bincount(at, minlength=len(self.q_ids))
+        place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        kept = place < self.k
+        self.at, self.ids, self.scores = at[kept], ids[kept], scores[kept]
+        last = place == self.k - 1
+        self.floors[at[last]] = scores[last]
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (self.q_ids[self.at], self.ids, np.rint(self.scores).astype(np.int64))], ["query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -120,13 +149,20 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
     candidates = candidates.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(LANES)).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, best = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                found = search_pair(*_unpacked(row, "q_"), *_unpacked(row, ""), k)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"])
-
-    pairs = candidates.join(packed, ["q_block", "lane"]).drop("q_block", "lane")
+                q_ids, q = _unpacked(row, "q_")
+                if best is None or row["q_block"] != block:  # rows of one query block stand together where Spark sorted them
+                    if best is not None:
+                        yield best.rows()
+                    block, best = row["q_block"], Best(q_ids, k)
+                best.add(*search_pair(q_ids, q, *_unpacked(row, ""), k, best.floors))
+        if best is not None:
+            yield best.rows()
+
+    pairs = candidates.join(packed, ["q_block", "lane"]).drop("lane")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = pairs.mapInArrow(search, "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(best))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

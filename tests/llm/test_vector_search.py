@@ -64,9 +64,14 @@ def test_bounds_lose_nothing(dims, n, k, seed):
     q, c = rng.integers(-4, 5, (dims, 3)).astype(float), rng.integers(-4, 5, (dims, n)).astype(float)
     ids = rng.permutation(n)
     got = list(zip(*vector_search.search_pair(np.array([-1, -2, -3]), q, ids, c, k), strict=True))
+    best, half = vector_search.Best(np.array([-1, -2, -3]), k), n // 2
+    for part in (slice(0, half), slice(half, n)):  # bounds go on from one block to the next
+        best.add(*vector_search.search_pair(best.q_ids, q, ids[part], c[:, part], k, best.floors))
+    carried = list(zip(*(col.to_pylist() for col in best.rows().columns), strict=True))
     for i, own in enumerate((-1, -2, -3)):
         want = sorted(((-int(q[:, i] @ c[:, j]), int(ids[j])) for j in range(n)))[:k]
-        assert sorted((-int(s), int(v)) for o, v, s in got if o == own) == want
+        assert sorted((-int(s), int(v)) for o, v, s in got if o == i) == want
+        assert sorted((-s, v) for o, v, s in carried if o == own) == want
 
 
 def test_every_row_of_an_id_searches(spark):
