@@ -229,8 +229,8 @@ def spell(ids: np.ndarray, raw: list[bytes]) -> str:
     return b"".join([raw[i] for i in ids.tolist()])[1:].decode()
 
 
-def numbered_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(all columns, copy): rows alike in id and text are counted from 0, so that each may have a seed of its own.
+def numbered_copies(docs: DataFrame, name: str = "copy", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(all columns, and the copy's number as ``name``): rows alike in id and text are counted from 0, so that each may have a seed of its own.
 
     Of such rows the other columns are those of one of them.  Texts are shuffled once, alike ones once per task.
     """
@@ -238,7 +238,7 @@ def numbered_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     alike = docs.withColumn(row, row_digest(F.col(key), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).cast("binary")))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     counted = alike.groupBy(row).agg(F.first(whole).alias("whole"), F.count("*").alias("n"))
-    return counted.select("whole.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+    return counted.select("whole.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias(name))
 
 
 def _rows(docs: DataFrame, keep: Sequence[str], key: str, text: str, copy: str | None) -> DataFrame:
