@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernlake.llm import html_text, id_files, media_chunks, mixing, near_dup, piece_sampling, quality, token_counts, url_filter, vector_search
+from quernlake.llm import forest_search, html_text, id_files, media_chunks, mixing, near_dup, piece_sampling, quality, spelling, token_counts, url_filter, vector_search, wand
 from quernlake.llm.common import table
 
 
@@ -56,7 +56,19 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_wand_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_chunks, op2_url_filter, op3_near_duplicates, op4_source_mix, op5_quality, op6_html_text, op7_token_counts, op8_id_files, op9_piece_sampling, op10_vector_search)
+    f.__name__: f for f in (op1_media_chunks, op2_url_filter, op3_near_duplicates, op4_source_mix, op5_quality, op6_html_text, op7_token_counts, op8_id_files, op9_piece_sampling, op10_vector_search, op11_forest_search, op12_wand_ranking, op13_spelling_groups)
 }
-ORACLES: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op4_source_mix": mixing.ORACLE, "op10_vector_search": vector_search.ORACLE}
+ORACLES: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op4_source_mix": mixing.ORACLE, "op10_vector_search": vector_search.ORACLE, "op12_wand_ranking": wand.ORACLE}
