@@ -22,7 +22,6 @@ without an id are answered with a null one; an empty table gives an empty result
 from __future__ import annotations
 
 import heapq
-import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -35,7 +34,8 @@ from quernlake.llm.common import discard, spans, written
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LOWERED = str.maketrans(UPPER, LOWER)
+#: The same on UTF-8: A-Z lower-cased, and a space for each byte that is in no term.
+TERM_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 #: Text of a shard, rows of one at most, and items that meet a shard at once.
 SHARD_BYTES, SHARD_ROWS, ITEM_BLOCK = 24_000_000, 1 << 16, 256
 
@@ -45,38 +45,46 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(f"({TERM})"))
 
 
-def shard_rows(ids: list, texts: list[str], name: int) -> Iterator[pa.RecordBatch]:
+class Codes(dict):
+    """Numbers of words in the order in which they first came."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        return code
+
+
+def shard_rows(ids: list, texts: list[bytes], name: int) -> Iterator[pa.RecordBatch]:
     """The rows of one shard: first its documents, then a posting list for each term."""
-    find = re.compile(TERM).findall
     # by id, null last, so that of equal scores the first is the one to keep
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0))
-    of: dict[str, int] = {}
+    of = Codes()
     codes, sizes = [], []
     for i in order:
-        words = find(texts[i].translate(LOWERED))
+        words = texts[i].translate(TERM_BYTES).split()
         sizes.append(len(words))
-        codes.append(np.fromiter((of.setdefault(w, len(of)) for w in words), np.int64, len(words)))
+        codes.append(np.fromiter(map(of.__getitem__, words), np.int64, len(words)))
     sizes = np.array(sizes, np.int64)
-    both = np.concatenate(codes or [np.zeros(0, np.int64)]) * len(ids) + np.repeat(np.arange(len(ids)), sizes)
-    pairs, tf = np.unique(both, return_counts=True)
-    term, doc = np.divmod(pairs, max(1, len(ids)))
+    pairs = np.concatenate(codes or [np.zeros(0, np.int64)]) * len(ids) + np.repeat(np.arange(len(ids)), sizes)
+    pairs.sort()
+    begin = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.zeros(0, np.int64)
+    tf = np.diff(np.r_[begin, len(pairs)])
+    term, doc = np.divmod(pairs[begin], max(1, len(ids)))
     begin = np.searchsorted(term, np.arange(len(of) + 1))
-    docs, tfs = doc.astype("<i4").tobytes(), tf.astype("<i4").tobytes()
     yield _batch([name], [None], [[ids[i] for i in order]], [len(ids)], [sizes.astype("<i8").tobytes()], [None], [int((sizes > 0).sum())], [int(sizes.sum())])
-    names = list(of)
-    for a in range(0, len(names), 50_000):
-        own = range(a, min(a + 50_000, len(names)))
-        cut = [(4 * int(begin[t]), 4 * int(begin[t + 1])) for t in own]
-        n = len(cut)
-        yield _batch([name] * n, [names[t] for t in own], [None] * n, [(y - x) // 4 for x, y in cut], [docs[x:y] for x, y in cut], [tfs[x:y] for x, y in cut], [None] * n, [None] * n)
+    if len(of):
+        lists = [pa.Array.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer((4 * begin).astype("<i8").tobytes()), pa.py_buffer(x.astype("<i4").tobytes())]).cast(pa.binary()) for x in (doc, tf)]
+        none = [pa.nulls(len(of), t) for t in (pa.list_(pa.int64()), pa.int64())]
+        rows = pa.RecordBatch.from_arrays([pa.array(np.full(len(of), name), pa.int64()), pa.array(list(of), pa.binary()).cast(pa.string()), none[0], pa.array(np.diff(begin), pa.int32()), *lists, none[1], none[1]], NAMES)
+        yield from (rows.slice(a, 50_000) for a in range(0, len(of), 50_000))
 
 
 SHARDS = "shard long, term string, ids array<long>, n int, places binary, tfs binary, with_terms long, all_terms long"
+NAMES = [x.split()[0] for x in SHARDS.split(", ")]
 
 
 def _batch(*columns: list) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in SHARDS.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], NAMES)
 
 
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,7 +99,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             for a, b in spans(batch.column(1), SHARD_BYTES // 4):
                 part = batch.slice(a, b - a)
                 ids += part.column(0).to_pylist()
-                texts += part.column(1).to_pylist()
+                texts += part.column(1).cast(pa.binary()).to_pylist()
                 size += part.column(1).nbytes
                 if size >= SHARD_BYTES or len(ids) >= SHARD_ROWS:
                     yield from shard_rows(ids, texts, base + made)
@@ -102,43 +110,43 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return written(docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, SHARDS), "wand-shards")
 
 
-class Cursor:
-    """A term's posting list in a shard, and where it stands."""
-
-    __slots__ = ("at", "doc", "docs", "impacts", "most")
-
-    def __init__(self, docs: list[int], impacts: list[int], most: int):
-        self.docs, self.impacts, self.most, self.at, self.doc = docs, impacts, most, 0, docs[0]
+#: A document after all others.
+END = 1 << 40
 
 
 def wand(lists: list[tuple[list[int], list[int], int]], k: int, start: int = 1) -> list[tuple[int, int]]:
-    """(score, -document) of the ``k`` best documents of the lists (documents in order, impacts, largest impact).
+    """(score, -document) of the ``k`` best documents of the lists (documents in order and then END, impacts, largest impact).
 
     ``start``: a score that k documents are known to reach, 1 at least.
     """
-    cursors = [Cursor(*x) for x in lists if x[0]]
-    heap: list[tuple[int, int]] = []
-    need = start  # what a document must reach to be kept; it must exceed the worst of a full heap, whose documents have smaller ids
-    by_doc = lambda c: c.doc
-    cursors.sort(key=by_doc)
-    while cursors:
-        sum_of, pivot = 0, -1
-        for i, c in enumerate(cursors):
-            sum_of += c.most
-            if sum_of >= need:
-                pivot = i
+    n, heap = len(lists), []
+    docs, impacts, most = ([x[i] for x in lists] for i in range(3))
+    at = [0] * n
+    # a cursor is its current document times n, plus its list's number: so they are in order of documents
+    cursors = sorted(d[0] * n + t for t, d in enumerate(docs))
+    need = start  # what a document must reach; of a full heap more than the worst has, whose documents have smaller ids
+    while True:
+        reach = 0
+        for cursor in cursors:
+            reach += most[cursor % n]
+            if reach >= need:
                 break
-        if pivot < 0:
-            break  # all that is left together cannot reach the heap
-        doc = cursors[pivot].doc
-        if cursors[0].doc == doc:
-            score, moved = 0, 0
-            for c in cursors:
-                if c.doc != doc:
+        else:
+            return heap
+        doc = cursor // n  # the pivot
+        if doc == END:
+            return heap
+        first = doc * n
+        if cursors[0] >= first:
+            score = 0
+            for i, cursor in enumerate(cursors):
+                t = cursor - first
+                if t >= n:
                     break
-                score += c.impacts[c.at]
-                c.at += 1
-                moved += 1
+                a = at[t]
+                score += impacts[t][a]
+                at[t] = a = a + 1
+                cursors[i] = docs[t][a] * n + t
             if score >= need:
                 heapq.heappush(heap, (score, -doc))
                 if len(heap) > k:
@@ -146,22 +154,13 @@ def wand(lists: list[tuple[list[int], list[int], int]], k: int, start: int = 1)
                 if len(heap) == k:
                     need = max(need, heap[0][0] + 1)
         else:
-            moved = 0
-            for c in cursors:
-                if c.doc >= doc:
+            for i, cursor in enumerate(cursors):
+                if cursor >= first:
                     break
-                c.at = bisect_left(c.docs, doc, c.at + 1)
-                moved += 1
-        ended = False
-        for c in cursors[:moved]:
-            if c.at < len(c.docs):
-                c.doc = c.docs[c.at]
-            else:
-                c.doc, ended = -1, True
-        if ended:
-            cursors = [c for c in cursors if c.doc >= 0]
-        cursors.sort(key=by_doc)
-    return heap
+                t = cursor % n
+                at[t] = a = bisect_left(docs[t], doc, at[t] + 1)
+                cursors[i] = docs[t][a] * n + t
+        cursors.sort()
 
 
 def search_shard(ids: list, sizes: np.ndarray, whole: int, total: int, lists: dict[str, tuple[np.ndarray, np.ndarray, int]], items: list[tuple[int, list[str]]], k: int) -> Iterator[tuple[int, int | None, int]]:
@@ -172,7 +171,7 @@ def search_shard(ids: list, sizes: np.ndarray, whole: int, total: int, lists: di
         impact = weight * ((1_000_000_000 * tf) // (1000 * tf + 20 * m[places]))
         # k documents reach this by the term alone
         sure = int(np.partition(impact, len(impact) - k)[len(impact) - k]) if len(impact) >= k else 0
-        made[term] = places.tolist(), impact.tolist(), int(impact.max()), sure
+        made[term] = [*places.tolist(), END], impact.tolist(), int(impact.max()), sure
     for item, terms in items:
         own = [made[t] for t in terms if t in made]
         for score, place in wand([x[:3] for x in own], k, max([1, *(x[3] for x in own)])):
