@@ -31,7 +31,10 @@ def no_attempt_signal(count: Column, total: Column, before: Column, total_before
 
 
 def percentile(column: Column, fraction: float) -> Column:
-    """Exact percentile with linear interpolation; NULLs are ignored and an empty group gives NULL."""
+    """Exact percentile with linear interpolation; NULLs are ignored and an empty group gives NULL.
+
+    The aggregate holds a group's distinct values in one task; ``operators.ordered.percentiles`` holds none.
+    """
     return F.percentile(column, F.lit(fraction))
 
 

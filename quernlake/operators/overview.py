@@ -2,25 +2,59 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.functions.rates import no_attempt_signal, percentile, safe_rate
+from quernlake.functions.rates import no_attempt_signal, safe_rate
 from quernlake.operators.facts import MEASURES, session_measures, with_stats
-from quernlake.plans.scope import Range, Scope
+from quernlake.operators.ordered import percentiles, same
+from quernlake.plans.scope import Range, Scope, scope_metadata
 from quernlake.schemas import SESSION_STATUSES
+from quernlake.sources.scratch import written
 
 #: Limitations that metrics carry.
 STATUS_LIMITATION = "Verified and Paid are combined until their business distinction is confirmed."
 TIME_LIMITATION = "Timestamps have no zone; the declared zone is Asia/Tehran."
 
 
+@dataclass(frozen=True)
+class Overview:
+    """All of a dashboard: what metrics, chart, providers, latency and insight show of one scope and range."""
+
+    metrics: DataFrame
+    daily: DataFrame
+    providers: DataFrame
+    latency: DataFrame
+    insight: DataFrame
+    scope: DataFrame
+
+
+def overview(scope: Scope, period: Range, terminal_id: int | None = None, imports: DataFrame | None = None, terminal_key: str | None = None) -> Overview:
+    """The whole overview from two passes: sessions to sums by day, which metrics, chart and insight share, and attempts by provider.
+
+    Sums add up over days, so the written table has a row for each day and period at most.
+    """
+    statuses = [F.count_if(F.col("session_status") == s).alias(s.lower()) for s in SESSION_STATUSES]
+    facts = with_stats(scope.in_both(period, terminal_id), scope.tries).groupBy("period", F.to_date("created_at").alias("day"))
+    # a status may have the name of a measure
+    days = written(facts.agg(F.struct(*session_measures()).alias("sums"), F.struct(*statuses).alias("statuses")), "overview-days")
+    sums = days.groupBy("period").agg(*[F.sum(f"sums.{m}").alias(m) for m in MEASURES])
+    both = _with_both_periods(sums)
+    providers = written(performance(scope, period, terminal_id), "overview-providers")
+    daily = days.filter(F.col("period") == "current").select("day", "statuses.*")
+    return Overview(overview_metrics(both), daily, psp_outcomes(providers), latency(providers), insight(both), scope_metadata(scope.sessions, period, imports, terminal_key))
+
+
+def _with_both_periods(rows: DataFrame) -> DataFrame:
+    periods = rows.sparkSession.range(2).select(F.when(F.col("id") == 0, "current").otherwise("previous").alias("period"))
+    return periods.join(rows, "period", "left").fillna(0, list(MEASURES))
+
+
 def aggregates(scope: Scope, period: Range, terminal_id: int | None = None) -> DataFrame:
     """One row per period, ``current`` and ``previous``; a period without sessions is a row of zeros."""
-    spark = scope.sessions.sparkSession
-    both = with_stats(scope.in_both(period, terminal_id), scope.tries).groupBy("period").agg(*session_measures())
-    periods = spark.range(2).select(F.when(F.col("id") == 0, "current").otherwise("previous").alias("period"))
-    return periods.join(both, "period", "left").fillna(0, list(MEASURES))
+    return _with_both_periods(with_stats(scope.in_both(period, terminal_id), scope.tries).groupBy("period").agg(*session_measures()))
 
 
 def two_periods(rows: DataFrame) -> DataFrame:
@@ -72,9 +106,9 @@ def _attempts(scope: Scope, period: Range, terminal_id: int | None) -> DataFrame
 def performance(scope: Scope, period: Range, terminal_id: int | None = None) -> DataFrame:
     """Outcomes and latency of attempts by (period, provider); a NULL provider is one."""
     outcome = [F.count_if(F.col("try_status") == s).alias(n) for s, n in (("Failed", "failed"), ("Verified", "verified"), ("Paid", "paid"), ("Reversed", "reversed"), ("InBank", "in_bank"))]
-    return _attempts(scope, period, terminal_id).groupBy("period", "psp_code").agg(
-        F.count("*").alias("sample_size"), *outcome, F.count("init_time_ms").alias("with_latency"), percentile(F.col("init_time_ms"), 0.5).alias("p50"), percentile(F.col("init_time_ms"), 0.95).alias("p95")
-    )
+    keys, rows = ["period", "psp_code"], _attempts(scope, period, terminal_id)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("sample_size"), *outcome, F.count("init_time_ms").alias("with_latency"))
+    return same(counts, percentiles(rows, keys, "init_time_ms", {"p50": 0.5, "p95": 0.95}), keys)
 
 
 def psp_outcomes(rows: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quernlake.operators.overview import STATUS_LIMITATION, TIME_LIMITATION
 
@@ -31,3 +32,11 @@ def metric_registry(spark: SparkSession, documented: bool = False) -> DataFrame:
     """(version, metric_id, grain, formula, time_field, proposed, limitations) of each contract."""
     rows = [(VERSION, name, grain, formula, "created_at", proposed, [*limits, TIME_LIMITATION]) for name, grain, formula, proposed, limits in (*CONTRACTS, *(DOCUMENTED if documented else ()))]
     return spark.createDataFrame(rows, "version string, metric_id string, grain string, formula string, time_field string, proposed boolean, limitations array<string>")
+
+
+def registry_in_use(spark: SparkSession, sessions: DataFrame, tries: DataFrame) -> DataFrame:
+    """The documented contracts with what each rests on: rows of its grain, and the latest of its time field."""
+    attempts = tries.filter(F.col("try_seq") >= 1).join(sessions.select("session_id", "created_at"), "session_id")
+    facts = lambda rows, grain, n: rows.agg(n.alias("rows"), F.max("created_at").alias("latest")).select(F.lit(grain).alias("grain"), "rows", "latest")
+    held = facts(sessions, "session", F.count("*")).unionByName(facts(attempts, "attempt", F.count("*"))).unionByName(facts(sessions, "merchant", F.count_distinct("merchant_id")))
+    return metric_registry(spark, documented=True).join(held, "grain", "left")

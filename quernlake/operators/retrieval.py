@@ -5,18 +5,24 @@ All work on batches of questions: a ``query_id`` column partitions every ranking
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quernlake.operators.ordered import running
+
 #: Candidates of each leg, fusion constant and weights, results, context budget in characters.
 CANDIDATES, RRF_K, DENSE_WEIGHT, LEXICAL_WEIGHT, TOP_K, CONTEXT_CHARACTERS = 50, 60, 0.7, 0.3, 12, 30_000
 #: Vectors of a packed block of queries and of candidates, and copies of a query block, so that few of them spread over many tasks.
 QUERY_BLOCK, CANDIDATE_BLOCK, LANES = 512, 4096, 16
+#: Unpacked query blocks that a task keeps.
+SOME_BLOCKS = 64
 #: Function words that queries drop.
 STOP_WORDS = tuple(
     "از اگر اما ان این با بر برای به بود تا چه چرا چطور چگونه در را روی شد شده شما شود کجا کدام که ما من می و یا یک است باشد هست هستند "
@@ -29,11 +35,13 @@ def dense_search(chunks: DataFrame, queries: DataFrame, limit: int = CANDIDATES,
     """(query_id, id, distance, rank) by cosine distance: the best of a query's variants, ``limit`` results.
 
     ``queries`` is (query_id, embedding); several rows of one query are its variants.  Blocks of queries and of candidates
-    meet by a join, and each pair of blocks keeps only its own best.  Chunks without a vector, or with one of another
-    dimension, take no part.  Runs one count of the queries first, which sets the number of query blocks.
+    meet by a join, and each pair of blocks keeps only its own best, of equal distances the smaller ids; what a query has
+    reached in earlier blocks of a task bounds what later ones keep.  Vectors that are null, of another dimension, or hold
+    null or non-finite components take no part.  Runs one count of the queries first, which sets the number of query blocks.
     """
-    asked = queries.select(F.col("query_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter(F.size("v") > 0)
-    usable = chunks.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") > 0)
+    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    asked = queries.select(F.col("query_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter((F.size("v") > 0) & sound)
+    usable = chunks.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter((F.size("v") > 0) & sound)
     kinds = [f.schema["id"].dataType.simpleString() for f in (asked, usable)]
     id_types = [to_arrow_type(f.schema["id"].dataType) for f in (asked, usable)]
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
@@ -41,6 +49,7 @@ def dense_search(chunks: DataFrame, queries: DataFrame, limit: int = CANDIDATES,
     def pack(limit: int, kind: pa.DataType):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                batch = batch.take(pc.sort_indices(batch.column(0)))  # so that of equal distances the first is the smaller id
                 lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
                 for n in np.unique(lengths):
                     rows = np.flatnonzero(lengths == n)
@@ -57,14 +66,25 @@ def dense_search(chunks: DataFrame, queries: DataFrame, limit: int = CANDIDATES,
         return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # query blocks of this task, and the farthest distance each query has room for
         for batch in batches:
             for i in range(batch.num_rows):
-                dims, q_ids, ids = batch.column(0)[i].as_py(), batch.column(1)[i].values, batch.column(3)[i].values
-                found = unpacked(batch.column(4)[i], dims)
-                far = 1.0 - found @ unpacked(batch.column(2)[i], dims).T
-                kept = min(limit, len(found))
+                dims, q_ids, ids, q_cells = batch.column(0)[i].as_py(), batch.column(1)[i].values, batch.column(3)[i].values, batch.column(2)[i]
+                name = hashlib.sha256(q_cells.as_buffer()).digest()
+                if name not in met:
+                    if len(met) == SOME_BLOCKS:
+                        met.clear()
+                    q = unpacked(q_cells, dims)
+                    met[name] = q, np.full(len(q), np.inf)
+                q, room = met[name]
+                far = 1.0 - unpacked(batch.column(4)[i], dims) @ q.T
+                kept = min(limit, len(far))
                 edge = np.partition(far, kept - 1, axis=0)[kept - 1]
-                row, column = np.nonzero(far <= edge)  # ties at the edge stay
+                ties = far == edge
+                stay = (far < edge) | ties & (np.cumsum(ties, axis=0) <= kept - (far < edge).sum(0))
+                if kept == limit:  # variants of a query have bounds of their own
+                    room[:] = np.minimum(room, edge)
+                row, column = np.nonzero(stay & (far <= room + 1e-12))
                 yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(column)).cast(id_types[0]), ids.take(pa.array(row)).cast(id_types[1]), pa.array(far[row, column])], ["query_id", "id", "distance"])
 
     schemas = [f"dims int, ids array<{k}>, cells binary" for k in kinds]
@@ -98,16 +118,30 @@ def lexemes(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+#: Fixed value: what a cover adds to a chunk's score.
+WEIGHT = 0.1
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, size, distinct, place, lexeme): the lexemes of each term of queries (query_id, query), a term once each."""
+    terms = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.transform(or_terms(F.col("query")), lexemes), lambda t: F.size(t) > 0))).alias("term")).distinct()
+    return terms.select("query_id", "term", F.size("term").alias("size"), F.size(F.array_distinct("term")).alias("distinct"), F.posexplode("term").alias("place", "lexeme"))
+
+
 def lexical_search(chunks: DataFrame, queries: DataFrame, limit: int = CANDIDATES, key: str = "id", text: str = "text") -> DataFrame:
-    """(query_id, id, score, rank): chunks that hold any term, by 0.1 per matching position.
+    """(query_id, id, score, rank): chunks that hold any term, by WEIGHT for each cover.
 
-    ``queries`` is (query_id, query).  Positions are joined on the lexeme, so only matching words are shuffled; a word
-    that many chunks share is counted per chunk before that.  A term of several lexemes matches any of them.
+    ``queries`` is (query_id, query).  A term of one lexeme covers each of its positions; one of several lexemes, as
+    ``max_body_size``, covers a run of positions that hold them in order.  Positions are joined on the lexeme, so only
+    matching words are shuffled.  This scans all chunks; ``lexical_index`` searches a written index.
     """
-    terms = queries.select("query_id", F.explode(F.flatten(F.transform(or_terms(F.col("query")), lexemes))).alias("lexeme")).distinct()
-    counts = chunks.select(F.col(key).alias("id"), F.explode(lexemes(F.col(text))).alias("lexeme")).join(terms.select("lexeme").distinct(), "lexeme", "left_semi")
-    counts = counts.groupBy("id", "lexeme").agg(F.count("*").alias("n"))
-    scores = counts.join(terms, "lexeme").groupBy("query_id", "id").agg((F.sum("n") * F.lit(0.1)).alias("score"))
+    terms = query_terms(queries)
+    here = chunks.select(F.col(key).alias("id"), F.posexplode(lexemes(F.col(text))).alias("pos", "lexeme")).join(terms.select("lexeme").distinct(), "lexeme", "left_semi")
+    counts = here.groupBy("id", "lexeme").agg(F.count("*").alias("n"))
+    hits = counts.join(terms.filter("size = 1").select("query_id", "lexeme"), "lexeme").select("query_id", "id", "n")
+    starts = here.join(terms.filter("size > 1"), "lexeme").groupBy("query_id", "term", "size", "id", (F.col("pos") - F.col("place")).alias("start")).agg(F.count("*").alias("found"))
+    hits = hits.unionByName(starts.filter(F.col("found") == F.col("size")).select("query_id", "id", F.lit(1).cast("long").alias("n")))
+    scores = hits.groupBy("query_id", "id").agg((F.sum("n") * F.lit(WEIGHT)).alias("score"))
     return ranked(scores, limit, F.desc("score"), F.col("id"))
 
 
@@ -133,11 +167,13 @@ def interleave(runs: DataFrame, top_k: int = TOP_K) -> DataFrame:
     return first.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= top_k).select("query_id", "id", "run", "position")
 
 
-def within_budget(rows: DataFrame, size: Column, budget: int = CONTEXT_CHARACTERS, order: str = "position") -> DataFrame:
-    """The longest prefix of each query's rows whose sizes fit the budget; the first row always stays."""
-    window = Window.partitionBy("query_id").orderBy(order)
-    running = rows.withColumn("__sum", F.sum(size).over(window.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.row_number().over(window))
-    return running.filter((F.col("__sum") <= budget) | (F.col("__n") == 1)).drop("__sum", "__n")
+def within_budget(rows: DataFrame, size: Column, budget: int = CONTEXT_CHARACTERS, order: str = "position", number: str = "__n") -> DataFrame:
+    """The longest prefix of each query's rows whose sizes fit the budget; the first row always stays.
+
+    ``number``: if given, the name of a column for the row's number in its query.
+    """
+    found = running(rows, "query_id", order, size, "__sum", number, budget)
+    return found.filter((F.col("__sum") <= budget) | (F.col(number) == 1)).drop("__sum", "__n")
 
 
 def first_by(rows: DataFrame, column: str, order: str = "position") -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql.types import DoubleType, StringType
 from quernlake.functions import calendar, rates, redact, text
 from quernlake.operators import answering, answers, benchmarks, catalog, corpus_store, drilldown, markdown, overview, quality, recordings, retrieval, star_schema
 from quernlake.plans.queries import BEFORE, CATALOG_SQL, COHORT_SQL, DRILL_SQL, END, FACTS_SQL, MEASURES_SQL, MERCHANT, OWN_SQL, PERIOD, START, _merchants, _rounded, query, scope
-from quernlake.plans.scope import resolve_range, scope_metadata
+from quernlake.plans.scope import default_range as latest_range
+from quernlake.plans.scope import scope_metadata
 from quernlake.plans.text_queries import _replaced_sql
 from quernlake.sources.testdata import SESSIONS_SQL, sessions, table, tries
 
@@ -100,8 +101,7 @@ def transaction_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SESSIONS_SQL} SELECT CAST(max(created_at) AS DATE) + 1 AS until, CAST(CAST(max(created_at) AS DATE) + 1 - INTERVAL 30 DAY AS DATE) AS since FROM sessions")
 def default_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resolve_range(sessions(spark, sf_dir), None, None)
-    return spark.range(1).select(F.lit(found.start.date()).alias("since"), F.lit(found.end.date()).alias("until"))
+    return latest_range(sessions(spark, sf_dir))
 
 
 @query(f"""WITH {SESSIONS_SQL} SELECT DATE '2000-07-01' AS start, DATE '2001-07-01' AS "end", DATE '1999-07-02' AS previous_start, DATE '2000-07-01' AS previous_end, '[start, end)' AS interval, max(created_at) AS latest_data_at FROM sessions""")
@@ -112,8 +112,7 @@ def scope_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{COHORT_SQL}, seen AS (SELECT count(*) FILTER (WHERE merchant_id <> {MERCHANT}) AS peers, count(*) FILTER (WHERE merchant_id = {MERCHANT}) AS own FROM cohort)
 SELECT own = 0 OR peers < 10 AS suppressed, CASE WHEN own = 0 OR peers < 10 THEN 'insufficient_cohort' ELSE '' END AS reason FROM seen""")
 def benchmark_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = benchmarks.benchmarks(scope(spark, sf_dir), PERIOD)
-    return spark.range(1).select(F.lit(found.suppressed).alias("suppressed"), F.lit(found.reason or "").alias("reason"))
+    return benchmarks.suppression(benchmarks.own_summary(scope(spark, sf_dir), PERIOD)).select("suppressed", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 @query("""WITH y AS (

@@ -341,6 +341,9 @@ REGISTRY_ROWS = (
 REGISTRY_SQL = " UNION ALL ".join(f"SELECT '1.0.0' AS version, '{m}' AS metric_id, '{g}' AS grain, '{f}' AS formula, 'created_at' AS time_field, {p} AS proposed, [{limits}{NO_ZONE}] AS limitations" for m, g, f, p, limits in REGISTRY_ROWS)
 
 
-@query(REGISTRY_SQL)
+@query(f"""WITH {SESSIONS_SQL}, {TRIES_SQL}, contracts AS ({REGISTRY_SQL}), held AS (
+  SELECT 'session' AS grain, count(*) AS rows, max(created_at) AS latest FROM sessions UNION ALL SELECT 'merchant', count(DISTINCT merchant_id), max(created_at) FROM sessions
+  UNION ALL SELECT 'attempt', count(*), max(s.created_at) FROM tries t JOIN sessions s USING (session_id) WHERE t.try_seq >= 1
+) SELECT * FROM contracts LEFT JOIN held USING (grain)""")
 def metric_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.metric_registry(spark, documented=True)
+    return registry.registry_in_use(spark, sessions(spark, sf_dir), tries(spark, sf_dir))

@@ -47,13 +47,18 @@ class Range:
         return F.when(F.col(column) >= self._at(self.start), "current").otherwise("previous")
 
 
+def default_range(sessions: DataFrame) -> DataFrame:
+    """One row (since, until): the dates of the range when neither end is given; nulls without sessions."""
+    until = F.date_add(F.max(F.to_date("created_at")), 1)
+    return sessions.agg(F.date_sub(until, DEFAULT_DAYS).alias("since"), until.alias("until"))
+
+
 def resolve_range(sessions: DataFrame, start: date | None, end: date | None) -> Range:
     """The range of two dates (the end exclusive); open ends follow the latest session, by default 30 days."""
     if end is None:
-        latest = sessions.agg(F.max("created_at")).first()[0]
-        if latest is None:
+        end = default_range(sessions).first()["until"]
+        if end is None:
             raise ScopeError("there are no sessions")
-        end = latest.date() + timedelta(days=1)
     if start is None:
         start = end - timedelta(days=DEFAULT_DAYS)
     return Range(datetime.combine(start, time.min), datetime.combine(end, time.min))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernlake.functions import redact, text
-from quernlake.operators import answers, corpus_store, markdown, retrieval
+from quernlake.operators import answers, corpus_store, lexical_index, markdown, retrieval, vector_index
 from quernlake.plans.queries import query
+from quernlake.sources.scratch import shared_path
 from quernlake.sources.testdata import table
 from quernlake.streaming import incremental
 
@@ -43,40 +44,66 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", retrieval.or_query(F.col("text")).alias("query"))
 
 
-ASKED = ((0, "how do I find the thanedble"), (1, "onthe attion thorat"), (2, "laux des chaux enier"))
-ASKED_SQL = ", ".join(f"({i}, {_sql_list(words)})" for i, words in ((0, ("find", "thanedble")), (1, ("onthe", "attion", "thorat")), (2, ("laux", "des", "chaux", "enier"))))
+LEXEMES_SQL = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+RANKED_SQL = rf"""WITH asked AS (
+  SELECT conv_id * 1000 + turn AS query_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '' AND lower(trim(w, {EDGE_SQL})) <> '' AND NOT list_contains({_sql_list(retrieval.STOP_WORDS)}, lower(trim(w, {EDGE_SQL})))) AS words
+  FROM conversations WHERE role = 'user'
+), terms AS (SELECT DISTINCT query_id, {LEXEMES_SQL.format("w")} AS term FROM (SELECT query_id, unnest(words) AS w FROM asked)
+), places AS (SELECT query_id, term, len(term) AS size, unnest(term) AS lexeme, generate_subscripts(term, 1) AS place FROM terms WHERE len(term) > 0
+), wanted AS (SELECT DISTINCT lexeme FROM places
+), texts AS (SELECT doc_id, {LEXEMES_SQL.format("text")} AS words FROM documents
+), positions AS (SELECT doc_id, unnest(words) AS lexeme, generate_subscripts(words, 1) AS pos FROM texts
+), held AS (SELECT * FROM positions SEMI JOIN wanted USING (lexeme)
+), single AS (SELECT query_id, doc_id, sum(n) AS n FROM (SELECT doc_id, lexeme, count(*) AS n FROM held GROUP BY 1, 2) JOIN places USING (lexeme) WHERE size = 1 GROUP BY 1, 2
+), several AS (SELECT query_id, doc_id, count(*) AS n FROM (SELECT query_id, term, doc_id, pos - place FROM held JOIN places USING (lexeme) WHERE size > 1 GROUP BY query_id, term, size, doc_id, pos - place HAVING count(*) = size) GROUP BY 1, 2
+), scored AS (SELECT query_id, doc_id AS id, sum(n) AS n FROM (SELECT * FROM single UNION ALL SELECT * FROM several) GROUP BY 1, 2)
+SELECT query_id, id, round(n * CAST(0.1 AS DOUBLE), 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC, id) AS INTEGER) AS rank FROM scored QUALIFY rank <= 50"""
 
 
-@query(rf"""WITH asked(query_id, words) AS (VALUES {ASKED_SQL}), hits AS (
-  SELECT query_id, doc_id AS id, len(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: list_contains(words, w))) AS n FROM documents, asked
-)
-SELECT query_id, id, round(n * CAST(0.1 AS DOUBLE), 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC, id) AS INTEGER) AS rank FROM hits WHERE n > 0 QUALIFY rank <= 50""")
+def _user_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+
+
+@query(RANKED_SQL)
 def lexical_or_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame(ASKED, "query_id int, query string")
-    found = retrieval.lexical_search(table(spark, sf_dir, "documents"), asked, key="doc_id")
+    found = retrieval.lexical_search(table(spark, sf_dir, "documents"), _user_questions(spark, sf_dir), key="doc_id")
     return found.withColumn("score", F.round("score", 6))
 
 
-@query("""WITH d AS (SELECT q.vec_id AS query_id, c.vec_id AS id, 1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS distance FROM embeddings q, embeddings c WHERE q.vec_id < 4)
+@query(RANKED_SQL)
+def lexical_index_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "lexical-index")
+    lexical_index.build(table(spark, sf_dir, "documents"), path, "doc_id")
+    return lexical_index.search(spark, path, _user_questions(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH d AS (SELECT q.vec_id AS query_id, c.vec_id AS id, 1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS distance FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0)
 SELECT query_id, id, round(distance, 5) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM d QUALIFY rank <= 10""")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.filter("vec_id < 4").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     found = retrieval.dense_search(vectors, asked, 10, "vec_id")
     # distances of a vector to itself differ from 0 by rounding alone
     return found.withColumn("distance", F.round(F.col("distance"), 5) + F.lit(0.0))
 
 
-@query("""WITH d AS (SELECT q.vec_id % 2 AS query_id, c.vec_id AS id, min(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))) AS distance FROM embeddings q, embeddings c WHERE q.vec_id BETWEEN 10 AND 13 GROUP BY 1, 2)
+@query("""WITH d AS (SELECT q.vec_id // 200 AS query_id, c.vec_id AS id, min(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))) AS distance FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 GROUP BY 1, 2)
 SELECT query_id, id, round(distance, 5) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS INTEGER) AS rank FROM d QUALIFY rank <= 20""")
 def dense_multi_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.filter("vec_id BETWEEN 10 AND 13").select((F.col("vec_id") % 2).alias("query_id"), "embedding")
+    asked = vectors.filter("vec_id % 100 = 0").select(F.expr("vec_id div 200").alias("query_id"), "embedding")
     found = retrieval.dense_search(vectors, asked, 40, "vec_id").withColumn("distance", F.round("distance", 9))
     again = retrieval.ranked(found.drop("rank"), 20, F.col("distance"), F.col("id"))
     return again.withColumn("distance", F.round("distance", 5) + F.lit(0.0))
 
 
+@query()
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, path = table(spark, sf_dir, "embeddings"), shared_path(spark, "vector-index")
+    vector_index.build(vectors, path, "vec_id")
+    return vector_index.search(spark, path, vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+
+
 def _leg(rows: DataFrame, *order) -> DataFrame:  # noqa: ANN002
     return retrieval.ranked(rows, 50, *order).select("query_id", "id", "rank")
 
@@ -204,13 +231,13 @@ def followup_previous_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH old AS (SELECT doc_id AS id, text, doc_id * 10 AS embedding FROM documents WHERE doc_id % 3 <> 0), new AS (
-  SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 2 = 0
+  SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0
 )
 SELECT coalesce(n.id, o.id) AS id, md5(CASE WHEN n.id IS NULL THEN o.text ELSE n.text END) AS digest, coalesce(CASE WHEN n.id IS NULL OR o.text = n.text THEN o.embedding END, -1) AS embedding FROM old o FULL JOIN new n ON o.id = n.id""")
 def upsert_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     old = docs.filter("id % 3 <> 0").withColumn("embedding", F.col("id") * 10)
-    new = docs.filter("id % 2 = 0").withColumn("text", F.when(F.col("id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    new = docs.filter("id % 2 = 0 OR id % 3 = 0").withColumn("text", F.when(F.col("id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     merged = corpus_store.upsert(old, new, watched=["text"])
     return merged.select("id", F.md5("text").alias("digest"), F.coalesce("embedding", F.lit(-1)).alias("embedding"))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,19 +35,44 @@ def paired(mirror: DataFrame, components: DataFrame, skipped: tuple[str, ...] =
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Corpus records from JSON lines; blank lines are skipped, unknown or missing fields fail with their file."""
-    lines = spark.read.text(path).select(F.col("value"), F.input_file_name().alias("file")).filter(F.trim("value") != "")
+    """Corpus records from JSON lines; blank lines are skipped, unknown or missing fields fail with their file and line.
+
+    Lines are numbered in their file by counts of the read partitions and a place within each, so no task reads a whole file.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"))
+    placed = lines.withColumn("id", F.monotonically_increasing_id())
+    # where each block of a file began in the numbering, and how many lines it has; blocks of a file stand in order
+    blocks = placed.groupBy("file", "begin").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("file").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "begin", "first", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    lines = placed.join(blocks, ["file", "begin"]).withColumn("line", F.col("ahead") + F.col("id") - F.col("first") + 1).filter(F.trim("value") != "")
     names = F.array(*[F.lit(f.name) for f in CHUNKS])
     keys = F.json_object_keys("value")
     strict = F.coalesce((F.size(F.array_except(keys, names)) == 0) & (F.size(F.array_except(names, keys)) == 0), F.lit(False))
-    checked = F.when(strict, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a corpus record in "), F.col("file"))))
+    checked = F.when(strict, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a corpus record in "), F.col("file"), F.lit(":"), F.col("line").cast("string"))))
     nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in CHUNKS])
     return lines.select(F.from_json(checked, nullable, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
+def swapped_in(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Writes beside ``path`` and then renames, so that readers find what was there or all of what is new."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside, old = (f"{path.rstrip('/')}-{word}-{uuid.uuid4().hex}" for word in ("new", "old"))
+    write(aside)
+    there = fs.exists(hadoop(path))
+    if there:
+        fs.rename(hadoop(path), hadoop(old))
+    if not fs.rename(hadoop(aside), hadoop(path)):
+        raise SourceError(f"nothing could be renamed to {path}")
+    if there:
+        fs.delete(hadoop(old), True)
+
+
 def write_records(records: DataFrame, path: str, order: tuple[str, ...] = ("path", "id")) -> None:
-    """JSON lines in order, one set of files that replaces what was there when the job commits."""
-    records.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """JSON lines in order, one set of files that replaces what was there once all are written."""
+    rows = records.repartitionByRange(*order).sortWithinPartitions(*order)
+    swapped_in(records.sparkSession, path, lambda aside: rows.write.option("ignoreNullFields", False).json(aside))
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:

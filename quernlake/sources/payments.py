@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernlake.operators import quality
-from quernlake.schemas import DATASET_IMPORTS, PAYMENT_CSV, PAYMENT_CSV_COLUMNS
+from quernlake.schemas import DATASET_IMPORTS, PAYMENT_CSV, PAYMENT_CSV_COLUMNS, SESSION_STATUSES, TRY_STATUSES
 
 TRANSFORMATION_VERSION = "1.0.0"
-#: Lines whose digests are hashed together.
-BLOCK = 1 << 16
 TABLES = ("merchants", "merchant_categories", "terminals", "payment_sessions", "payment_tries")
 
 
@@ -30,21 +30,32 @@ class SourceFile:
     size: int
 
 
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
+    """The path's file system, and its files in order of names."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, sorted((f for f in fs.listStatus(hadoop) if f.isFile()), key=lambda f: f.getPath().getName())
+
+
 def inspect_source(spark: SparkSession, path: str) -> SourceFile:
-    """Checks the header (a byte-order mark is tolerated) and takes size and digest, read by Spark from any store.
+    """Checks the header (a byte-order mark is tolerated) and takes the file's size and SHA-256.
 
-    The digest is that of the lines: SHA-256 of the digests of BLOCK lines each, in order, so that no task needs a whole
-    file and files of any size will do.  How lines end does not count.
+    A SHA-256 follows the bytes in order, so that one stream reads them, a buffer at a time, from whatever store Hadoop
+    opens.  A folder has the digest of its files' digests in order of their names.
     """
     first = spark.read.text(path).limit(1).collect()
     header = first[0][0].lstrip("\ufeff").rstrip("\r").split(",") if first else []
     if tuple(h.strip('"') for h in header) != PAYMENT_CSV_COLUMNS:
         raise SourceError("the header differs from the payment CSV contract")
-    lines = numbered(spark.read.text(path), "n").select("n", F.sha2("value", 256).alias("sha"), F.octet_length("value").cast("long").alias("size"))
-    in_order = lambda n: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(n, "sha"))), lambda x: x["sha"]), ""), 256)
-    blocks = lines.groupBy(F.floor(F.col("n") / BLOCK).alias("block")).agg(in_order("n").alias("sha"), F.sum(F.col("size") + 1).alias("size"))
-    found = blocks.agg(in_order("block").alias("sha"), F.sum("size").alias("size")).first()
-    return SourceFile(path, found["sha"], found["size"])
+    fs, files = _files(spark, path)
+    digests = []
+    for file in files:
+        stream = fs.open(file.getPath())
+        try:
+            digests.append(spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream))
+        finally:
+            stream.close()
+    return SourceFile(path, digests[0] if len(digests) == 1 else hashlib.sha256("".join(digests).encode()).hexdigest(), sum(f.getLen() for f in files))
 
 
 def read_staging(spark: SparkSession, path: str) -> DataFrame:
@@ -78,15 +89,40 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
 
 
-def _pointer(root: str) -> str:
-    return f"{root}/CURRENT"
+def _commits(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, version) of the commits in order; a number whose file is still empty is being written and does not count."""
+    folder = f"{root}/commits"
+    if not _exists(spark, folder):
+        return []
+    fs, files = _files(spark, folder)
+    found = [(int(f.getPath().getName()), f.getPath()) for f in files if f.getLen() and f.getPath().getName().isdigit()]
+    return [(n, spark.read.text(p.toString()).first()[0]) for n, p in sorted(found, key=lambda f: f[0])[-1:]]
+
+
+def _commit(spark: SparkSession, root: str, number: int, version: str) -> None:
+    """Makes ``version`` current under the next number, unless another load took that number."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/commits/{number:010d}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    taken = SourceError("another load was committed meanwhile; nothing of this one remains")
+    if fs.exists(path):
+        raise taken
+    try:
+        out = fs.create(path, False)
+        out.write(bytearray(version.encode()))
+        out.close()
+    except Py4JJavaError as error:
+        if fs.exists(path):
+            raise taken from error
+        raise
+    # a store that lets two writers create one file keeps one of them
+    if spark.read.text(path.toString()).first()[0] != version:
+        raise taken
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
     """The folder of the tables that hold, or None before the first load."""
-    if not _exists(spark, _pointer(root)):
-        return None
-    return f"{root}/{spark.read.text(_pointer(root)).first()[0]}"
+    commits = _commits(spark, root)
+    return f"{root}/{commits[-1][1]}" if commits else None
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -101,32 +137,47 @@ def read_imports(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([], DATASET_IMPORTS) if version is None else spark.read.schema(DATASET_IMPORTS).parquet(f"{version}/dataset_imports")
 
 
-def replace_tables(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], partition_by: Mapping[str, str] | None = None, check: Callable[[Mapping[str, DataFrame]], None] | None = None) -> None:
+def constraints() -> dict[str, dict[str, Column]]:
+    """What the rows of a typed table must hold, whatever wrote them."""
+    positive = lambda *names: {f"{c} is not negative": F.col(c) >= 0 for c in names}
+    member = lambda c, values: {f"{c} is known": F.col(c).isin(*values)}
+    return {
+        "dataset_imports": positive("source_size_bytes", "source_row_count", "session_count", "try_count"),
+        "payment_sessions": positive("amount", "adjusted_fee") | member("session_status", SESSION_STATUSES) | member("verify_type", quality.VERIFY_TYPES),
+        "payment_tries": positive("try_seq", "init_time_ms", "verify_time_ms") | member("try_status", TRY_STATUSES),
+    }
+
+
+def replace_tables(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], partition_by: Mapping[str, str] | None = None, check: Callable[[Mapping[str, DataFrame]], None] | None = None, after: int | None = None) -> None:
     """Writes all tables under a new version folder, checks them as read back, and makes that version the current one.
 
-    Readers go by one small file that names the version.  It is replaced by a rename, so a crash at any time leaves the
-    tables of one load; folders of older versions go afterwards.
+    Counts of rows that break a constraint ride on the write, so typed tables are not scanned again for them; a null
+    breaks none.  Readers go by numbered commits.  A load takes the number after ``after``, the one it began from, which a
+    second load at the same time finds taken: it fails and removes its own folder alone.  Folders of replaced versions go after
+    the commit, so a crash at any time leaves the tables of one load.
     """
+    before = _commits(spark, root)
     version = f"version-{uuid.uuid4().hex}"
-    for name, df in tables.items():
-        writer = df.write
-        if partition_by and name in partition_by:
-            writer = writer.partitionBy(partition_by[name])
-        writer.parquet(f"{root}/{version}/{name}")
-    if check is not None:
-        check({name: spark.read.parquet(f"{root}/{version}/{name}") for name in tables})
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    conf = spark._jsc.hadoopConfiguration()
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(f"{root}/{version}/_pointer")
-    fs = hadoop.Path(root).getFileSystem(conf)
-    part = next(f.getPath() for f in fs.listStatus(hadoop.Path(f"{root}/{version}/_pointer")) if f.getPath().getName().startswith("part-"))
-    options = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    hadoop.FileContext.getFileContext(hadoop.Path(root).toUri(), conf).rename(part, hadoop.Path(_pointer(root)), options)
-    for status in fs.listStatus(hadoop.Path(root)):
-        name = status.getPath().getName()
-        if name.startswith("version-") and name != version:
-            fs.delete(status.getPath(), True)
+    delete = lambda name: (p := spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")).getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    try:
+        for name, df in tables.items():
+            rules = constraints().get(name, {})
+            broken = Observation(f"{name}-{version}")
+            counted = df.observe(broken, *[F.count_if(~holds).alias(rule) for rule, holds in rules.items()]) if rules else df
+            writer = counted.write
+            if partition_by and name in partition_by:
+                writer = writer.partitionBy(partition_by[name])
+            writer.parquet(f"{root}/{version}/{name}")
+            if rules and (found := [rule for rule, n in broken.get.items() if n]):
+                raise SourceError(f"{name}: not all rows keep the constraint that {found[0]}")
+        if check is not None:
+            check({name: spark.read.parquet(f"{root}/{version}/{name}") for name in tables})
+        _commit(spark, root, (after if after is not None else before[-1][0] if before else 0) + 1, version)
+    except BaseException:
+        delete(version)
+        raise
+    for _, replaced in before:
+        delete(replaced)
 
 
 #: Unique keys of the tables, and the keys by which rows refer to other tables.
@@ -153,6 +204,7 @@ def load_payments(spark: SparkSession, path: str, root: str, normalize: Callable
     A different dataset is refused without ``replace``.  ``normalize`` validates the staging rows and returns the tables;
     the audit row, at the time ``now``, becomes current together with them.
     """
+    before = _commits(spark, root)
     source = inspect_source(spark, path)
     state = dataset_state(spark, root, source)
     if state == "same" and not replace:
@@ -166,5 +218,5 @@ def load_payments(spark: SparkSession, path: str, root: str, normalize: Callable
         F.lit(path.rsplit("/", 1)[-1]).alias("source_filename"), F.lit(source.sha256).alias("sha256"), F.lit(source.size).cast("long").alias("source_size_bytes"), "source_row_count", "session_count",
         F.col("source_row_count").alias("try_count"), F.lit(TRANSFORMATION_VERSION).alias("transformation_version"), stamp.alias("imported_at"),
     )
-    replace_tables(spark, root, {**normalize(staging), "dataset_imports": audit}, check=check_keys)
+    replace_tables(spark, root, {**normalize(staging), "dataset_imports": audit}, check=check_keys, after=before[-1][0] if before else 0)
     return "loaded"

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Mapping
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -61,6 +61,48 @@ def attempts_per_session(tries: DataFrame, idle: str | None = None) -> DataFrame
     return tries.groupBy("session_id").applyInPandasWithState(fold, "session_id long, attempt_count long, max_try_seq int", "n long, m int", "update", GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout)
 
 
+class AttemptStates(StatefulProcessor):
+    """A session's attempts as map state by sequence, its sums as value state, and an event-time timer that drops both."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "try_seq int", "at long")
+        self.sums = handle.getValueState("sums", "attempts long, largest int, latest long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        attempts, largest, latest = self.sums.get() if self.sums.exists() else (0, -1, 0)
+        for frame in rows:
+            for seq, at in zip(frame["try_seq"].astype(int).tolist(), (frame["at"].astype("int64") // 1000).tolist(), strict=True):
+                latest = max(latest, at)
+                if not self.seen.containsKey((seq,)):  # a row that is delivered again counts once
+                    self.seen.updateValue((seq,), (at,))
+                    attempts, largest = attempts + (seq >= 1), max(largest, seq)
+        self.sums.update((attempts, largest, latest))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(latest + self.keep_ms)
+        yield pd.DataFrame({"session_id": [key[0]], "attempt_count": [attempts], "max_try_seq": [largest]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.seen.clear()
+        self.sums.clear()
+        return iter([])
+
+
+def attempt_states(tries: DataFrame, time: str = "try_created_at", keep: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """(session_id, attempt_count, max_try_seq) on every change, for (session_id, try_seq, time).
+
+    Each attempt of a session counts once, however often it comes.  The state of a session is dropped once event time has
+    passed its last attempt by ``keep``; rows later than ``late`` are left out by the watermark.
+    """
+    timed = tries.select(F.col("session_id").cast("long"), F.col("try_seq").cast("int"), F.col(time).cast("timestamp").alias("t")).withWatermark("t", late)
+    timed = timed.withColumn("at", F.unix_micros("t"))
+    return timed.groupBy("session_id").transformWithStateInPandas(AttemptStates(int(pd.Timedelta(keep).total_seconds() * 1000)), "session_id long, attempt_count long, max_try_seq int", "update", "eventTime")
+
+
 def ingest(spark: SparkSession, source: str, schema: StructType, checkpoint: str, load: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """New CSV files through a batch loader; the checkpoint remembers what was read, and a batch number makes retries idempotent."""
     rows = spark.readStream.schema(schema).option("header", True).option("nullValue", "").csv(source)

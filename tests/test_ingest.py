@@ -101,7 +101,64 @@ def test_a_failed_load_leaves_the_last_one(spark, tmp_path):
     assert [p.name for p in (tmp_path / "warehouse").iterdir() if p.name.startswith("version-")].__len__() == 1
 
 
-def test_digest_follows_lines_alone(spark, tmp_path):
+def test_constraints_ride_on_the_write(spark, tmp_path):
+    line, root = ",".join(GOOD.values()), str(tmp_path / "warehouse")
+    normalize = lambda staging: star_schema.star_schema(quality.validate(staging))
+    payments.load_payments(spark, csv(tmp_path / "one.csv", [line]), root, normalize)
+
+    def negative(staging):
+        tables = normalize(staging)
+        return {**tables, "payment_sessions": tables["payment_sessions"].withColumn("amount", F.lit(-1).cast("long"))}
+
+    two = csv(tmp_path / "two.csv", [line, line.replace("s1,1", "s1,2", 1)])
+    with pytest.raises(payments.SourceError, match="payment_sessions: .*amount is not negative"):
+        payments.load_payments(spark, two, root, negative, replace=True)
+    odd = lambda s: {**normalize(s), "payment_tries": normalize(s)["payment_tries"].withColumn("try_status", F.lit("Odd"))}
+    with pytest.raises(payments.SourceError, match="payment_tries: .*try_status is known"):
+        payments.load_payments(spark, two, root, odd, replace=True)
+    assert payments.read_table(spark, root, "payment_tries").count() == 1
+
+
+def test_of_two_loads_at_once_one_wins(spark, tmp_path):
+    from threading import Barrier, Thread
+
+    line, root = ",".join(GOOD.values()), str(tmp_path / "warehouse")
+    files = [csv(tmp_path / f"{i}.csv", [line.replace("s1", f"s{i}{k}") for k in range(i + 1)]) for i in range(3)]
+    plain = lambda staging: star_schema.star_schema(staging)
+    payments.load_payments(spark, files[0], root, plain)
+    gate, told = Barrier(2, timeout=120), []
+
+    def load(path):
+        def normalize(staging):  # both are past the look at what is loaded
+            gate.wait()
+            return plain(staging)
+
+        try:
+            told.append(payments.load_payments(spark, path, root, normalize, replace=True))
+        except payments.SourceError as error:
+            told.append(str(error))
+
+    threads = [Thread(target=load, args=(f,)) for f in files[1:]]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(told) == ["another load was committed meanwhile; nothing of this one remains", "loaded"]
+    rows = {payments.read_table(spark, root, name).count() for name in ("payment_sessions", "payment_tries")}
+    assert rows in ({2}, {3}) and payments.read_imports(spark, root).first().source_row_count in rows
+    assert len([p for p in (tmp_path / "warehouse").iterdir() if p.name.startswith("version-")]) == 1
+
+
+def test_digest_is_that_of_the_file(spark, tmp_path):
+    import hashlib
+
+    path = tmp_path / "a.csv"
+    csv(path, [",".join(GOOD.values())])
+    found = payments.inspect_source(spark, str(path))
+    assert found.sha256 == hashlib.sha256(path.read_bytes()).hexdigest() and found.size == path.stat().st_size
+
+
+def test_digest_follows_lines(spark, tmp_path):
     line = ",".join(GOOD.values())
     a, b = csv(tmp_path / "a.csv", [line, line.replace("s1", "s2")]), csv(tmp_path / "b.csv", [line.replace("s1", "s2"), line])
     found = [payments.inspect_source(spark, p) for p in (a, b, a)]

@@ -135,3 +135,42 @@ def test_citation_numbers_rank_urls_not_rows(spark):
     got = {(r.query_id, r.position): r.number for r in numbered.collect()}
     assert got == {("q", 0): 1, ("q", 1): 2, ("q", 2): 3, ("q", 3): 1, ("q", 4): 2, ("q", 5): 4, ("q", 6): 3, (None, 3): 1}
     assert "Aggregate" in numbered._jdf.queryExecution().optimizedPlan().toString()  # before any window
+
+
+def test_embedding_goes_on_after_a_kill(spark, tmp_path):
+    rows = spark.createDataFrame([(f"c{i}", ["h"], f"text {i}", None) for i in range(90)] + [("own", ["h"], "x", [9.0, 9.0])], "id string, heading_path array<string>, text string, embedding array<float>")
+    root, log = str(tmp_path / "vectors"), str(tmp_path / "asked")
+    (tmp_path / "asked").mkdir()
+
+    def asking(fail):
+        def embedder(texts):
+            import os
+            import uuid
+
+            asked = sum(open(os.path.join(log, f)).read().count("\n") for f in os.listdir(log))
+            if fail and asked >= 40:
+                raise RuntimeError("killed")
+            with open(os.path.join(log, uuid.uuid4().hex), "w") as f:
+                f.write("".join(t.replace("\n", " ") + "\n" for t in texts))
+            return [[1.0, float(len(t))] for t in texts]
+
+        return embedder
+
+    with pytest.raises(Exception, match="killed"):
+        corpus_store.embed_in_batches(rows.coalesce(1), root, asking(True), 2, batch_rows=20)
+    saved = {r.id for r in corpus_store.committed_vectors(spark, root, rows).collect()}
+    assert 0 < len(saved) < 90
+    before = set((tmp_path / "asked").iterdir())
+    corpus_store.embed_in_batches(rows.coalesce(1), root, asking(False), 2, batch_rows=20)
+    again = {line.removeprefix("h text ").strip() for p in set((tmp_path / "asked").iterdir()) - before for line in p.read_text().splitlines()}
+    assert not {f"c{n}" for n in again} & saved
+    found = {r.id: r.embedding for r in corpus_store.with_vectors(rows, root).collect()}
+    assert len(found) == 91 and found["own"] == [9.0, 9.0] and all(v is not None for v in found.values())
+    assert corpus_store.embed_in_batches(rows, root, asking(True), 2) == 0
+
+
+def test_equal_vectors_leave_a_block_once_each(spark):
+    chunks = spark.createDataFrame([(f"c{i:05d}", [1.0, 2.0]) for i in range(3000)] + [("n", [1.0, None]), ("o", [float("nan"), 1.0])], "id string, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(q, [2.0, 4.0 + q]) for q in range(5)], "query_id int, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.id) for r in retrieval.dense_search(chunks, asked, 4).collect())
+    assert got == [(q, k + 1, f"c{k:05d}") for q in range(5) for k in range(4)]
