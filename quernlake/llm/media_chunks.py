@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from quernlake.llm.common import slices, text_digest, written
 
 UNIT, FILL = 576, b"\xff"
+#: Last bytes of a payload whose checksum is told.
+TAIL = 32
 #: Chunk sizes in bytes; a cut falls where the top bits of the hash are 0, every 2**CUT_BITS bytes on average.
 SMALLEST, LARGEST, CUT_BITS = 1024, 16384, 11
 #: Bits of the Bloom filter, and places of it that a text sets.
@@ -207,7 +209,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             medium, data = b"".join(frames), b"".join(chunks)
             if len(data) % UNIT or data[row["n_bytes"] :] != FILL * (len(data) - row["n_bytes"]):
                 raise ValueError("a payload is damaged")
-            rows.append((row["tid"], row["n_bytes"], len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(medium), hashlib.sha256(medium).hexdigest(), feature(np.frombuffer(data, np.uint8)), len(chunks)))
+            rows.append((row["tid"], row["n_bytes"], len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-TAIL:]), len(medium), hashlib.sha256(medium).hexdigest(), feature(np.frombuffer(data, np.uint8)), len(chunks)))
         columns = list(zip(*rows, strict=True)) or [()] * 9
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS, strict=True)], NAMES)
 

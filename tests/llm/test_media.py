@@ -20,7 +20,7 @@ def facts(text: str | None) -> tuple:
     raw = (text or "").encode()
     size = max(1, -(-len(raw) // 576)) * 576
     data = raw + b"\xff" * (size - len(raw))
-    return len(raw), size, hashlib.sha256(data).hexdigest(), zlib.crc32(data[-576:])
+    return len(raw), size, hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:])
 
 
 def check_rows(got, texts: dict) -> None:
@@ -106,3 +106,10 @@ def test_damage_is_found(documents):
 def test_feature():
     samples = np.array([0, 10, 20, 30], np.uint8)
     assert media_chunks.feature(samples) == "mean=15.0000;std=11.1803;entropy=2.0000;step=10.0000"
+
+
+def test_tail_is_the_last_32_bytes(documents):
+    """Texts of whole units that differ before their last 32 bytes have one checksum of the tail, and others where these differ."""
+    whole = ["a" * 544 + "z" * 32, "b" * 544 + "z" * 32, "a" * 544 + "y" * 32]
+    got = {r.doc_id: r.tail_crc32 for r in media_chunks.media(documents([(i, t, "a") for i, t in enumerate(whole)])).collect()}
+    assert got == {0: zlib.crc32(b"z" * 32), 1: zlib.crc32(b"z" * 32), 2: zlib.crc32(b"y" * 32)}
