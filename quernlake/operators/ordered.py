@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernlake.sources.scratch import written
+
 #: Ranges of a group.
 RANGES = 4096
 
@@ -67,7 +69,9 @@ def running(rows: DataFrame, by: str, order: str, size: Column, total: str, numb
     """Adds the sum of ``size`` up to a row in its group, and the row's number from 1, by the numeric column ``order``.
 
     With ``most`` only ranges that begin at sums up to it are looked into, and other rows are left out; sizes are not negative.
+    The rows are written first, as they are read for their bounds, their sums and themselves.
     """
+    rows = written(rows, "running")
     low, high = F.min(order).alias("__low"), F.max(order).alias("__high")
     ranged = same(rows.withColumn("__size", F.coalesce(size.cast("long"), F.lit(0).cast("long"))), rows.groupBy(by).agg(low, high), [by])
     ranged = ranged.withColumn("__range", _range(F.col(order), F.col("__low"), F.col("__high")))

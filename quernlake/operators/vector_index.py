@@ -110,7 +110,7 @@ def _fitted(rows: DataFrame, n: int, dims: int, lists: int) -> Model:
         return pa.table({"g": pa.array([0], pa.int32()), "c": pa.array([centres(matrix(group.column("v"), dims), lists, SEED).tobytes()])})
 
     schema = "g int, c binary"
-    first = np.frombuffer(sample.groupBy(F.lit(0)).applyInArrow(coarse, schema).first().c).reshape(-1, dims)
+    first = np.frombuffer(sample.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(coarse, schema).first().c).reshape(-1, dims)
 
     def fine(key: tuple, group: pa.Table) -> pa.Table:
         g, x = key[0].as_py(), matrix(group.column("v"), dims)
@@ -195,7 +195,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, limit: int = 10,
                 yield pa.RecordBatch.from_arrays([rows.column("query_id"), rows.column("v"), pa.array(lists.ravel(), pa.int32()), pa.array(base.ravel())], ["query_id", "v", "list", "base"])
 
     met = written(asked.mapInArrow(probe, f"query_id {kind}, v array<double>, list int, base double"), "vectors-probes")
-    codes = spark.read.parquet(f"{path}/codes").select("list", "row", "code")
+    codes = spark.read.schema("row long, code binary, list int").parquet(f"{path}/codes").select("list", "row", "code")
     parts = lambda df, most, name: df.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
     facts = written(parts(codes, LIST_ROWS, "parts").join(parts(met, LIST_QUERIES, "q_parts"), "list"), "vectors-lists")
     deal = lambda own, n: F.pmod(F.xxhash64(own), F.col(n)).cast("int")
