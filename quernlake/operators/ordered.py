@@ -34,10 +34,11 @@ def same(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
 def percentiles(rows: DataFrame, by: Sequence[str], value: str, fractions: Mapping[str, float]) -> DataFrame:
     """(by..., one column for each fraction): exact percentiles with linear interpolation; null values take no part.
 
-    Values are counted once each; their counts over ranges tell in which range the ranks of a fraction lie, and only the
+    Values are counted once each, and written; their counts over ranges tell in which range the ranks of a fraction lie, and only the
     values of those are put in order.
     """
     values = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    values = written(values, "percentile-values")
     bounds = values.groupBy(*by).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.sum("__n").alias("__total"))
     ranged = same(values, bounds, by).withColumn("__range", _range(F.col("__v"), F.col("__low"), F.col("__high")))
     counts = ranged.groupBy(*by, "__range").agg(F.sum("__n").alias("__n"), F.first("__total").alias("__total"))

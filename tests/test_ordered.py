@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernlake.operators import ordered, retrieval
-from quernlake.operators.markdown import fence_state, pack_ends
+from quernlake.operators.markdown import fence_state, pack_ranges
 
 
 def test_percentiles_equal_the_aggregate(spark):
@@ -95,5 +95,5 @@ def test_pack_ends_equal_a_loop(spark, head):
         return ends
 
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, words array<int>")
-    got = {r.i: r.ends for r in df.select("i", pack_ends(F.col("words"), F.lit(head)).alias("ends")).collect()}
+    got = {r.i: [p.begin + p.n for p in r.packs] for r in df.select("i", pack_ranges(F.col("words"), F.lit(head)).alias("packs")).collect()}
     assert got == {i: loop(c) for i, c in enumerate(cases)}
