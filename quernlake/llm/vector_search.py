@@ -8,10 +8,10 @@ score so far plus the bound on the remaining mass (the Cauchy-Schwarz product of
 reach its k-th best.  The k best so far, and the bound they set, go on from one candidate block of a task to the next.
 A ranking over each query's few finalists of each task ends the search.
 
-Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without an
-id; shorter vectors count as padded with zeros; a row never meets rows of its own id; ties go to the smaller id;
-repeated rows each stand as candidates, and each as a query, whose finds are ranked together by id; an empty table gives an empty result; extra columns are dropped.  Scores are
-exact while they stay below 2**53.
+Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id;
+shorter vectors, empty ones too, count as padded with zeros; a query never meets its own row, but other rows of its id;
+each row of a repeated id searches for itself; ties go to the smaller id; an empty table gives an empty result; extra
+columns are dropped.  Scores are exact while they stay below 2**53.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernlake.llm.common import discard, written
+
 #: Rows of a packed block, and queries of it that are scored at once.
 QUERY_BLOCK, CANDIDATE_BLOCK, SOME_QUERIES = 16_384, 4096, 256
 DIMENSION_BLOCK = 16
@@ -31,9 +33,9 @@ LANES = 32
 
 
 def _integers(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Ids, and the matrix (vector by dimension) of the usable vectors."""
-    ids = rows.column(0).to_numpy(zero_copy_only=False)
-    vectors = rows.column(1)
+    """Ids and row numbers (two columns), and the matrix (vector by dimension) of the usable vectors."""
+    ids = np.stack([rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row")], axis=1)
+    vectors = rows.column("v")
     sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     out = np.zeros((len(ids), int(sizes.max(initial=0))))
@@ -61,22 +63,23 @@ def _packed(limit: int):
 
 
 def _pack_group(key: tuple, rows: pa.Table) -> pa.Table:
-    ids, x = _integers(rows.select(["id", "v"]).combine_chunks().to_batches()[0])
+    ids, x = _integers(rows.select(["id", "row", "v"]).combine_chunks().to_batches()[0])
     return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), *_cells(ids, x)], ["q_block", "q_n", "q_dims", "q_ids", "q_cells"])
 
 
 def _unpacked(row: dict, p: str) -> tuple[np.ndarray, np.ndarray]:
     n, dims, cells = row[f"{p}n"], row[f"{p}dims"], row[f"{p}cells"]
     kind = "<f4" if len(cells) == 4 * n * dims else "<f8"
-    return np.frombuffer(row[f"{p}ids"], "<i8"), np.frombuffer(cells, kind).reshape(dims, n).astype(np.float64)
+    return np.frombuffer(row[f"{p}ids"], "<i8").reshape(n, 2), np.frombuffer(cells, kind).reshape(dims, n).astype(np.float64)
 
 
 def search_pair(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Branch and bound in one pair of blocks; q and c are dimension by vector. (place of the query, candidate, score) of the k best.
+    """Branch and bound in one pair of blocks; q and c are dimension by vector, ids are (id, row). (place of the query, candidate's id, score) of the k best.
 
     ``floors``: scores that each query has reached k times already; what cannot reach them is left out at once.
     """
     floors = np.full(len(q_ids), -np.inf) if floors is None else floors
+    (q_rows, c_rows), c_ids = (q_ids[:, 1], c_ids[:, 1]), c_ids[:, 0]
     dims = max(len(q), len(c))
     q, c = (np.vstack([x, np.zeros((dims - len(x), x.shape[1]))]) if len(x) < dims else x for x in (q, c))
     starts = list(range(0, dims, DIMENSION_BLOCK)) or [0]
@@ -86,7 +89,7 @@ def search_pair(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarr
     for a in range(0, len(q_ids), SOME_QUERIES):
         first = q[:DIMENSION_BLOCK, a : a + SOME_QUERIES].T @ c[:DIMENSION_BLOCK]
         may = first + q_rest[0][a : a + SOME_QUERIES, None] * c_rest[0] >= floors[a : a + SOME_QUERIES, None] - 1e-6
-        may &= c_ids != q_ids[a : a + SOME_QUERIES, None]
+        may &= c_rows != q_rows[a : a + SOME_QUERIES, None]
         for i in (a + np.flatnonzero(may.any(1))).tolist():
             alive = np.flatnonzero(may[i - a])
             score = first[i - a, alive]
@@ -126,7 +129,8 @@ class Best:
         self.floors[at[last]] = scores[last]
 
     def rows(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (self.q_ids[self.at], self.ids, np.rint(self.scores).astype(np.int64))], ["query_id", "vec_id", "score"])
+        columns = (*self.q_ids[self.at].T, self.ids, np.rint(self.scores).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["query_id", "q_row", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -136,14 +140,14 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
     """
     usable = (
         vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-        .filter(F.col("id").isNotNull() & (F.size("v") > 0))
+        .filter(F.col("id").isNotNull() & F.col("v").isNotNull())
         .filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
     )
-    # rows alike search once each, of which k at most can show
-    queries = usable.filter(F.col("id") % every == 0).groupBy("id", "v").agg(F.count("*").alias("n"))
-    queries = queries.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k)))))
+    # rows are numbered, and written so that the numbers hold
+    usable = written(usable.select("id", F.monotonically_increasing_id().alias("row"), "v"), "search-rows")
+    queries = usable.filter(F.col("id") % every == 0)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    packed = queries.groupBy(F.pmod(F.xxhash64("id", "v", "copy"), F.lit(blocks)).cast("int").alias("q_block")).applyInArrow(_pack_group, f"q_block int, {_prefixed('q_')}")
+    packed = queries.groupBy(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("q_block")).applyInArrow(_pack_group, f"q_block int, {_prefixed('q_')}")
     packed = packed.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
     candidates = usable.mapInArrow(_packed(CANDIDATE_BLOCK), _prefixed(""))
     candidates = candidates.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(LANES)).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -163,22 +167,23 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id",
             yield best.rows()
 
     pairs = candidates.join(packed, ["q_block", "lane"]).drop("lane")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = pairs.mapInArrow(search, "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(best))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
+    ranked = pairs.mapInArrow(search, "query_id long, q_row long, vec_id long, score long").withColumn("rank", F.row_number().over(best))
+    out = written(ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "search-found")
+    discard(usable)
+    return out
 
 
 #: DuckDB SQL for top_k(embeddings).
 ORACLE = """
 WITH v AS (
-  SELECT vec_id AS id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT row_number() OVER () AS r, vec_id AS id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.id AS query_id, c.id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 50 = 0
+  SELECT q.r, q.id AS query_id, c.id AS vec_id, CAST(CASE WHEN len(q.e) = 0 OR len(c.e) = 0 THEN 0 ELSE list_dot_product(q.e, c.e) END AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.id % 50 = 0
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
 )
 SELECT * FROM ranked WHERE rank <= 5
 """

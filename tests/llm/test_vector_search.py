@@ -16,13 +16,13 @@ VECTORS = "vec_id long, embedding array<float>"
 
 
 def brute(rows: list[tuple], k: int, every: int) -> list[tuple]:
-    usable = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    usable = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in sorted({i for i, _ in usable if i % every == 0}):
-        mine = min(v for i, v in usable if i == q)
-        scores = sorted(((-sum(a * b for a, b in zip(mine, v, strict=False)), i) for i, v in usable if i != q))[:k]
-        out += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
-    return out
+    for n, (q, mine) in enumerate(usable):
+        if q % every == 0:
+            scores = sorted(((-sum(a * b for a, b in zip(mine, v, strict=False)), i) for m, (i, v) in enumerate(usable) if m != n))[:k]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
+    return sorted(out)
 
 
 def found(table, k: int, every: int) -> list[tuple]:
@@ -43,10 +43,12 @@ def test_brute_force_with_ties(spark, seed):
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, -0.5]), (50, None), (100, [1.0, None]), (150, [nan, 1.0]), (200, [1.0, inf]), (250, []), (None, [1.0, 1.0]), (7, [0.5, 0.25]), (7, [0.5, 0.25]), (8, [0.001, -0.001]), (300, [0.0, 0.0]), (-50, [-1.0, 2.0])]
-    table = spark.createDataFrame(rows, VECTORS).selectExpr("*", "0 AS id", "1 AS v", "2 AS rank", "3 AS score").repartition(3)
+    table = spark.createDataFrame(rows, VECTORS).selectExpr("*", "0 AS id", "1 AS v", "2 AS rank", "3 AS score", "4 AS row").repartition(3)
     assert found(table, 5, 50) == brute(rows, 5, 50)
     assert found(table.limit(0), 5, 50) == []
-    assert found(table.filter("vec_id = 7"), 5, 7) == []  # a row never meets rows of its own id
+    assert found(table.filter("vec_id = 8"), 5, 8) == []  # a row never meets itself
+    assert found(table.filter("vec_id = 7"), 5, 7) == brute(rows[7:9], 5, 7)  # but others of its id
+    assert len(found(table.filter("vec_id = 7"), 5, 7)) == 2
 
 
 def test_many_blocks(spark, monkeypatch):
@@ -62,16 +64,17 @@ def test_many_blocks(spark, monkeypatch):
 def test_bounds_lose_nothing(dims, n, k, seed):
     rng = np.random.default_rng(seed)
     q, c = rng.integers(-4, 5, (dims, 3)).astype(float), rng.integers(-4, 5, (dims, n)).astype(float)
-    ids = rng.permutation(n)
-    got = list(zip(*vector_search.search_pair(np.array([-1, -2, -3]), q, ids, c, k), strict=True))
-    best, half = vector_search.Best(np.array([-1, -2, -3]), k), n // 2
+    ids, own_ids = rng.permutation(n), np.array([(-1, -1), (-2, -2), (-3, -3)])
+    both = np.stack([ids, ids], axis=1)
+    got = list(zip(*vector_search.search_pair(own_ids, q, both, c, k), strict=True))
+    best, half = vector_search.Best(own_ids, k), n // 2
     for part in (slice(0, half), slice(half, n)):  # bounds go on from one block to the next
-        best.add(*vector_search.search_pair(best.q_ids, q, ids[part], c[:, part], k, best.floors))
+        best.add(*vector_search.search_pair(best.q_ids, q, both[part], c[:, part], k, best.floors))
     carried = list(zip(*(col.to_pylist() for col in best.rows().columns), strict=True))
     for i, own in enumerate((-1, -2, -3)):
         want = sorted(((-int(q[:, i] @ c[:, j]), int(ids[j])) for j in range(n)))[:k]
         assert sorted((-int(s), int(v)) for o, v, s in got if o == i) == want
-        assert sorted((-s, v) for o, v, s in carried if o == own) == want
+        assert sorted((-s, v) for o, _, v, s in carried if o == own) == want
 
 
 def test_every_row_of_an_id_searches(spark):
