@@ -3,7 +3,9 @@
 The mix is cut into slots of equally many tokens.  Slot i takes the golden-ratio point frac(i * 0.618...), and the source
 whose cumulative target weight holds that point fills it; slots are ranked per source.  Each source's documents are
 shuffled (by a digest), laid end to end, twice over, and cut into blocks of a slot's size; the k-th slot of a source
-joins its k-th block.  What a document gives to the mix is the part of it that lies in taken blocks.
+joins its k-th block.  What a document gives to the mix is the part of it that lies in taken blocks.  A source ends at its
+target: the slot that passes it is cut there, and what slots leave, less than a slot or two, is one last part after them; so
+a source smaller than a slot has its words, too, at any size of the mix.
 
 Nothing is ordered in one task: positions within a source come from sums over PREFIXES digest buckets and windows inside
 single buckets, slot ranks from counts over runs of slots, so a source with a third of all rows spreads like any other.
@@ -28,8 +30,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 #: The mix has this many slots at most (as many as tokens where it has fewer); a slot of one token is the smallest.
 SLOTS = 1 << 17
-#: A source of fewer slots has an exact last part where documents are repeated.
-FEW = 64
+#: Copies of a document that are made in one place.
+COPIES = 1000
 #: Digest buckets of a source (three hexadecimal digits), and slots of a run whose counts are summed.
 PREFIX_DIGITS, RUN = 3, 1 << 10
 #: Cells of the unit interval in which points look for their source.
@@ -100,21 +102,22 @@ def placed(rows: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for each document."""
+    """(doc_id, source, size, source_size, target, taken, scheduled) for each document; scheduled: the words that lie in slots, not in a last part."""
     return placed_mix(docs, key, text, source).drop("digest")
 
 
 def repeat(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix as documents, with all their columns: each as often as the schedule takes from it, whole.
 
-    Slots are whole in the query; here a source of fewer than FEW has besides them the part, or goes without the part, by
-    which they miss its target, so that a source smaller than a slot stays.  A document that the mix only begins, or takes
-    a second time only in part, counts as taken whole; one it takes nothing from is left out.  Rows alike in id and text
+    A document that the mix only begins, or takes a second time only in part, counts as taken whole; one it takes nothing
+    from is left out.  Rows alike in id and text
     stand as one with their counts added.  Texts are shuffled once, by the digest of id and text, rows alike once per task.
     """
     row, times = fresh_name(docs, "row"), fresh_name(docs, "times")
-    taken = placed_mix(docs, key, text, source, exact=True).filter(F.col("taken") > 0)
+    taken = placed_mix(docs, key, text, source).filter(F.col("taken") > 0)
     counts = taken.groupBy(F.col("digest").alias(row)).agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(times))
+    # copies by the thousand, before texts meet them: rows alike in large numbers do not come from one task
+    counts = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / COPIES)))).select(row, F.least(F.lit(COPIES), F.col(times) - F.col("part") * COPIES).cast("int").alias(times))
     once = docs.withColumn(row, _digest(F.col(key), F.coalesce(F.col(text), F.lit("")))).dropDuplicates([row]).join(counts, row)
     return once.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*docs.columns)
 
@@ -123,8 +126,8 @@ def _digest(key: Column, whole: Column) -> Column:
     return F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), F.md5(whole)))
 
 
-def placed_mix(docs: DataFrame, key: str, text: str, source: str, exact: bool = False) -> DataFrame:
-    """The mix with each document's digest; exact: a source of few slots ends at its target instead of at a whole slot.
+def placed_mix(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """The mix with each document's digest.
 
     Writes two small tables to the shared folder first (sizes; targets), and takes one row of sums to the driver.
     """
@@ -134,7 +137,7 @@ def placed_mix(docs: DataFrame, key: str, text: str, source: str, exact: bool =
     if not whole:
         facts = goals.withColumnRenamed("source", "s")
         none = rows.join(facts, F.col("source").eqNullSafe(F.col("s")))
-        return none.select("doc_id", "digest", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return none.select("doc_id", "digest", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("scheduled"))
     slot_size = -(-whole // SLOTS)
     slots = schedule(goals, -(-whole // slot_size), whole).select(F.col("source").alias("slot_source"), F.col("rank").alias("slot_block"))
     facts = goals.withColumnRenamed("source", "s")
@@ -143,17 +146,14 @@ def placed_mix(docs: DataFrame, key: str, text: str, source: str, exact: bool =
     laps = laps.withColumn("low", F.col("start") + F.col("lap") * F.col("source_size")).withColumn("high", F.col("low") + F.col("size"))
     block = lambda at: F.floor(at / F.lit(slot_size)).cast("long")
     parts = laps.withColumn("block", F.explode(F.sequence(block(F.col("low")), block(F.col("high") - 1))))
-    cut = F.least("high", (F.col("block") + 1) * slot_size) - F.greatest("low", F.col("block") * slot_size)
     met = parts.join(slots, F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("block") == F.col("slot_block")), "left")
-    in_slots = F.when(F.col("slot_block").isNotNull(), cut).otherwise(0)
-    if exact:
-        goal = F.round("target").cast("long")
-        # slots beyond such a target give nothing, and the part that slots leave is one more
-        upto = F.least("high", (F.col("block") + 1) * slot_size, goal)
-        in_slots = F.when(goal < FEW * slot_size, F.greatest(F.lit(0), upto - F.greatest("low", F.col("block") * slot_size))).otherwise(in_slots)
-    given = met.groupBy("doc_id", "digest", "source", "size", "source_size", "target", "start").agg(F.sum(in_slots).alias("taken"))
-    empty = known.filter(F.col("size") == 0).select("doc_id", "digest", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return given.select("doc_id", "digest", "source", "size", "source_size", "target", "taken").unionByName(empty)
+    # no slot gives more than is left of the target; blocks without one are the source's last part
+    cut = F.greatest(F.lit(0), F.least("high", (F.col("block") + 1) * slot_size, F.round("target").cast("long")) - F.greatest("low", F.col("block") * slot_size))
+    sums = [F.sum(cut).alias("taken"), F.sum(F.when(F.col("slot_block").isNotNull(), cut).otherwise(0)).alias("scheduled")]
+    given = met.groupBy("doc_id", "digest", "source", "size", "source_size", "target", "start").agg(*sums)
+    zero = F.lit(0).cast("long")
+    empty = known.filter(F.col("size") == 0).select("doc_id", "digest", "source", "size", "source_size", "target", zero.alias("taken"), zero.alias("scheduled"))
+    return given.drop("start").unionByName(empty)
 
 
 #: DuckDB SQL for mix(documents).
@@ -185,12 +185,13 @@ WITH sized AS (
 ), filled AS (
   SELECT upper, count(*) AS n FROM points ASOF JOIN (SELECT upper, CAST(upper - goal AS DOUBLE) AS lower FROM bounds WHERE goal > 0) b ON pos >= lower GROUP BY upper
 ), ends AS (
-  SELECT b.source, b.source_size, b.target, coalesce(n, 0) * slot_size AS reach
+  SELECT b.source, b.source_size, b.target, goal AS reach, least(goal, coalesce(n, 0) * slot_size) AS told
   FROM bounds b CROSS JOIN sizes LEFT JOIN filled f ON f.upper = b.upper AND b.goal > 0
 ), placed AS (
   SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY digest, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS start FROM sized
 )
 SELECT doc_id, p.source, size, source_size, target,
-       CAST(greatest(0, least(size, reach - start)) + greatest(0, least(size, reach - start - source_size)) AS BIGINT) AS taken
+       CAST(greatest(0, least(size, reach - start)) + greatest(0, least(size, reach - start - source_size)) AS BIGINT) AS taken,
+       CAST(greatest(0, least(size, told - start)) + greatest(0, least(size, told - start - source_size)) AS BIGINT) AS scheduled
 FROM placed p JOIN ends e ON p.source IS NOT DISTINCT FROM e.source
 """
