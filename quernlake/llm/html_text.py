@@ -42,10 +42,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WRAPPER = 0.7
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 ASIDE_WORDS = (
-    "ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets"
+    "cc ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets"
 ).split()
 #: Words that may stand beside those in one class or id value and leave it what it is ("site-footer", "commentlist").
-PLAIN_WORDS = "area bar block bottom box col column container form global group inner item items left link links list main middle notification outer page panel pane posts primary right section secondary site slot thread top unit wrap wrapper".split()
+PLAIN_WORDS = "accept area bar block bottom box button buttons card col column container form global group icon icons info inner item items law left link links list main middle notification outer page panel pane policy posts primary reader readers right section secondary site slot thread top unit user users visitor visitors window wrap wrapper".split()
+#: What readers say and other articles: such an element is never the article, even where articles stand in it.
+OTHERS = frozenset("comment comments commentlist disqus replies respond related recommended".split())
 MAIN_TAGS = frozenset("article main".split())
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: A value made up of such words alone, at least one of the first kind; others ("has-sidebar", "entry-header") say nothing.
@@ -166,17 +168,19 @@ def trained() -> Tree:
     return grow(features(table[:, :-1]), table[:, -1])
 
 
-def _marks(name: str, attrs: str) -> tuple[bool, bool, bool]:
-    """Whether an element marks the article, or what is beside it; the latter by tag or role, and by a class or id value."""
-    main, aside, named = name in MAIN_TAGS, name in ASIDE_TAGS, False
+def _marks(name: str, attrs: str) -> tuple[bool, bool, bool, bool]:
+    """Whether an element marks the article, or what is beside it, by tag or role, or by a class or id value; and whether that says OTHERS."""
+    main, aside, named, others = name in MAIN_TAGS, name in ASIDE_TAGS, False, False
     if attrs:
         for kind, *value in ATTRIBUTE.findall(attrs):
             text = "".join(value)
             if kind.lower() == "role":
                 main, aside = main or text.lower() == "main", aside or text.lower() in ASIDE_ROLES
             elif not main and name not in ("body", "html"):
-                named = named or any(len(w) <= LONGEST_VALUE and ASIDE_VALUE.fullmatch(w) for w in text.split())
-    return main, aside, named
+                found = [w for w in text.split() if len(w) <= LONGEST_VALUE and ASIDE_VALUE.fullmatch(w)]
+                named = named or bool(found)
+                others = others or any(not OTHERS.isdisjoint(re.split("[-_]", w.lower())) for w in found)
+    return main, aside, named, others
 
 
 @dataclass
@@ -187,9 +191,11 @@ class Element:
     main: bool = False
     aside: bool = False
     named: bool = False
+    others: bool = False
     closed: bool = False
     holds_main: bool = False
     words: int = 0
+    outer: Element | None = None
 
 
 def _scanned(page: str) -> list[tuple[int, int, str, bool, Element | None]]:
@@ -225,9 +231,11 @@ def _scanned(page: str) -> list[tuple[int, int, str, bool, Element | None]]:
 def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     """(text, link density, in main, in aside, heading) of each non-empty text block, in page order."""
     out: list[tuple[str, float, bool, bool, bool]] = []
-    within: list[tuple[Element, ...]] = []
+    #: The innermost named element around each block, and all such elements in order.
+    within: list[Element | None] = []
+    seen: list[Element] = []
     stack: list[Element] = []
-    mains = asides = linked = link = 0
+    mains = asides = others = linked = link = 0
     #: Elements now open that their name or a class or id value alone sets aside.
     named: list[Element] = []
     parts: list[str] = []
@@ -240,18 +248,25 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             if text:
                 words = len(text.split(" "))
                 out.append((text, min(1.0, linked / words), mains > 0, asides > 0, heading))
-                within.append(tuple(named))
-                for element in named:
-                    element.words += words
+                within.append(named[-1] if named else None)
+                if named:
+                    named[-1].words += words
             parts.clear()
             linked = 0
 
     def enter(element: Element) -> None:
-        nonlocal mains, asides
+        nonlocal mains, asides, others
+        if element.others:  # an article in it is one of theirs
+            element.aside, element.named = True, False
+        elif others:
+            element.main = False
+        others += element.others
         if element.main:  # what has no end of its own ends where an article begins
             for other in stack if asides or named else ():
                 if not other.closed:
                     asides -= other.aside
+                    others -= other.others
+                    other.others = False
                     if other.named:
                         named.remove(other)
                     other.aside = other.named = False
@@ -264,12 +279,14 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         stack.append(element)
         mains, asides = mains + element.main, asides + element.aside
         if element.named:
+            element.outer = named[-1] if named else None
             named.append(element)
+            seen.append(element)
 
     def leave() -> Element:
-        nonlocal mains, asides
+        nonlocal mains, asides, others
         element = stack.pop()
-        mains, asides = mains - element.main, asides - element.aside
+        mains, asides, others = mains - element.main, asides - element.aside, others - element.others
         if element.named:
             named.pop()
         return element
@@ -303,11 +320,15 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             link = 0
     say(page[at:])
     flush()
-    # a wrapper of most of the page's text is not beside the article, whatever its name, unless an article stands elsewhere
+    for element in reversed(seen):
+        if element.outer is not None:
+            element.outer.words += element.words
+    # a wrapper of most of the page's text is not beside the article, whatever its name, unless an article stands elsewhere;
+    # of wrappers in one another the innermost has the fewest words
     most = WRAPPER * sum(len(b[0].split(" ")) for b in out)
-    beside = [b[3] or any(e.words <= most for e in own) for b, own in zip(out, within, strict=True)]
+    beside = [b[3] or own is not None and own.words <= most for b, own in zip(out, within, strict=True)]
     if any(b[2] and not a for b, a in zip(out, beside, strict=True)):
-        beside = [b[3] or bool(own) for b, own in zip(out, within, strict=True)]
+        beside = [b[3] or own is not None for b, own in zip(out, within, strict=True)]
     return [(*b[:3], a, b[4]) for b, a in zip(out, beside, strict=True)]
 
 
@@ -323,7 +344,13 @@ def main_text(pages: list[str]) -> list[str]:
             after = (words[i + 1], page[i + 1][1]) if i + 1 < len(page) else (0, 0.0)
             rows.append((words[i], b[1], *before, *after, b[2], b[3], b[4], any_main))
     keep = iter((trained().predict(features(np.array(rows, float))) >= 0.5).tolist() if rows else ())
-    return ["\n".join([b[0] for b in page if next(keep)]) for page in found]
+    out = []
+    for page in found:
+        kept = [b for b in page if next(keep)]
+        if not any(b[2] for b in kept) and any(b[2] and not b[3] for b in page):  # an article of links, as a table of contents
+            kept = [b for b in page if b[2] and not b[3]]
+        out.append("\n".join(b[0] for b in kept))
+    return out
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

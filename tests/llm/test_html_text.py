@@ -139,3 +139,45 @@ def test_stray_end_tags_take_linear_time():
     began = time.process_time()
     html_text.blocks("<div>" * 50_000 + "<p>text</p>" + "</x>" * 100_000 + "</section>" * 50_000)
     assert time.process_time() - began < 4
+
+
+LONG = "A sentence of the article that has a good number of words in it, and no link at all."
+SAID = "What a reader wrote below the article, in a sentence of some length, without any link."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<article><p>{LONG}</p></article><div id="comments" class="comments-area"><ol class="comment-list"><li class="comment"><article class="comment-body"><p>{SAID}</p></article></li></ol></div>',
+        f'<div class="post"><p>{LONG}</p><p>{LONG}</p></div><div id="comments"><article class="comment"><p>{SAID}</p></article></div>',
+        f'<article><p>{LONG}</p></article><section class="related"><article><p>{SAID}</p></article></section>',
+        f'<article><p>{LONG}</p></article><div class="reader-comments">{"".join(f"<p>{SAID}</p>" for _ in range(9))}</div>',
+        f'<div><p>{LONG}</p></div><div class="user-comments">{"".join(f"<p>{SAID}</p>" for _ in range(9))}</div>',
+        *[f'<div><p>{LONG}</p><p>{LONG}</p></div><div class="{c}"><p>{SAID}</p></div>' for c in ("share-buttons", "promo-card", "cc-window", "gdpr-accept", "cookie-law-info-bar", "commentlist")],
+    ],
+)
+def test_what_others_say_goes(page):
+    text = html_text.main_text([f"<html><body>{page}</body></html>"])[0]
+    assert LONG in text and SAID not in text
+
+
+@pytest.mark.parametrize("wrapper", ["has-sidebar", "no-comments", "header-fixed", "comments-open", "entry-header"])
+def test_values_that_say_nothing_keep_the_article(wrapper):
+    assert html_text.main_text([f'<div class="{wrapper}"><p>{LONG}</p><p>{LONG}</p></div>'])[0] == f"{LONG}\n{LONG}"
+
+
+def test_an_article_of_links_stays():
+    page = "<nav><a>Home</a></nav><main><h1>Chapters</h1><ul><li><a>The first chapter of it</a></li><li><a>The second chapter of it</a></li></ul></main>"
+    assert html_text.main_text([page])[0] == "Chapters\nThe first chapter of it\nThe second chapter of it"
+
+
+def test_many_open_marked_elements_take_linear_time():
+    import time
+
+    took = []
+    for n in (2000, 8000):
+        page = f'<div class="widget"><p>{LONG}</p>' * n
+        start = time.perf_counter()
+        html_text.blocks(page)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12 * max(took[0], 0.05)
