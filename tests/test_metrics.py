@@ -161,3 +161,21 @@ def test_stats_and_registry(spark, scope):
     assert stats[2]["no_attempt"] == 1 and stats[2]["max_try_seq"] == 1 and stats[4]["no_attempt"] == 0
     rows = registry.metric_registry(spark)
     assert rows.count() == 8 and rows.filter("version <> '1.0.0' OR size(limitations) = 0").count() == 0
+
+
+def test_overview_in_one_call_equals_its_pieces(spark, small):
+    from quernlake.operators import overview
+    from quernlake.plans.queries import PERIOD, scope
+
+    mine = scope(spark, small)
+    whole = overview.overview(mine, PERIOD)
+    rows = overview.aggregates(mine, PERIOD)
+    attempts = overview.performance(mine, PERIOD)
+    pieces = (
+        (whole.metrics, overview.overview_metrics(rows)), (whole.daily, overview.daily_status(mine, PERIOD)), (whole.providers, overview.psp_outcomes(attempts)),
+        (whole.latency, overview.latency(attempts)), (whole.insight, overview.insight(rows)),
+    )
+    for one, other in pieces:
+        assert one.columns == other.columns
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect())) != []
+    assert whole.scope.count() == 1

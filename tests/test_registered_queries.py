@@ -3,6 +3,7 @@
 import pytest
 from oracle import assert_same, connect
 
+import quernlake.plans.more_queries  # noqa: F401
 import quernlake.plans.text_queries  # noqa: F401
 from quernlake.plans.queries import ORACLES, QUERIES
 

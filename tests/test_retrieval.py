@@ -174,3 +174,10 @@ def test_equal_vectors_leave_a_block_once_each(spark):
     asked = spark.createDataFrame([(q, [2.0, 4.0 + q]) for q in range(5)], "query_id int, embedding array<double>")
     got = sorted((r.query_id, r["rank"], r.id) for r in retrieval.dense_search(chunks, asked, 4).collect())
     assert got == [(q, k + 1, f"c{k:05d}") for q in range(5) for k in range(4)]
+
+
+def test_text_of_message_parts(spark):
+    part = lambda kind, text: {"type": kind, "text": text}
+    rows = [(1, 0, "user", [part("text", "old")]), (1, 2, "user", [part("text", " how "), part("image", "x"), part("text", None), part("text", "now\n")]), (1, 3, "assistant", [part("text", "so")]), (2, 0, "system", [part("text", "s")]), (3, 0, "user", [])]
+    messages = spark.createDataFrame(rows, "conv_id int, turn int, role string, parts array<struct<type:string,text:string>>")
+    assert {r.conv_id: r.text for r in answers.latest_user_text(messages).collect()} == {1: "how now", 2: "", 3: ""}
