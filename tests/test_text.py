@@ -76,3 +76,14 @@ def test_calendar(spark):
     df = spark.sql("SELECT date'2026-01-31' AS d")
     assert tuple(df.select(*calendar.gregorian_month(F.col("d"), -1)).first()) == (date(2025, 12, 1), date(2026, 1, 1))
     assert df.select(calendar.jalali_text("d")).first()[0] == "1404-11-11"
+
+
+def test_credentials_in_other_case_reach_the_shapes(spark):
+    """The native prefilter folds case as the shapes do: long s and the Kelvin sign are letters of these words, too."""
+    from quernlake.functions import redact
+
+    texts = ["paſſwd = xyz9secretvalue", "PAſSWORD=Xy12345678901234567890123Ab", "DSN: mySQL://u:p4ss@h", "nothing here"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.r.text for r in rows.select("t", redact.redact_ingest(F.col("t")).alias("r")).collect()}
+    assert got == {t: redact.redact_text(t)[0] for t in texts}
+    assert got[texts[0]] != texts[0]
