@@ -61,7 +61,7 @@ def test_hot_source(documents):
     whole = sum(target.values())
     assert sum(taken.values()) == pytest.approx(whole, rel=0.01)
     for s, t in target.items():
-        assert taken[s] == round(t)
+        assert abs(taken[s] - t) <= 0.5 + 1e-6
     assert sum(r.scheduled for r in got) >= 0.98 * whole  # the rest are the sources' last parts
     again = mixing.mix(docs.repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
@@ -136,7 +136,7 @@ def test_tiny_sources_beside_huge_ones_reach_their_targets(documents, monkeypatc
         assert 0 <= r.scheduled <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
         target[r.source] = r.target
-    assert {s: taken[s] for s in target} == {s: round(t) for s, t in target.items()}
+    assert all(abs(taken[s] - t) <= 0.5 + 1e-6 for s, t in target.items())
 
 
 def test_many_rows_alike_are_copied_in_parts(documents, monkeypatch):

@@ -82,7 +82,7 @@ def test_shared_parts_in_blocks(documents, monkeypatch, bucket):
     words = ["".join(rng.choices("abÿ", k=rng.choice((5, 6, 7)))) for _ in range(120)] + ["prefixed" + "".join(rng.choices("xy", k=3)) for _ in range(20)] + ["k" * n for n in (5, 6, 7, 79, 80)]
     rows = [(i, " ".join(rng.choices(words, k=40)), "a") for i in range(30)] + [(50 + i, " ".join(["k" * n] * 3 ** (n % 7)), "a") for i, n in enumerate((5, 6, 7, 79, 80))]
     want = brute(counted([r[:2] for r in rows]))
-    assert found(documents(rows)) == want and max(w[4] for w in want) > 5
+    assert found(documents(rows)) == want and max(w[4] for w in want) >= 5
 
 
 def test_odd_rows(odd, documents):
