@@ -72,6 +72,17 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(of.__getitem__, chain.from_iterable(words)), np.uint64, int(counts.sum())), counts
 
 
+def _labelled(value: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Hashes of values with their occurrence numbers: equal values of a text are told apart in text order."""
+    order = np.lexsort((value, text))
+    same = np.r_[False, (value[order][1:] == value[order][:-1]) & (text[order][1:] == text[order][:-1])][: len(order)]
+    run = np.flatnonzero(~same)
+    number = np.arange(len(order)) - np.repeat(run, np.diff(np.r_[run, len(order)]))
+    out = np.empty(len(value), np.uint64)
+    out[order] = _mix(value[order] + number.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    return out
+
+
 def sketches(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Text by permutation: Order MinHash values; texts without words get zeros."""
     out = np.zeros((len(counts), PERMUTATIONS), np.uint64)
@@ -87,13 +98,7 @@ def sketches(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     for i in range(K):
         inside = at + i < ends[text]
         value = value * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, hashes[np.minimum(at + i, len(hashes) - 1)], np.uint64(0))
-    # occurrence numbers: equal k-mers of a text in text order
-    order = np.lexsort((value, text))
-    same = np.r_[False, (value[order][1:] == value[order][:-1]) & (text[order][1:] == text[order][:-1])]
-    run = np.flatnonzero(~same)
-    number = np.arange(len(order)) - np.repeat(run, np.diff(np.r_[run, len(order)]))
-    labelled = np.empty(len(value), np.uint64)
-    labelled[order] = _mix(value[order] + number.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    labelled = _labelled(value, text)
     odd = np.random.default_rng(SEED).integers(1, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
     top = np.uint64(2**64 - 1)
     bound = lambda factor: np.where(sizes > factor, np.minimum(factor / sizes, 0.99) * 2.0**64, 0).astype(np.uint64) + np.where(sizes > factor, np.uint64(0), top)
@@ -284,12 +289,12 @@ def _verified(edges: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def bag_of(words: np.ndarray) -> bytes:
-    """Two bitmaps of one size, of the hashed words and of the pairs of neighbours: some 8 to 16 bits for each word (1,024 at least)."""
+    """Two bitmaps of one size, of the hashed words and of the pairs of neighbours, repeats told apart: some 8 to 16 bits for each word (1,024 at least)."""
     bits = 1 << max(10, (8 * len(words) - 1).bit_length())
     flags = np.zeros((2, bits), bool)
     wide = words.astype(np.uint64)
     for k, x in enumerate((wide, (wide[:-1] << np.uint64(32)) | wide[1:])):
-        flags[k, (_mix(x) & np.uint64(bits - 1)).astype(np.int64)] = True
+        flags[k, (_labelled(x, np.zeros(len(x), np.int8)) & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(flags).tobytes()
 
 
@@ -313,7 +318,7 @@ def near_bags(x: list[dict], y: list[dict], same: bool, nearest: bool = False) -
     """Places (i, j) of members of two blocks that are in two classes and that lengths and bitmaps allow to be a link.
 
     An edit takes away a word and two word pairs at most, and brings as many, so that the words of one text that the other
-    lacks, and half the pairs, bound the edits from below.  ``nearest``: of each member's partners only the one of the
+    lacks, repeats counted, and half the pairs, bound the edits from below.  ``nearest``: of each member's partners only the one of the
     least bound.
     """
     nx, ny = np.array([m["n"] for m in x]), np.array([m["n"] for m in y])
@@ -367,19 +372,22 @@ def _met_blocks(members: DataFrame, bags: DataFrame, across: bool, turn: int = 0
                 x, y = row["x"], row["y"] if across else row["x"]
                 for i, j in near_bags(x, y, not across or row["block"] == row["other"], not across):
                     a, b = x[i]["tid"], y[j]["tid"]
+                    if across and min(set(x[i]["keys"]) & set(y[j]["keys"])) != row["key"]:
+                        continue  # they meet under a smaller value, too
                     found.add((max(a, b), min(a, b)))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in range(2)], ["a", "b"])
 
     # blocks differ from value to value and from turn to turn, so that members of a group mix
     block = F.pmod(F.xxhash64("tid", "key", F.lit(turn)), F.ceil(F.col("size") / BLOCK)).alias("block")
     rows = members.select("key", "tid", "root", block).join(bags, "tid")
-    packed = rows.groupBy("key", "block").agg(F.collect_list(F.struct("tid", "root", "n", "bag")).alias("x"))
     if not across:
+        packed = rows.groupBy("key", "block").agg(F.collect_list(F.struct("tid", "root", "n", "bag")).alias("x"))
         return packed.select("x").mapInArrow(run, "a binary, b binary").distinct()
-    packed = written(packed, "near-blocks")
+    rows = rows.join(members.groupBy("tid").agg(F.collect_set("key").alias("keys")), "tid")
+    packed = written(rows.groupBy("key", "block").agg(F.collect_list(F.struct("tid", "root", "n", "bag", "keys")).alias("x")), "near-blocks")
     two = packed.select(F.col("key").alias("k"), F.col("block").alias("other"), F.col("x").alias("y"))
     met = packed.join(two, (F.col("key") == F.col("k")) & (F.col("block") <= F.col("other")))
-    return met.select("block", "other", "x", "y").mapInArrow(run, "a binary, b binary").distinct()
+    return met.select("key", "block", "other", "x", "y").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -180,6 +180,34 @@ def test_bags_bound_edits():
             assert near_dup.near_bags(x, y, False) == [(0, 0)]
 
 
+def test_bags_count_repeats():
+    """Two texts that share a line said a hundred times, and differ in a quarter of their words, are ruled out."""
+    line, rng = [1, 2, 3], random.Random(6)
+    a, b = (line * 100 + [rng.randrange(10, 10**6) for _ in range(110)] for _ in range(2))
+    x, y = ([{"n": len(w), "root": r, "bag": near_dup.bag_of(np.array(w, np.uint32))}] for w, r in ((a, b"x"), (b, b"y")))
+    assert edits(a, b) > 0.2 * len(a) and near_dup.near_bags(x, y, False) == []
+    c = line * 100 + a[300:390] + line * 6  # the same length, fewer words changed
+    z = [{"n": len(c), "root": b"z", "bag": near_dup.bag_of(np.array(c, np.uint32))}]
+    assert edits(a, c) <= 0.2 * len(a) and near_dup.near_bags(x, z, False) == [(0, 0)]
+    d = [1, 2, 3] * 140  # repeats of one line against fewer of them
+    w = [{"n": len(d), "root": b"w", "bag": near_dup.bag_of(np.array(d, np.uint32))}]
+    assert near_dup.near_bags(z, w, False) == ([(0, 0)] if edits(c, d) <= 0.2 * len(d) else [])
+
+
+def test_members_of_several_values_meet_all(spark):
+    """Members share one, two or no values: each pair that shares any and may be a link comes out."""
+    rng = random.Random(8)
+    base, values = prose(rng, 60), [[7, 8], [8, 9], [7, 9], [10], [10, 7, 8, 9]]
+    rows = [(hashlib.sha256(str(i).encode()).digest()[: near_dup.TID], values[i % 5], np.array([hash(w) & 0xFFFF for w in replaced(rng, base, rng.sample(range(60), 5))], np.uint32)) for i in range(40)]
+    members = spark.createDataFrame([(k, t, t, 400) for t, of, _ in rows for k in of], "key long, tid binary, root binary, size long")
+    bags = spark.createDataFrame([(t, len(w), near_dup.bag_of(w)) for t, _, w in rows], "tid binary, n long, bag binary")
+    blocks = [{"tid": t, "root": t, "n": len(w), "bag": near_dup.bag_of(w)} for t, _, w in rows]
+    may = near_dup.near_bags(blocks, blocks, True)
+    want = {(max(rows[i][0], rows[j][0]), min(rows[i][0], rows[j][0])) for i, j in may if set(rows[i][1]) & set(rows[j][1])}
+    got = [(bytes(r.a), bytes(r.b)) for r in near_dup._met_blocks(members, bags, True).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
 def met(rng: random.Random, n: int, changed: int, pairs: int = 300) -> float:
     """Share of pairs with a common key; one text has so many of the other's n words replaced."""
     texts = []
