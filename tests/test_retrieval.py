@@ -114,6 +114,14 @@ def test_upsert_and_embedding(spark):
         corpus_store.embed(old, calls, 9).collect()
 
 
+def test_embedder_gives_unit_vectors_where_words_cancel():
+    texts = ["src12\nAvec.", "", " \n", "two words", *(f"w{i} w{j}" for i in range(20) for j in range(20))]
+    made = corpus_store.hash_embedder(16)(texts)
+    assert [sum(x * x for x in v) for v in made] == pytest.approx([1.0] * len(texts))
+    assert made == corpus_store.hash_embedder(16)(texts)
+    assert corpus_store.hash_embedder(4)([]) == []
+
+
 def test_dense_search_takes_any_number_of_queries(spark, monkeypatch):
     import numpy as np
 
