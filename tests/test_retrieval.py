@@ -189,3 +189,36 @@ def test_text_of_message_parts(spark):
     rows = [(1, 0, "user", [part("text", "old")]), (1, 2, "user", [part("text", " how "), part("image", "x"), part("text", None), part("text", "now\n")]), (1, 3, "assistant", [part("text", "so")]), (2, 0, "system", [part("text", "s")]), (3, 0, "user", [])]
     messages = spark.createDataFrame(rows, "conv_id int, turn int, role string, parts array<struct<type:string,text:string>>")
     assert {r.conv_id: r.text for r in answers.latest_user_text(messages).collect()} == {1: "how now", 2: "", 3: ""}
+
+
+def test_lexical_search_gives_out_few_rows_and_all_ranks(spark, monkeypatch):
+    """Questions that share a word with all chunks: what reaches the ranking stays near limit times questions, whatever the chunks."""
+    import random
+    from collections import Counter
+
+    from quernlake.operators import term_blocks
+
+    for name, value in (("BLOCK_DOCS", 50), ("LONG_DOCS", 8), ("FIRST_BLOCKS", 4), ("PACK", 7)):
+        monkeypatch.setattr(term_blocks, name, value)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["the-word", "all", "w1", "w2", "w3", "max_size"], [1, 9, 5, 2, 1, 1], k=rng.randint(1, 3 + i % 90))) for i in range(1500)]
+    rows = [(i // 2 if i < 40 else i, t) for i, t in enumerate(texts)] + [(5000, None), (5001, "")]  # some ids stand twice
+    chunks = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    asked = [(q, rng.choice(["all w1", "all max_size w3", "w2 word max_size", "size absent"])) for q in range(60)] + [(60, "all"), (60, "w1"), (61, "")]
+    questions = spark.createDataFrame(asked, "query_id int, query string")
+    lexemes = lambda text: [w for w in text.lower().replace("-", " ").replace("_", " ").split()]
+    terms: dict = {}
+    for q, text in asked:
+        terms.setdefault(q, set()).update(tuple(lexemes(w)) for w in text.split())
+    want = []
+    for q, own in terms.items():
+        found: Counter = Counter()
+        for i, text in rows:
+            words = lexemes(text or "")
+            found[i] += sum(tuple(words[at : at + len(t)]) == t for t in own for at in range(len(words)))
+        best = sorted(((-n, i) for i, n in found.items() if n))[:5]
+        want += [(q, r, i, round(-n * 0.1, 6)) for r, (n, i) in enumerate(best, 1)]
+    got = [(r.query_id, r["rank"], r.id, round(r.score, 6)) for r in retrieval.lexical_search(chunks, questions, 5).collect()]
+    assert sorted(got) == sorted(want)
+    left = term_blocks.ranked_covers(chunks, retrieval.query_terms(questions).select("query_id", "term").distinct(), 5, retrieval.lexemes, "id", "text").count()
+    assert left < 60 * 5 * 12  # of some 60,000 pairs that share a word
