@@ -222,3 +222,24 @@ def test_lexical_search_gives_out_few_rows_and_all_ranks(spark, monkeypatch):
     assert sorted(got) == sorted(want)
     left = term_blocks.ranked_covers(chunks, retrieval.query_terms(questions).select("query_id", "term").distinct(), 5, retrieval.lexemes, "id", "text").count()
     assert left < 60 * 5 * 12  # of some 60,000 pairs that share a word
+
+
+def test_dense_search_gives_out_its_best_of_a_lane_alone(spark, monkeypatch):
+    import numpy as np
+
+    for name, value in (("QUERY_BLOCK", 8), ("CANDIDATE_BLOCK", 20), ("LANES", 2)):
+        monkeypatch.setattr(retrieval, name, value)
+    seen, plain = [], retrieval.ranked
+    monkeypatch.setattr(retrieval, "ranked", lambda rows, *a: seen.append(rows) or plain(rows, *a))
+    x = np.random.default_rng(7).normal(size=(1500, 6))
+    x[700:720] = x[3]  # ties, across blocks
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(60)], "query_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.id) for r in retrieval.dense_search(chunks, asked, 5).filter("query_id <> 3").collect())
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = [(q, r, int(i)) for q in range(60) if q != 3 for r, i in enumerate(np.lexsort((np.arange(1500), np.round(1 - unit @ unit[q], 12)))[:5], 1)]
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    near = lambda q, i: round(float(1 - unit[i] @ unit[q]), 9)
+    assert [near(q, i) for q, _, i in got] == [near(q, i) for q, _, i in want]
+    assert seen[0].count() <= 60 * 5 * 2 + 60 * 40  # ties alone go beyond
+    assert seen[0].filter("query_id > 3 AND (id < 700 OR id >= 720)").count() <= 56 * 5 * 2
