@@ -84,3 +84,14 @@ def test_vector_index_odd_rows(spark, tmp_path, monkeypatch):
     assert got == [(q, k + 1, f"c{k:03d}") for q in range(7) for k in range(4)]
     vector_index.build(chunks.limit(0), path)
     assert vector_index.search(spark, path, asked, 4).collect() == []
+
+
+def test_ties_go_to_smaller_ids_whatever_the_length(spark, tmp_path):
+    """Blocks hold chunks by length; of equal scores the smaller ids rank, and a task's lists are made without rows of positions."""
+    rows = [(i, "hit " + "pad " * (i * 7 % 60)) for i in range(300)]
+    chunks, path = spark.createDataFrame(rows, "id long, text string").repartition(2), str(tmp_path / "index")
+    lexical_index.build(chunks, path)
+    got = same_ranks(spark, path, spark.createDataFrame([(q, "hit") for q in range(400)], "query_id int, query string"), chunks, 5)
+    assert [g[2] for g in got if g[0] == 7] == [0, 1, 2, 3, 4]
+    order = spark.read.parquet(f"{path}/documents").orderBy("doc").collect()
+    assert len(order) == 300 and len({r.doc for r in order}) == 300
