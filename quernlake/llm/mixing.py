@@ -140,16 +140,18 @@ def placed_mix(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
         return none.select("doc_id", "digest", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("scheduled"))
     slot_size = -(-whole // SLOTS)
     slots = schedule(goals, -(-whole // slot_size), whole).select(F.col("source").alias("slot_source"), F.col("rank").alias("slot_block"))
-    facts = goals.withColumnRenamed("source", "s")
+    ends = slots.groupBy("slot_source").agg((F.max("slot_block") + 1).alias("slots"))
+    facts = goals.withColumnRenamed("source", "s").join(ends, F.col("s").eqNullSafe(F.col("slot_source")), "left").drop("slot_source").fillna(0, ["slots"])
     known = placed(rows).join(facts, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     laps = known.filter(F.col("size") > 0).withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))))
     laps = laps.withColumn("low", F.col("start") + F.col("lap") * F.col("source_size")).withColumn("high", F.col("low") + F.col("size"))
     block = lambda at: F.floor(at / F.lit(slot_size)).cast("long")
     parts = laps.withColumn("block", F.explode(F.sequence(block(F.col("low")), block(F.col("high") - 1))))
     met = parts.join(slots, F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("block") == F.col("slot_block")), "left")
-    # no slot gives more than is left of the target; blocks without one are the source's last part
+    # no slot gives more than is left of the target; blocks after the last slot are the source's last part, and one that the schedule leaves out before it gives nothing
     cut = F.greatest(F.lit(0), F.least("high", (F.col("block") + 1) * slot_size, F.round("target").cast("long")) - F.greatest("low", F.col("block") * slot_size))
-    sums = [F.sum(cut).alias("taken"), F.sum(F.when(F.col("slot_block").isNotNull(), cut).otherwise(0)).alias("scheduled")]
+    filled = F.col("slot_block").isNotNull()
+    sums = [F.sum(F.when(filled | (F.col("block") >= F.col("slots")), cut).otherwise(0)).alias("taken"), F.sum(F.when(filled, cut).otherwise(0)).alias("scheduled")]
     given = met.groupBy("doc_id", "digest", "source", "size", "source_size", "target", "start").agg(*sums)
     zero = F.lit(0).cast("long")
     empty = known.filter(F.col("size") == 0).select("doc_id", "digest", "source", "size", "source_size", "target", zero.alias("taken"), zero.alias("scheduled"))

@@ -147,3 +147,12 @@ def test_many_rows_alike_are_copied_in_parts(documents, monkeypatch):
     for r in mixing.mix(docs).collect():
         want[r.doc_id] += -(-r.taken // r.size)
     assert got == want and got[5] > 50
+
+
+def test_a_slot_that_the_schedule_leaves_out_gives_nothing(documents, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 64)
+    docs = documents([(i, "w " * 50, f"s{i % 2}") for i in range(100)])
+    taken = lambda: sum(r.taken for r in mixing.mix(docs).collect())
+    whole, plain = taken(), mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda *a: plain(*a).filter("NOT (source = 's0' AND rank = 2)"))
+    assert taken() == whole - -(-whole // 64)
