@@ -355,7 +355,10 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     tagged = members.join(roots.withColumnRenamed("node", "tid"), "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root"))
     tagged = written(tagged, "near-tagged")
     several = tagged.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter(F.col("low") != F.col("high"))
-    return written(tagged.join(written(several.select("key", "size"), "near-several"), "key"), "near-open")
+    several = written(several.select("key", "size"), "near-several")
+    left = written(tagged.join(several, "key"), "near-open")
+    discard(tagged, several)
+    return left
 
 
 def _met_blocks(members: DataFrame, bags: DataFrame, across: bool, turn: int = 0) -> DataFrame:
@@ -369,7 +372,8 @@ def _met_blocks(members: DataFrame, bags: DataFrame, across: bool, turn: int = 0
             found: set[tuple[bytes, bytes]] = set()
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                x, y = row["x"], row["y"] if across else row["x"]
+                x = row["x"]
+                y = row["y"] if across and row["y"] is not None else x
                 for i, j in near_bags(x, y, not across or row["block"] == row["other"], not across):
                     a, b = x[i]["tid"], y[j]["tid"]
                     if across and min(set(x[i]["keys"]) & set(y[j]["keys"])) != row["key"]:
@@ -379,15 +383,20 @@ def _met_blocks(members: DataFrame, bags: DataFrame, across: bool, turn: int = 0
 
     # blocks differ from value to value and from turn to turn, so that members of a group mix
     block = F.pmod(F.xxhash64("tid", "key", F.lit(turn)), F.ceil(F.col("size") / BLOCK)).alias("block")
-    rows = members.select("key", "tid", "root", block).join(bags, "tid")
+    rows = members.select("key", "tid", "root", "size", block).join(bags, "tid")
     if not across:
         packed = rows.groupBy("key", "block").agg(F.collect_list(F.struct("tid", "root", "n", "bag")).alias("x"))
         return packed.select("x").mapInArrow(run, "a binary, b binary").distinct()
     rows = rows.join(members.groupBy("tid").agg(F.collect_set("key").alias("keys")), "tid")
-    packed = written(rows.groupBy("key", "block").agg(F.collect_list(F.struct("tid", "root", "n", "bag", "keys")).alias("x")), "near-blocks")
-    two = packed.select(F.col("key").alias("k"), F.col("block").alias("other"), F.col("x").alias("y"))
-    met = packed.join(two, (F.col("key") == F.col("k")) & (F.col("block") <= F.col("other")))
-    return met.select("key", "block", "other", "x", "y").mapInArrow(run, "a binary, b binary").distinct()
+    packed = written(rows.groupBy("key", "block").agg(F.first("size").alias("size"), F.collect_list(F.struct("tid", "root", "n", "bag", "keys")).alias("x")), "near-blocks")
+    large = packed.filter(F.col("size") > BLOCK)
+    two = large.select(F.col("key").alias("k"), F.col("block").alias("other"), F.col("x").alias("y"))
+    met = large.join(two, (F.col("key") == F.col("k")) & (F.col("block") <= F.col("other")))
+    # a value of one block meets itself where it lies
+    alone = packed.filter(F.col("size") <= BLOCK).select("key", "block", F.col("block").alias("other"), "x", F.lit(None).cast(packed.schema["x"].dataType).alias("y"))
+    met = met.select("key", "block", "other", "x", "y").unionByName(alone).mapInArrow(run, "a binary, b binary").distinct()
+    met.blocks = packed
+    return met
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -434,21 +443,30 @@ def text_classes(rows: DataFrame) -> DataFrame:
     keys = sketched.select("tid", F.explode("keys").alias("key"))
     stars = written(keys.groupBy("key").agg(F.min("tid").alias("rep"), F.max("tid").alias("other"), F.count("*").alias("size")).filter(F.col("rep") != F.col("other")).select("key", "rep", "size"), "near-stars")
     members = written(keys.join(stars, "key"), "near-members")
+    discard(stars)
     stars = members.filter(F.col("tid") != F.col("rep")).select(F.col("tid").alias("a"), F.col("rep").alias("b")).distinct()
     edges = written(stars, "near-edges")
     # word hashes of the texts that have a candidate, once each
     needed = edges.select(F.col("a").alias("tid")).unionByName(edges.select(F.col("b").alias("tid"))).distinct()
     words = sketched.select("tid", "words").join(needed, "tid", "left_semi").groupBy("tid").agg(F.first("words").alias("words"))
     words = written(words, "near-words")
-    roots = components(written(_verified(edges, words), "near-links"))
+    discard(sketched)
+    links = written(_verified(edges, words), "near-links")
+    roots = components(links)
+    discard(links)
     # values of three members and more that hold several classes: nearest partners in blocks while these often are links, then all that is left
     tried = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     left = _open(members.filter(F.col("size") > 2).select("key", "tid").distinct(), roots)
+    discard(members)
     bags = written(_bags(words.join(left.select("tid").distinct(), "tid", "left_semi")), "near-bags")
-    turn, across, pending = 0, False, None
+    turn, across, pending, done = 0, False, None, [edges, words, bags]
     while not left.isEmpty():
-        pairs = written(_met_blocks(left, bags, across, turn).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        met = _met_blocks(left, bags, across, turn)
+        pairs = written(met.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        if across:
+            discard(met.blocks)
         more = written(_verified(pairs, words), "near-links")
+        done += pairs, more
         asked, found = pairs.count(), more.count()
         if found:
             pending = more if pending is None else pending.unionByName(more)
@@ -456,21 +474,26 @@ def text_classes(rows: DataFrame) -> DataFrame:
             break
         tried, turn = tried.unionByName(pairs), turn + 1
         if found and found >= WORTH * asked:
-            roots, pending = widened(roots, pending), None
-            left = _open(left.select("key", "tid"), roots)
+            roots, pending, before = widened(roots, pending), None, left
+            left = _open(before.select("key", "tid"), roots)
+            discard(before)
         else:
             across = True
     if pending is not None:
         roots = widened(roots, pending)
+    discard(left, *done)
     # texts, their smallest ids, and the smallest id of each class
     ids = rows.groupBy("tid", "doc_id").agg(F.count("*").alias("n"))
     texts = written(ids.groupBy("tid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("low"), F.sum("n").alias("n")), "near-texts")
     joined = texts.join(roots.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "low", "n", F.coalesce("root", "tid").alias("root"))
-    joined = written(joined, "near-texts")
+    joined = written(joined, "near-rooted")
     best = F.min(F.struct("low", "tid"))
     grouped = joined.groupBy("root").agg(best.alias("best"), F.sum("n").alias("class_size"))
     grouped = grouped.select("root", F.col("best.low.doc_id").alias("class_id"), F.col("best.tid").alias("kept_tid"), "class_size")
-    return written(joined.select("tid", "root").join(written(grouped, "near-classes"), "root").drop("root"), "near-classes")
+    grouped = written(grouped, "near-grouped")
+    facts = written(joined.select("tid", "root").join(grouped, "root").drop("root"), "near-classes")
+    discard(texts, joined, grouped)
+    return facts
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quernlake.llm import near_dup
+from quernlake.sources.scratch import shared_folder
 from rows import ODD_ROWS
 
 
@@ -278,3 +280,14 @@ def test_large_group_grows_together_at_linear_cost(documents, monkeypatch):
     got = near_dup.classes(documents([(i, t, "a") for i, t in enumerate(texts)])).collect()
     assert {r.class_id for r in got} == {0}
     assert sum(named) < 60 * len(texts)
+
+
+def test_tables_go_when_done(spark, documents):
+    """Only the facts, and what their classes were read from, stay in the shared folder."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(400)}" for _ in range(60)]
+    rows = [(i, " ".join(replaced(rng, base, rng.sample(range(60), i % 16))), "a") for i in range(60)]
+    folder = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(folder))
+    near_dup.classes(documents(rows)).collect()
+    assert {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before} <= {"near-classes", "near-roots", "component-edges"}
