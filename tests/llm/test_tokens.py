@@ -92,6 +92,35 @@ def test_ids_are_those_of_whole_texts(vocabulary, byte_level, texts):
     assert [x.tolist() for x in got] == [byte_level.encode(t, add_special_tokens=False).ids + [0] for t in texts]
 
 
+def test_line_ends_part_units(vocabulary, byte_level, monkeypatch):
+    """A word before or after a line end is the unit that it is elsewhere, and goes to the library once."""
+    asked = []
+    unit_ids = id_files.unit_ids
+    monkeypatch.setattr(id_files, "_memo", lambda path, memo=id_files.Memo(): memo)
+    monkeypatch.setattr(id_files, "unit_ids", lambda units, path: asked.extend(units.to_pylist()) or unit_ids(units, path))
+    texts = ["one two.\none\ntwo, one", "one\n two", "one two two.\none", "\none", "two\n\none two"]
+    flat, counts = id_files.token_ids(pa.array(texts), vocabulary("byte_bpe_50k.json"))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [byte_level.encode(t).ids + [0] for t in texts]
+    assert len(asked) == len(set(asked))
+    assert set(asked) == {"one", "two", " one", " two", ".", ",", "\n", "one\n two", "\none", "two\n\none"}  # the last three have odd white space
+
+
+def test_a_full_memo_changes_no_ids(vocabulary, byte_level, monkeypatch):
+    monkeypatch.setattr(id_files, "MEMO", 4)
+    monkeypatch.setattr(id_files, "_memo", lambda path, memo=id_files.Memo(): memo)
+    for text in ["a few words here, and more", "more words. here and", "other few", "a few words here, and more"]:
+        flat, _ = id_files.token_ids(pa.array([text]), vocabulary("byte_bpe_50k.json"))
+        assert flat.tolist() == byte_level.encode(text).ids + [0]
+
+
+def test_no_small_rest():
+    """Rows and steps of coding are of like size: 17 MB are not 14 and 3 MB, and 4,700 blocks not 4,096 and 604."""
+    assert [b - a for a, b in id_files.shares(np.full(1700, 10_000), 14_000_000)] == [850, 850]
+    assert [b - a for a, b in id_files.in_lanes(4700)] == [2350, 2350]
+    assert id_files.shares(np.array([5, 900, 5]), 100)[-1][1] == 3
+    assert id_files.shares(np.zeros(3, np.int64), 100) == [(0, 3)] and id_files.shares(np.zeros(0, np.int64), 100) == []
+
+
 def brute_ids(rows, byte_level):
     """Rows in ascending order of id (nulls first), with the ids before each."""
     start, out = 0, []
