@@ -121,6 +121,14 @@ def test_no_small_rest():
     assert id_files.shares(np.zeros(3, np.int64), 100) == [(0, 3)] and id_files.shares(np.zeros(0, np.int64), 100) == []
 
 
+def test_marks_part_units_after_letters():
+    """A mark is parted from a letter or digit of any length before it, wherever it stands, and from nothing else."""
+    texts = ["3.14 né:один;汉!a", ").” x", "a  b,é c", "", " \u3000a \u3000b"]
+    units, stops = id_files.units_of(pa.array(texts))
+    got = [x.tolist() for x in np.split(units.to_numpy(zero_copy_only=False), stops[:-1])]
+    assert got == [["3", ".14", " né", ":один", ";汉", "!a"], [").”", " x"], ["a  b", ",é c"], [], [" \u3000a \u3000b"]]
+
+
 def brute_ids(rows, byte_level):
     """Rows in ascending order of id (nulls first), with the ids before each."""
     start, out = 0, []
