@@ -95,3 +95,17 @@ def test_ties_go_to_smaller_ids_whatever_the_length(spark, tmp_path):
     assert [g[2] for g in got if g[0] == 7] == [0, 1, 2, 3, 4]
     order = spark.read.parquet(f"{path}/documents").orderBy("doc").collect()
     assert len(order) == 300 and len({r.doc for r in order}) == 300
+
+
+def test_blocks_of_long_documents_are_no_larger_than_others(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical_index, "BLOCK_CHARACTERS", 3000, raising=False)
+    rows = [(f"c{i:03d}", " ".join(f"w{(i * k) % 37}" for k in range(i % 300))) for i in range(500)] + [("huge", "w1 w2 " * 2000), ("null", None)]
+    chunks, path = spark.createDataFrame(rows, "id string, text string").repartition(2), str(tmp_path / "index")
+    lexical_index.build(chunks, path)
+    asked = spark.createDataFrame([(1, "w1 w2"), (2, "w36"), (3, "w1-w2 w5")], "query_id int, query string")
+    same_ranks(spark, path, asked, chunks, 7)
+    sizes: dict = {}
+    for r in spark.read.parquet(f"{path}/documents").join(chunks, "id").collect():
+        sizes.setdefault(r.doc >> lexical_index.BLOCK_BITS, []).append(len(r.text or ""))
+    assert sum(map(len, sizes.values())) == len(rows)
+    assert all(sum(own) <= 3000 or len(own) == 1 for own in sizes.values())
