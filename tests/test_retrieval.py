@@ -243,3 +243,40 @@ def test_dense_search_gives_out_its_best_of_a_lane_alone(spark, monkeypatch):
     assert [near(q, i) for q, _, i in got] == [near(q, i) for q, _, i in want]
     assert seen[0].count() <= 60 * 5 * 2 + 60 * 40  # ties alone go beyond
     assert seen[0].filter("query_id > 3 AND (id < 700 OR id >= 720)").count() <= 56 * 5 * 2
+
+
+def test_a_task_of_lexical_search_holds_a_bounded_share_of_questions_and_blocks(spark, monkeypatch):
+    """However many questions there are, a task gets packs up to TURN_BYTES, and the blocks of one part."""
+    import random
+    from collections import Counter
+
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    from quernlake.operators import term_blocks
+
+    for name, value in (("BLOCK_DOCS", 20), ("LONG_DOCS", 20), ("FIRST_BLOCKS", 2), ("PACK", 100), ("TURN_BYTES", 20_000), ("PART_BLOCKS", 4), ("GROWTH", 3), ("PENDING", 50)):
+        monkeypatch.setattr(term_blocks, name, value, raising=False)
+    apply, met = PandasCogroupedOps.applyInArrow, spark.sparkContext.accumulator(0)
+
+    def checked(self, f, schema):
+        def run(there, here):
+            assert there.num_rows <= 20 and here.nbytes <= 80_000, (there.num_rows, here.nbytes)
+            met.add(1)
+            return f(there, here)
+
+        return apply(self, run, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", checked)
+    rng = random.Random(3)
+    texts = [rng.choices([f"w{i}" for i in range(40)], k=rng.randint(1, 60)) for _ in range(700)]
+    asked = [(q, rng.sample([f"w{i}" for i in range(40)], 3)) for q in range(3000)]
+    chunks = spark.createDataFrame([(f"c{i:03d}", " ".join(t)) for i, t in enumerate(texts)], "id string, text string").repartition(2)
+    questions = spark.createDataFrame([(q, " ".join(t)) for q, t in asked], "query_id int, query string")
+    got: dict = {}
+    for r in retrieval.lexical_search(chunks, questions, 3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, round(r.score * 10)))
+    counts = [Counter(t) for t in texts]
+    for q, terms in asked:
+        best = sorted((-sum(c[t] for t in terms), f"c{i:03d}") for i, c in enumerate(counts))[:3]
+        assert sorted(got[q]) == [(k, i, -n) for k, (n, i) in enumerate(best, 1)]
+    assert met.value > 20
