@@ -280,3 +280,34 @@ def test_a_task_of_lexical_search_holds_a_bounded_share_of_questions_and_blocks(
         best = sorted((-sum(c[t] for t in terms), f"c{i:03d}") for i, c in enumerate(counts))[:3]
         assert sorted(got[q]) == [(k, i, -n) for k, (n, i) in enumerate(best, 1)]
     assert met.value > 20
+
+
+def test_a_task_of_dense_search_holds_a_bounded_share_of_queries_and_candidates(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    for name, value in (("QUERY_BLOCK", 16), ("CANDIDATE_BLOCK", 32), ("LANES", 1), ("GROUP_BYTES", 2000), ("LANE_BYTES", 8000)):
+        monkeypatch.setattr(retrieval, name, value, raising=False)
+    apply = PandasCogroupedOps.applyInArrow
+
+    def checked(self, f, schema):
+        def run(here, there):
+            assert here.nbytes <= 12_000 and there.nbytes <= 32_000, (here.nbytes, there.nbytes)
+            return f(here, there)
+
+        return apply(self, run, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", checked)
+    x = np.random.default_rng(2).normal(size=(2000, 8)).astype("f4")
+    x[900:960] = x[5]  # ties, across blocks and lanes
+    chunks = spark.createDataFrame([(f"c{i:04d}", v.tolist()) for i, v in enumerate(x)], "id string, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(150)] + [(0, x[1].tolist())], "query_id long, embedding array<double>")
+    found: dict = {}
+    for r in retrieval.dense_search(chunks, asked, 4).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.id))
+    unit = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    far = np.round(1 - unit @ unit[:150].T, 12)
+    far[:, 0] = np.minimum(far[:, 0], far[:, 1])  # two variants of one query
+    for q in (*range(5), *range(6, 150)):
+        assert [i for _, i in sorted(found[q])][q < 1 and 2 or 0 :] == [f"c{i:04d}" for i in np.lexsort((np.arange(2000), far[:, q]))[:4]][q < 1 and 2 or 0 :]
+    assert len(found[5]) == 4 and {i for _, i in found[5]} <= {"c0005", *(f"c{i:04d}" for i in range(900, 960))}
